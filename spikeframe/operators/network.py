@@ -11,6 +11,10 @@ from ..session import cut_lineage, shuffle_partitions
 
 PAGE_SIZE = 4096
 
+# element that carries a neuron's own state through the delivery: it has no weights
+OWN_RECORD = ("named_struct('dest', nid, 'gain', cast(null as bigint), "
+              "'net', cast(null as bigint))")
+
 
 @dataclass(frozen=True)
 class Network:
@@ -109,30 +113,29 @@ def combined_synapses(network: Network) -> DataFrame:
                  F.sum("weight").cast("bigint").alias("net")))
 
 
-def _synapse_pages(network, page_size):
+def _out_lists(network, edges, page_size, paged):
+    """Synapse lists per source, cut into pages for hubs. Hub pages hash the destination,
+    and the hub list is joined under Spark's own size check and skew handling."""
     source = [*network.scope, "source_id"]
-    edges = combined_synapses(network)
+    item = F.struct(F.col("dest_id").alias("dest"), "gain", "net")
+    if not paged:
+        lists = edges.groupBy(*source).agg(F.collect_list(item).alias("outs"))
+        return lists.withColumnRenamed("source_id", "nid")
     degree = edges.groupBy(*source).agg(F.count(F.lit(1)).alias("_deg"))
     hubs = (degree.where(F.col("_deg") > page_size)
             .select(*source, (int_div("_deg", page_size) + 1).alias("_pages")))
-    paged = (edges.join(hubs, source, "left")
-             .withColumn("page", F.pmod(F.xxhash64("dest_id"), F.coalesce("_pages", F.lit(1)))
-                         .cast("int")))
-    return (paged.groupBy(*source, "page")
-            .agg(F.collect_list(F.struct(F.col("dest_id").alias("dest"), "gain", "net")).alias("outs"))
+    pages = F.coalesce("_pages", F.lit(1))
+    return (edges.join(hubs, source, "left")
+            .withColumn("page", F.pmod(F.xxhash64("dest_id"), pages).cast("int"))
+            .groupBy(*source, "page").agg(F.collect_list(item).alias("outs"))
             .withColumnRenamed("source_id", "nid"))
 
 
-def _rule_pages(network, page_size):
+def _rule_lists(network, page_size, paged):
     rule = F.struct("rule_idx", "threshold", "consumed", "produced", "delay")
-    return (network.rules.withColumn("page", int_div("rule_idx", page_size).cast("int"))
-            .groupBy(*network.keys, "page").agg(F.array_sort(F.collect_list(rule)).alias("rules")))
-
-
-def own_record():
-    """Element that carries a neuron's own state through the delivery: no weights."""
-    return F.struct(F.col("nid").alias("dest"), F.lit(None).cast("bigint").alias("gain"),
-                    F.lit(None).cast("bigint").alias("net"))
+    page = [int_div("rule_idx", page_size).cast("int").alias("page")] if paged else []
+    return (network.rules.groupBy(*network.keys, *page)
+            .agg(F.array_sort(F.collect_list(rule)).alias("rules")))
 
 
 def _resident(df, keys):
@@ -140,28 +143,35 @@ def _resident(df, keys):
     return df.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _longest_lists(network, edges):
+    """Largest out-degree and rule count of a neuron (one row to the driver)."""
+    degrees = edges.groupBy(*network.scope, "source_id").agg(F.count(F.lit(1)).alias("n"))
+    positions = network.rules.agg(F.coalesce(F.max("rule_idx") + 1, F.lit(0)).alias("n"))
+    return degrees.agg(F.coalesce(F.max("n"), F.lit(0)).alias("out"),
+                       ).select("out", positions.scalar().alias("rules")).first()
+
+
 def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
     keys, parts = network.keys, shuffle_partitions(network.neurons.sparkSession)
-    outs = cut_lineage(_synapse_pages(network, page_size))
-    rules = _rule_pages(network, page_size)
-    paged = not (outs.where("page > 0").select("page").unionAll(
-        rules.where("page > 0").select("page"))).isEmpty()
-
-    own = F.array(own_record())
+    edges = cut_lineage(combined_synapses(network))
+    longest = _longest_lists(network, edges)
+    paged = max(longest.out, longest.rules) > page_size
+    outs = _out_lists(network, edges, page_size, paged)
+    rules = _rule_lists(network, page_size, paged)
     if paged:
-        counts = [pages.groupBy(*keys).agg((F.max("page") + 1).alias(name))
-                  for pages, name in ((rules, "n_rules"), (outs, "n_outs"))]
-        columns = [F.coalesce(name, F.lit(0)).alias(name) for name in ("n_rules", "n_outs")]
+        outs = _resident(outs.repartition(parts, *keys, "page"), [*keys, "page"])
+        rules = _resident(rules.repartition(parts, *keys, "page"), [*keys, "page"])
+        lists = [t.groupBy(*keys).agg((F.max("page") + 1).alias(c))
+                 for t, c in ((rules, "n_rules"), (outs, "n_outs"))]
+        columns = ["coalesce(n_rules, 0) as n_rules", "coalesce(n_outs, 0) as n_outs"]
     else:
-        counts = [rules.select(*keys, "rules"), outs.select(*keys, "outs")]
-        columns = ["rules", F.when(F.col("outs").isNull(), own)
-                   .otherwise(F.concat(own, "outs")).alias("outs")]
+        lists = [rules, outs]
+        columns = ["rules", f"concat(array({OWN_RECORD}), coalesce(outs, array())) as outs"]
     static = network.neurons.select(*keys, "initial_spikes")
-    for count in counts:
-        static = static.join(count, keys, "left")
-    static = static.select(*keys, "initial_spikes", *columns)
+    for table in lists:
+        static = static.join(table, keys, "left")
+    static = static.selectExpr(*keys, "initial_spikes", *columns)
     return CompiledNetwork(
         static=_resident(static.repartition(parts, *keys), keys),
-        rule_pages=_resident(rules.repartition(parts, *keys, "page"), keys) if paged else None,
-        out_pages=_resident(outs.repartition(parts, *keys, "page"), keys) if paged else None,
+        rule_pages=rules if paged else None, out_pages=outs if paged else None,
         scope=network.scope, keys=keys)

@@ -37,13 +37,13 @@ def trace(state, net, ticks, policy=SEQUENTIAL) -> DataFrame:
 def spiking_vector(state, net, policy=SEQUENTIAL) -> DataFrame:
     """Index of the rule each neuron would fire in the next tick, -1 for none."""
     return fire(state, net, policy).select(
-        *net.keys, F.coalesce("fired.rule_idx", F.lit(-1)).alias("rule_idx"))
+        *net.keys, F.coalesce("rule_idx", F.lit(-1)).alias("rule_idx"))
 
 
 def is_quiet(state, net, policy=SEQUENTIAL) -> bool:
     """True when no rule applies and no delay is running."""
     busy = fire(state, net, policy).where(
-        F.col("fired").isNotNull() | (F.col("timer") > 0) | (F.col("delayed") > 0))
+        F.col("rule_idx").isNotNull() | (F.col("timer") > 0) | (F.col("delayed") > 0))
     return busy.isEmpty()
 
 

@@ -1,6 +1,8 @@
 """One clock tick: rule selection as a projection, delivery as one grouped sum.
 
-The state is referenced exactly once, so k composed ticks give a plan of size O(k).
+The state is referenced exactly once, so k composed ticks give a plan of size O(k)
+with one shuffle each. Expressions are SQL text to keep the driver-side cost of
+composing many ticks low.
 """
 
 from dataclasses import dataclass
@@ -8,8 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import STATE_COLUMNS
-from .network import CompiledNetwork, own_record
+from .network import OWN_RECORD, CompiledNetwork
 
 
 @dataclass(frozen=True)
@@ -31,83 +32,79 @@ INHIBITORY = TickPolicy(immediate_inhibition=True)
 REOPEN = TickPolicy(emit_on_reopen=True, immediate_inhibition=True)
 EXCITATORY = TickPolicy(delayed_inhibition=False)
 
+OPEN_NOW = "(is_open or timer = 1)"
+FIRST_MATCH = "get(filter(rules, r -> r.threshold <= spikes), 0)"
+WAITS = "coalesce(fired.delay > 0, false)"
+
 
 def _with_fired(state: DataFrame, net: CompiledNetwork) -> DataFrame:
     """State after the clock moved (T1), with the fired rule or NULL."""
-    moved = (state.join(net.static.drop("initial_spikes"), net.keys, "left")
-             .withColumn("reopened", F.col("timer") == 1)
-             .withColumn("is_open", F.col("is_open") | F.col("reopened"))
-             .withColumn("timer", F.greatest(F.col("timer") - 1, F.lit(0))))
-    first_match = F.when(F.col("is_open"), F.get(
-        F.filter("rules", lambda r: r["threshold"] <= F.col("spikes")), F.lit(0)))
+    joined = state.join(net.static.drop("initial_spikes"), net.keys, "left")
+    clock = ["spikes", "greatest(timer - 1, 0) as timer", f"{OPEN_NOW} as is_open",
+             "timer = 1 as reopened", "pending"]
     if not net.paged:
-        return moved.withColumn("fired", first_match).drop("rules")
-    pages = F.when(F.col("is_open") & (F.col("n_rules") > 1),
-                   F.sequence(F.lit(0), F.col("n_rules") - 1)).otherwise(F.array(F.lit(0)))
-    probed = (moved.withColumn("page", F.explode(pages))
-              .join(net.rule_pages, [*net.keys, "page"], "left")
-              .withColumn("fired", first_match))
-    carried = [c for c in moved.columns if c not in (*net.keys, "n_rules")]
-    return probed.groupBy(*net.keys).agg(*[F.max(c).alias(c) for c in carried],
-                                         F.min("fired").alias("fired"))
+        return joined.selectExpr(*net.keys, *clock, "outs",
+                                 f"case when {OPEN_NOW} then {FIRST_MATCH} end as fired")
+    # only an open neuron looks at more than one page of its rules
+    probed = joined.selectExpr(
+        *net.keys, *clock, "n_outs",
+        f"explode(case when {OPEN_NOW} and n_rules > 1 then sequence(0, n_rules - 1) "
+        "else array(0) end) as page").join(net.rule_pages, [*net.keys, "page"], "left")
+    carried = ("spikes", "timer", "is_open", "reopened", "pending", "n_outs")
+    found = probed.selectExpr(*net.keys, *carried, f"case when is_open then {FIRST_MATCH} end as fired")
+    return found.groupBy(*net.keys).agg(*[F.max(c).alias(c) for c in carried],
+                                        F.min("fired").alias("fired"))
 
 
 def fire(state: DataFrame, net: CompiledNetwork, policy: TickPolicy = SEQUENTIAL) -> DataFrame:
-    """Phases before delivery: consumption and the delay branch (T4-T6), plus what each
-    neuron sends through its synapses: ``immediate`` and ``delayed`` spike counts."""
-    d = _with_fired(state, net)
-    waits = F.coalesce(F.col("fired.delay") > 0, F.lit(False))
-    produced = F.coalesce("fired.produced", F.lit(0))
-    d = (d.withColumn("waits", waits)
-         .withColumn("spikes", F.col("spikes") - F.coalesce("fired.consumed", F.lit(0)))
-         .withColumn("old_pending", F.col("pending"))
-         .withColumn("timer", F.when(F.col("waits"), F.col("fired.delay")).otherwise(F.col("timer")))
-         .withColumn("is_open", F.col("is_open") & ~F.col("waits"))
-         .withColumn("immediate", F.when(F.col("waits"), 0).otherwise(produced)))
+    """Consumption and the delay branch (T4-T6), plus what each neuron sends through its
+    synapses in this tick: ``immediate`` and ``delayed`` spike counts."""
     if policy.emit_on_reopen:
-        return (d.withColumn("delayed", F.when(F.col("reopened"), F.col("old_pending")).otherwise(0))
-                .withColumn("pending", F.when(F.col("waits"), produced)
-                            .when(F.col("reopened"), 0).otherwise(F.col("old_pending"))))
-    return (d.withColumn("pending", F.when(F.col("waits"), produced).otherwise(F.col("pending")))
-            .withColumn("delayed", F.when(F.col("is_open"), F.col("pending")).otherwise(0)))
-
-
-def _amount(out, policy):
-    now = out["net"] if policy.immediate_inhibition else out["gain"]
-    later = out["net"] if policy.delayed_inhibition else out["gain"]
-    return F.col("immediate") * now + F.col("delayed") * later
+        pending = f"case when {WAITS} then fired.produced when reopened then 0 else pending end"
+        delayed = "case when reopened then pending else 0 end"
+    else:
+        pending = f"case when {WAITS} then fired.produced else pending end"
+        delayed = f"case when is_open and not {WAITS} then pending else 0 end"
+    return _with_fired(state, net).selectExpr(
+        *net.keys,
+        "spikes - coalesce(fired.consumed, 0) as spikes",
+        f"case when {WAITS} then fired.delay else timer end as timer",
+        f"is_open and not {WAITS} as is_open",
+        f"{pending} as pending",
+        f"case when {WAITS} then 0 else coalesce(fired.produced, 0) end as immediate",
+        f"{delayed} as delayed",
+        "fired.rule_idx as rule_idx",
+        "n_outs" if net.paged else "outs")
 
 
 def deliver(fired: DataFrame, net: CompiledNetwork, policy: TickPolicy = SEQUENTIAL) -> DataFrame:
     """Send along synapses and sum at open destinations."""
-    sends = (F.col("immediate") > 0) | (F.col("delayed") > 0)
-    only_own = F.array(own_record())
+    sends = "immediate > 0 or delayed > 0"
+    state = ["spikes", "timer", "is_open", "pending"]
     if net.paged:
         # page -1 is the neuron's own record, which meets no synapse page
-        pages = F.when(sends, F.sequence(F.lit(-1), F.col("n_outs") - 1)).otherwise(F.array(F.lit(-1)))
-        fired = (fired.withColumn("page", F.explode(pages))
-                 .join(net.out_pages, [*net.keys, "page"], "left"))
-        outs = F.when(F.col("page") < 0, only_own).otherwise(F.col("outs"))
+        fired = fired.selectExpr(
+            *net.keys, *state, "immediate", "delayed",
+            f"explode(case when {sends} then sequence(-1, n_outs - 1) else array(-1) end) as page"
+        ).join(net.out_pages, [*net.keys, "page"], "left")
+        outs = f"case when page < 0 then array({OWN_RECORD}) else outs end"
     else:
         # silent sources never touch their synapses
-        outs = F.when(sends, F.col("outs")).otherwise(only_own)
-    sent = fired.withColumn("out", F.explode(outs))
-    own = F.col("out.gain").isNull()
-    rows = sent.select(
-        *net.scope, F.col("out.dest").alias("nid"),
-        *[F.when(own, F.col(c)).alias(c) for c in STATE_COLUMNS],
-        F.when(~own, _amount(F.col("out"), policy)).alias("arriving"))
-    landed = rows.groupBy(*net.keys).agg(
-        F.max("spikes").alias("spikes"), F.max("timer").alias("timer"),
-        F.max("is_open").alias("is_open"), F.max("pending").alias("pending"),
-        F.coalesce(F.sum("arriving"), F.lit(0)).alias("arriving"))
-    keeps_pending = (F.col("pending") if policy.emit_on_reopen
-                     else F.when(F.col("is_open"), 0).otherwise(F.col("pending")))
-    return landed.where("spikes is not null").select(
+        outs = f"case when {sends} then outs else array({OWN_RECORD}) end"
+    now = "net" if policy.immediate_inhibition else "gain"
+    later = "net" if policy.delayed_inhibition else "gain"
+    rows = fired.selectExpr(*net.keys, *state, "immediate", "delayed", f"explode({outs}) as out").selectExpr(
+        *net.scope, "out.dest as nid",
+        *[f"case when out.gain is null then {c} end as {c}" for c in state],
+        f"immediate * out.{now} + delayed * out.{later} as arriving")
+    landed = rows.groupBy(*net.keys).agg(*[F.max(c).alias(c) for c in state],
+                                      F.sum("arriving").alias("arriving"))
+    # a closed destination loses what arrives, and only an open one lets go of its pending spikes
+    return landed.where("spikes is not null").selectExpr(
         *net.keys,
-        F.when(F.col("is_open"), F.col("spikes") + F.col("arriving"))
-         .otherwise(F.col("spikes")).alias("spikes"),
-        "timer", "is_open", keeps_pending.alias("pending"))
+        "case when is_open then spikes + coalesce(arriving, 0) else spikes end as spikes",
+        "timer", "is_open",
+        "pending" if policy.emit_on_reopen else "case when is_open then 0 else pending end as pending")
 
 
 def tick(state: DataFrame, net: CompiledNetwork, policy: TickPolicy = SEQUENTIAL) -> DataFrame:

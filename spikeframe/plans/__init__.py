@@ -1,8 +1,8 @@
 """Registered queries: name -> callable(spark, folder), and name -> oracle SQL."""
 
-from . import simulation
+from . import algebra, benchmark, layout, simulation, sorting
 
 QUERIES, ORACLES = {}, {}
-for _module in (simulation,):
+for _module in (simulation, layout, sorting, algebra, benchmark):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -85,3 +85,48 @@ def order_chain_network(spark, folder) -> Network:
         F.when(F.col("o_orderstatus") == "P", 2).otherwise(0).alias("wait"))
     links = chain(orders.select("nid", F.col("nid").alias("pos")))
     return Network(_neurons(orders), _rules(orders, (1, 1, 1, "wait")), links)
+
+
+def without_delays(network: Network) -> Network:
+    return Network(network.neurons, network.rules.withColumn("delay", F.lit(0)),
+                   network.synapses, network.scope)
+
+
+# Event types in the order of their neuron number.
+EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
+
+
+def visit_networks(spark, folder) -> Network:
+    """One five-neuron ring per user: a neuron per event type, charged with the user's
+    number of such events."""
+    counted = table(spark, folder, "events").groupBy(F.col("user_id").alias("sys")).agg(
+        *[F.count_if(F.col("event_type") == t).alias(t) for t in EVENT_TYPES])
+    cells = F.array(*[F.struct(F.lit(i).cast("bigint").alias("nid"), F.col(t).alias("initial_spikes"))
+                      for i, t in enumerate(EVENT_TYPES)])
+    charged = counted.select("sys", F.inline(cells))
+    neurons = charged.select("sys", "nid", "initial_spikes", (F.col("nid") == 4).alias("is_output"))
+    rules = charged.selectExpr("sys", "nid", """inline(array(
+        named_struct('rule_idx', 0, 'threshold', 12, 'consumed', 5, 'produced', 2, 'delay', cast(nid % 3 as int)),
+        named_struct('rule_idx', 1, 'threshold', 1, 'consumed', 1, 'produced', 1, 'delay', 0)))""")
+    synapses = charged.selectExpr("sys", "nid as source_id", "(nid + 1) % 5 as dest_id",
+                                  "cast(1 + initial_spikes % 3 as int) as weight")
+    return Network(neurons, rules, synapses, ("sys",))
+
+
+def event_results(spark, folder) -> DataFrame:
+    """Events read as benchmark readings: the type names the implementation, the user the
+    configuration; some names are malformed and some metrics are missing."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return events.selectExpr(
+        "event_id as seq",
+        """case when user_id % 29 = 7 then concat('broken_', event_id)
+                else concat_ws('/',
+                  case event_type when 'view' then 'CpuSnp' when 'click' then 'CudaSnp'
+                       when 'purchase' then 'SparseCudaSnp' when 'signup' then 'NaiveCudaMpiSnp'
+                       else 'CudaMpiSnp' end,
+                  element_at(array('Random', 'Sorted', 'Reverse'), cast(user_id % 3 as int) + 1),
+                  100 * (user_id div 3 + 1), 100 * (user_id div 3 + 1), 'iterations:5') end as name""",
+        "value as real_time", "value * 2 as cpu_time",
+        """case when event_type in ('signup', 'error') and user_id % 4 <> 0
+                then cast(regexp_extract(props, '"k": ([0-9]+)', 1) as double) * 0.0625 end as Comm_ms""",
+        "case when event_type in ('signup', 'error') then 4 end as Procs", "props")

@@ -1,7 +1,9 @@
 """Column expressions; everything here stays inside whole-stage codegen."""
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the portable integer mixer: the Mersenne prime 2**31 - 1 and
 # two multipliers below it, so every product stays under 2**62.
@@ -62,21 +64,28 @@ def parse_run_name(name, style="slash") -> Column:
     ``underscore``: ``impl_size_max_distribution`` before the first slash.
     """
     name = F.col(name) if isinstance(name, str) else name
-    pieces = F.split(name, "/", -1)
-    if style == "underscore":
-        pieces = F.split(F.get(pieces, F.lit(0)), "_", -1)
-        order = (0, None, 1, 2)
-    elif style == "slash":
-        order = (0, 1, 2, 3)
+    if style == "slash":
+        pieces = F.split(name, "/", -1)
+        places = {"impl": 0, "dist": 1, "size": 2, "max_value": 3}
+    elif style == "underscore":
+        pieces = F.split(F.get(F.split(name, "/", -1), F.lit(0)), "_", -1)
+        places = {"impl": 0, "dist": None, "size": 1, "max_value": 2}
     else:
         raise ValueError(f"unknown name style {style!r}")
-    at = lambda p: F.get(pieces, F.lit(p))
-    dist = at(1) if order[1] is not None else F.array_join(
-        F.slice(pieces, F.lit(4), F.greatest(F.size(pieces) - 3, F.lit(0))), "_")
-    size, top = at(order[2]).try_cast("bigint"), at(order[3]).try_cast("bigint")
-    fits = (F.size(pieces) >= 4) & size.isNotNull() & top.isNotNull()
-    return F.when(fits, F.struct(at(0).alias("impl"), dist.alias("dist"),
-                                 size.alias("size"), top.alias("max_value")))
+
+    def parsed(p):
+        def field(name):
+            if places[name] is None:
+                rest = F.greatest(F.size(p) - 3, F.lit(0))
+                return F.array_join(F.slice(p, F.lit(4), rest), "_").alias(name)
+            text = F.get(p, F.lit(places[name]))
+            return (text.try_cast("bigint") if name in ("size", "max_value") else text).alias(name)
+
+        fits = (F.size(p) >= 4) & field("size").isNotNull() & field("max_value").isNotNull()
+        return F.when(fits, F.struct(*[field(f) for f in ("impl", "dist", "size", "max_value")]))
+
+    # the lambda variable keeps the split from being evaluated once per field
+    return F.element_at(F.transform(F.array(pieces), parsed), 1)
 
 
 def extract_metric(report, key) -> Column:
@@ -85,3 +94,10 @@ def extract_metric(report, key) -> Column:
     start = F.instr(report, key)
     tail = F.when(start > 0, F.substr(report, start))
     return F.coalesce(F.regexp_extract(tail, NUMBER_PATTERN, 0).try_cast("double"), F.lit(0.0))
+
+
+@F.pandas_udf(T.StringType())
+def two_decimals(values: pd.Series) -> pd.Series:
+    """Display text with two decimals, rounded from the exact binary value. Built-in
+    formatting rounds the shortest decimal text instead and differs on ties."""
+    return values.map(lambda v: f"{v:.2f}", na_action="ignore")

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import extract_metric, int_div, parse_run_name
+from ..functions.columns import extract_metric, int_div, parse_run_name, two_decimals
 from ..functions.scans import ranked
 
 # Implementation names, labels, plot order and roles.
@@ -35,6 +35,10 @@ def implementation_info(column, value) -> Column:
     return F.coalesce(*cases)
 
 
+def known(column="impl") -> Column:
+    return F.col(column).isin([row[0] for row in IMPLEMENTATIONS])
+
+
 def runs_from(results: DataFrame, style="slash") -> DataFrame:
     """Parse names, drop what does not fit, and fill optional metrics."""
     have = set(results.columns)
@@ -42,9 +46,11 @@ def runs_from(results: DataFrame, style="slash") -> DataFrame:
     def optional(name, default):
         return F.coalesce(name, F.lit(default)) if name in have else F.lit(default)
 
-    parsed = results.withColumn("_run", parse_run_name("name", style)).where("_run is not null")
-    return parsed.select(
-        *(["seq"] if "seq" in have else []), "_run.*",
+    # as a generator the parse runs once per row: later filters cannot pull copies of it
+    # below themselves
+    return results.select(
+        *(["seq"] if "seq" in have else []),
+        F.inline(F.array_compact(F.array(parse_run_name("name", style)))),
         F.col("real_time").cast("double").alias("real_time"),
         F.col("cpu_time").cast("double").alias("cpu_time"),
         optional("Comm_ms", 0.0).cast("double").alias("comm_time"),
@@ -68,7 +74,7 @@ def time_table(runs: DataFrame) -> DataFrame:
     """Execution time per configuration, one column per known implementation; 0 when it
     has no reading (B4). Conditional aggregates need no extra pass to find the columns."""
     last = by_configuration(runs)
-    return last.where(implementation_info("impl", "order").isNotNull()).groupBy(*CONFIG).agg(*[
+    return last.where(known()).groupBy(*CONFIG).agg(*[
         F.coalesce(F.max(F.when(F.col("impl") == row[0], F.col("real_time"))), F.lit(0.0)).alias(row[0])
         for row in IMPLEMENTATIONS])
 
@@ -113,21 +119,20 @@ def with_computation(runs: DataFrame) -> DataFrame:
 
 def comm_overhead(runs: DataFrame) -> DataFrame:
     """Share of cpu time spent communicating, for implementations that do."""
-    return runs.where(implementation_info("impl", "has_comm")).withColumn(
+    return runs.where(F.col("impl").isin([row[0] for row in IMPLEMENTATIONS if row[4]])).withColumn(
         "comm_percentage", F.try_divide("comm_time", "cpu_time") * 100)
 
 
 def scalability(runs: DataFrame, dist=DEFAULT_DISTRIBUTION) -> DataFrame:
     """(impl, plot order, size, time) readings of one distribution."""
-    order = implementation_info("impl", "order")
-    return runs.where((F.col("dist") == dist) & order.isNotNull()).select(
-        "impl", order.alias("plot_order"), "size", "real_time", "seq")
+    return runs.where((F.col("dist") == dist) & known()).select(
+        "impl", implementation_info("impl", "order").alias("plot_order"), "size", "real_time", "seq")
 
 
 def speedup_statistics(runs: DataFrame, baseline=BASELINE) -> DataFrame:
     """Mean, median, extremes and population deviation per implementation.
     The exact median comes from a distributed ranking, not from collected groups."""
-    found = speedups(runs, baseline).where(implementation_info("impl", "order").isNotNull())
+    found = speedups(runs, baseline).where(known())
     placed = ranked(found.select("impl", "speedup", *CONFIG), ["impl", "speedup", *CONFIG], "at")
     stats = placed.groupBy("impl").agg(
         F.count(F.lit(1)).alias("configurations"), F.min("at").alias("head"),
@@ -159,7 +164,7 @@ def optimisation_verdict(runs: DataFrame, baseline=BASELINE) -> DataFrame:
 def implementation_summary(runs: DataFrame) -> DataFrame:
     """Averages and communication overhead per known implementation, 2 decimals."""
     label, comm = implementation_info("impl", "label"), implementation_info("impl", "has_comm")
-    means = runs.where(label.isNotNull()).groupBy("impl").agg(
+    means = runs.where(known()).groupBy("impl").agg(
         F.avg("real_time").alias("r"), F.avg("cpu_time").alias("c"), F.avg("comm_time").alias("m"),
         F.count(F.lit(1)).alias("test_count"))
     return means.select(
@@ -171,10 +176,10 @@ def implementation_summary(runs: DataFrame) -> DataFrame:
 
 def configured_implementations(runs: DataFrame) -> DataFrame:
     """Known implementations present in the data with label and plot order."""
-    present = runs.select("impl").distinct()
+    present = runs.where(known()).select("impl").distinct()
     return present.select("impl", implementation_info("impl", "label").alias("label"),
                           implementation_info("impl", "order").alias("plot_order"),
-                          implementation_info("impl", "category").alias("category")).where("plot_order is not null")
+                          implementation_info("impl", "category").alias("category"))
 
 
 def efficiency(runs: DataFrame, baseline=BASELINE) -> DataFrame:
@@ -191,11 +196,11 @@ def summary_lines(runs: DataFrame, baseline=BASELINE) -> DataFrame:
     base = F.col(baseline)
 
     def time_cell(impl):
-        return F.when(F.col(impl) > 0, F.concat(F.format_string("%.2f", F.col(impl)), F.lit(" ms"))).otherwise("N/A")
+        return F.when(F.col(impl) > 0, F.concat(two_decimals(impl), F.lit(" ms"))).otherwise("N/A")
 
     def speed_cell(impl):
         return F.when((F.col(impl) > 0) & (base > 0),
-                      F.concat(F.format_string("%.2f", base / F.col(impl)), F.lit("x"))).otherwise("N/A")
+                      F.concat(two_decimals(F.try_divide(base, F.col(impl))), F.lit("x"))).otherwise("N/A")
 
     names = [row[0] for row in IMPLEMENTATIONS]
     cells = [F.rpad(F.concat_ws("/", F.col("size"), F.col("dist")), 30, " ")]

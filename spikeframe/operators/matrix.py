@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import int_div
+from ..functions.columns import int_div, two_decimals
 from ..functions.skew import salted_join
 from ..session import shuffle_partitions
 
@@ -237,4 +237,4 @@ def approx_equal(a: DataFrame, b: DataFrame, tolerance=1e-5) -> DataFrame:
 def corner(cells: DataFrame, limit=5) -> DataFrame:
     """Top-left corner as display text with two decimals."""
     return (cells.where((F.col("i") < limit) & (F.col("j") < limit))
-            .select("i", "j", F.format_string("%.2f", "v").alias("shown")))
+            .select("i", "j", two_decimals("v").alias("shown")))

@@ -163,7 +163,7 @@ FROM cfg GROUP BY 1, 2, 3""",
     "bench_comm_overhead": f"""{_RESULTS}
 SELECT seq, impl, dist, size,
        round(CASE WHEN comm_time > 0 THEN cpu_time - comm_time ELSE cpu_time END, {DIGITS}) AS comp_time,
-       round(comm_time / cpu_time * 100, {DIGITS}) AS comm_percentage
+       round(comm_time / nullif(cpu_time, 0) * 100, {DIGITS}) AS comm_percentage
 FROM runs WHERE impl IN ('NaiveCudaMpiSnp', 'CudaMpiSnp')""",
     "bench_scalability": f"""{_RESULTS}
 SELECT impl, {_ORDER} AS plot_order, size, real_time, seq FROM runs WHERE dist = 'Random'""",

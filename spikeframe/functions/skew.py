@@ -7,23 +7,23 @@ from ..session import shuffle_partitions
 from .columns import int_div
 
 
-def salted_join(left: DataFrame, right: DataFrame, key, salt_by) -> DataFrame:
-    """Inner join on ``key`` where keys that hold more than an even share of ``left``
+def salted_join(left: DataFrame, right: DataFrame, keys, salt_by) -> DataFrame:
+    """Inner join on ``keys`` where keys that hold more than an even share of ``left``
     are split by a hash of ``salt_by`` and their ``right`` rows repeated per split.
 
     At most ``parts`` keys can exceed a 1/parts share, which bounds the broadcast list.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     parts = shuffle_partitions(left.sparkSession)
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_rows"))
-    hot = (counts.where(F.col("_n") * parts > total.scalar())
-           .select(key, F.least(int_div(F.col("_n") * parts, total.scalar()) + 1,
-                                F.lit(parts)).alias("_splits")))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = counts.where(F.col("_n") * parts > total).select(
+        *keys, F.least(int_div(F.col("_n") * parts, total) + 1, F.lit(parts)).alias("_splits"))
     splits = F.coalesce("_splits", F.lit(1))
-    salted = (left.join(F.broadcast(hot), key, "left")
+    salted = (left.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), splits).cast("int"))
               .drop("_splits"))
-    spread = (right.join(F.broadcast(hot), key, "left")
+    spread = (right.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), (splits - 1).cast("int"))))
               .drop("_splits"))
-    return salted.join(spread, [key, "_salt"]).drop("_salt")
+    return salted.join(spread, [*keys, "_salt"]).drop("_salt")

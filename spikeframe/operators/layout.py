@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import block_rank, block_size, block_start
 from ..functions.scans import running_total, slot_numbers
+from ..functions.skew import salted_join
+from ..session import cut_lineage
 
 
 def row_blocks(spark, n, parts) -> DataFrame:
@@ -51,9 +53,9 @@ def exchange_volume(synapses: DataFrame, n, parts) -> DataFrame:
 
 def combined_exports(production: DataFrame, synapses: DataFrame, n, parts) -> DataFrame:
     """Weighted production summed per (source rank, destination) before the exchange."""
-    sent = classified_synapses(synapses, n, parts).where("kind = 'export'").join(
-        production.where("produced > 0").select(F.col("nid").alias("source_id"), "produced"), "source_id")
-    return (sent.where("weight > 0").groupBy("source_rank", "dest_rank", "dest_id")
+    exported = classified_synapses(synapses, n, parts).where("kind = 'export' and weight > 0")
+    active = production.where("produced > 0").select(F.col("nid").alias("source_id"), "produced")
+    return (salted_join(exported, active, "source_id", ["dest_id"]).groupBy("source_rank", "dest_rank", "dest_id")
             .agg(F.sum(F.col("produced") * F.col("weight")).alias("spikes")))
 
 
@@ -104,7 +106,8 @@ def transition_matrix(rules: DataFrame, synapses: DataFrame) -> DataFrame:
     own = rules.select("nid", "rule_idx", F.col("nid").alias("dest"), (-F.col("consumed")).cast("bigint").alias("v"))
     edges = synapses.groupBy(F.col("source_id").alias("nid"), F.col("dest_id").alias("dest")).agg(
         F.sum("weight").alias("weight"))
-    sent = rules.where("produced > 0").join(edges, "nid").select(
+    producing = rules.where("produced > 0").select("nid", "rule_idx", "produced")
+    sent = salted_join(edges, producing, "nid", ["dest"]).select(
         "nid", "rule_idx", "dest", (F.col("produced") * F.col("weight")).alias("v"))
     return own.unionAll(sent).groupBy("nid", "rule_idx", "dest").agg(F.sum("v").alias("v"))
 
@@ -112,7 +115,8 @@ def transition_matrix(rules: DataFrame, synapses: DataFrame) -> DataFrame:
 def algebraic_step(state: DataFrame, fired: DataFrame, matrix: DataFrame) -> DataFrame:
     """C' = C + S * M for systems without delays: ``state(nid, spikes)``, spiking vector
     ``fired(nid, rule_idx)`` and the transition matrix."""
-    moved = (fired.where("rule_idx >= 0").join(matrix, ["nid", "rule_idx"])
+    matrix = cut_lineage(matrix)
+    moved = (salted_join(matrix, fired.where("rule_idx >= 0"), ["nid", "rule_idx"], ["dest"])
              .select(F.col("dest").alias("nid"), F.col("v").alias("spikes")))
     return (state.select("nid", "spikes").unionAll(moved)
             .groupBy("nid").agg(F.sum("spikes").cast("bigint").alias("spikes")))

@@ -75,9 +75,10 @@ def multiply_rows(a: DataFrame, b: DataFrame, k: int, n: int, small_cells=SMALL_
     if k * n > small_cells:
         m = a.agg(F.max("i") + 1).first()[0]
         return to_rows(multiply_block(to_cells(a), b, m, n, k), n)
+    cells = b.where(F.col("i").between(0, k - 1) & F.col("j").between(0, n - 1))
     dense = np.zeros((k, n))
-    for r in b.collect():
-        dense[r.i, r.j] += r.v
+    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # at most k*n rows
+        dense[r.i, r.j] = r.v
     shared = a.sparkSession.sparkContext.broadcast(dense)
 
     def run(batches):
@@ -94,7 +95,12 @@ def multiply_rows(a: DataFrame, b: DataFrame, k: int, n: int, small_cells=SMALL_
 
 def multiply_outer(a: DataFrame, b: DataFrame | None, m: int, n: int) -> DataFrame:
     """Transpose of ``a`` (rows of m values) times ``b`` (rows of n values), both keyed by
-    the same row number; ``b`` None means ``a`` itself. Returns m*n coordinates."""
+    the same row number; ``b`` None means ``a`` itself. Returns m*n coordinates.
+    Every task holds and emits m*n cells, so wide operands take the block strategy."""
+    if m * n > SMALL_CELLS:
+        k = a.agg(F.max("i") + 1).first()[0]
+        right = a if b is None else b
+        return multiply_block(transpose(to_cells(a)), to_cells(right), m, n, k)
     if b is None:
         pairs = a.select(F.col("row").cast("array<double>").alias("x")).withColumn("y", F.col("x"))
     else:

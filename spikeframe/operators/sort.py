@@ -8,7 +8,7 @@ gets from a histogram without walking through the ticks.
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
@@ -146,19 +146,19 @@ def pack_sorting_networks(groups: DataFrame, scope) -> DataFrame:
            ) as synapses""")
 
 
-def _small_groups(df, key, value, group_limit, tick_limit):
+def _large_groups(df, key, value, group_limit, tick_limit):
+    """Groups with too many rows, or whose values would take too many ticks."""
     bounds = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"),
                                  F.max(value).alias("hi"))
     ticks = F.col("hi") + F.greatest(F.lit(0), -F.col("lo"))
-    fits = (F.col("n") <= group_limit) & (ticks <= tick_limit)
-    return bounds.where(fits).select(key), bounds.where(~fits).select(key)
+    return bounds.where((F.col("n") > group_limit) | (ticks > tick_limit)).select(key)
 
 
 def sort_groups(df: DataFrame, key, value, group_limit=NETWORK_GROUP_LIMIT,
                 tick_limit=NETWORK_TICK_LIMIT) -> DataFrame:
     """(key, pos, value) per group: groups within the limits run their sorting network,
     the others (too many rows, or too many ticks) take the exact counting strategy."""
-    _, large = _small_groups(df, key, value, group_limit, tick_limit)
+    large = _large_groups(df, key, value, group_limit, tick_limit)
     rows = df.select(key, F.col(value).cast("bigint").alias("value"))
     any_large = not large.isEmpty()
     small = rows.join(large, key, "left_anti") if any_large else rows

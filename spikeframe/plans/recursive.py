@@ -3,8 +3,9 @@
 
 
 def simulation_sql(ctes, ticks, final, scope="", reopen=False, inhibit_now=False,
-                   inhibit_later=True):
-    """``final`` selects from st(k, [scope,] nid, spikes, timer, is_open, pending)."""
+                   inhibit_later=True, train=False):
+    """``final`` selects from st(k, [scope,] nid, spikes, timer, is_open, pending);
+    with ``train`` a CTE train(k, nid, spikes) joins tick k."""
     pre = f"{scope}, " if scope else ""
     same = f" AND r.{scope} = a.{scope}" if scope else ""
     edge = f" AND y.{scope} = b.{scope}" if scope else ""
@@ -13,6 +14,8 @@ def simulation_sql(ctes, ticks, final, scope="", reopen=False, inhibit_now=False
     apre = f"a.{scope}, " if scope else ""
     now = "b.imm * y.weight" if inhibit_now else "greatest(b.imm * y.weight, 0)"
     later = "b.late * y.weight" if inhibit_later else "greatest(b.late * y.weight, 0)"
+    outside = "+ coalesce(x.spikes, 0)" if train else ""
+    joined = "LEFT JOIN train x ON x.k = b.k + 1 AND x.nid = b.nid" if train else ""
     if reopen:
         late = "CASE WHEN reopened THEN p0 ELSE 0 END"
         p2 = "CASE WHEN d > 0 THEN produced WHEN reopened THEN 0 ELSE p0 END"
@@ -49,8 +52,8 @@ st(k, {pre}nid, spikes, timer, is_open, pending) AS (
      FROM b JOIN synapses y ON y.source_id = b.nid{edge} WHERE b.imm > 0 OR b.late > 0
      GROUP BY ALL)
    SELECT b.k + 1, {bpre}b.nid,
-          CAST(b.s2 + CASE WHEN b.o2 THEN coalesce(i.inc, 0) ELSE 0 END AS BIGINT),
+          CAST(b.s2 + CASE WHEN b.o2 THEN coalesce(i.inc, 0) {outside} ELSE 0 END AS BIGINT),
           CAST(b.t2 AS INTEGER), b.o2, CAST({p3} AS BIGINT)
-   FROM b LEFT JOIN i ON i.nid = b.nid{into})
+   FROM b LEFT JOIN i ON i.nid = b.nid{into} {joined})
 )
 {final}"""

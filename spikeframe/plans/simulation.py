@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.external import advance_with_trains
 from ..operators.network import compile_network
 from ..operators.simulate import advance, spiking_vector, trace
 from ..operators.tick import INHIBITORY, REOPEN, SEQUENTIAL
@@ -51,6 +52,15 @@ synapses AS (
                         o_orderkey AS dest_id, 1 AS weight FROM orders)
   WHERE source_id IS NOT NULL)"""
 
+USERS = """neurons AS (SELECT DISTINCT user_id AS nid, 0 AS initial_spikes FROM events),
+rules AS (SELECT nid, 0 AS rule_idx, 9 AS threshold, 4 AS consumed, 3 AS produced, nid % 2 AS delay
+          FROM neurons UNION ALL SELECT nid, 1, 2, 1, 1, 0 FROM neurons),
+synapses AS (
+  SELECT * FROM (SELECT lag(nid) OVER (ORDER BY nid) AS source_id, nid AS dest_id, 1 AS weight FROM neurons)
+  WHERE source_id IS NOT NULL),
+train AS (SELECT list_position(['view', 'click', 'purchase', 'signup', 'error'], event_type) AS k,
+                 user_id AS nid, count(*) AS spikes FROM events GROUP BY 1, 2)"""
+
 STATE = "CAST(nid AS BIGINT) AS nid, spikes, timer, is_open, pending"
 
 
@@ -101,6 +111,12 @@ def snp_spiking_vector(spark, folder):
     return spiking_vector(advance(net.initial_state(), net, 2), net)
 
 
+def snp_external_spikes(spark, folder):
+    """Five ticks with external spikes joining every tick."""
+    net = compile_network(tables.user_chain_network(spark, folder))
+    return _state(advance_with_trains(net.initial_state(), net, tables.event_trains(spark, folder), 5))
+
+
 def snp_rule_counts(spark, folder):
     """Total rules, neurons, synapses and outputs of the loaded network."""
     n = tables.trade_network(spark, folder)
@@ -113,7 +129,8 @@ def snp_rule_counts(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     snp_step_trade, snp_inhibitory_sequential, snp_inhibitory_applied, snp_emit_on_reopen,
-    snp_trace_market, snp_chain_orders, snp_outputs_market, snp_spiking_vector, snp_rule_counts)}
+    snp_trace_market, snp_chain_orders, snp_outputs_market, snp_spiking_vector, snp_external_spikes,
+    snp_rule_counts)}
 
 ORACLES = {
     "snp_step_trade": simulation_sql(SHIPMENTS, 5, f"SELECT {STATE} FROM st WHERE k = 5"),
@@ -131,6 +148,7 @@ WHERE st.k = 3 AND n.is_output"""),
 SELECT CAST(st.nid AS BIGINT) AS nid, CAST(coalesce(min(r.rule_idx), -1) AS INTEGER) AS rule_idx
 FROM st LEFT JOIN rules r ON r.nid = st.nid AND (st.is_open OR st.timer = 1)
   AND st.spikes >= r.threshold WHERE st.k = 2 GROUP BY st.nid"""),
+    "snp_external_spikes": simulation_sql(USERS, 5, f"SELECT {STATE} FROM st WHERE k = 5", train=True),
     "snp_rule_counts": f"""WITH {SHIPMENTS}
 SELECT (SELECT count(*) FROM neurons) AS neurons,
        (SELECT count(*) FROM neurons WHERE is_output) AS outputs,

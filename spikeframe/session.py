@@ -15,6 +15,8 @@ def build_session(app_name="spikeframe", master=None, **conf):
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # ticks repeat the same stages: equal class text lets them share compiled code
+        "spark.sql.codegen.useIdInClassName": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():

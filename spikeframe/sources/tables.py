@@ -130,3 +130,19 @@ def event_results(spark, folder) -> DataFrame:
         """case when event_type in ('signup', 'error') and user_id % 4 <> 0
                 then cast(regexp_extract(props, '"k": ([0-9]+)', 1) as double) * 0.0625 end as Comm_ms""",
         "case when event_type in ('signup', 'error') then 4 end as Procs", "props")
+
+
+def user_chain_network(spark, folder) -> Network:
+    """Users of the events in id order as a chain that starts without spikes."""
+    users = table(spark, folder, "events").select(F.col("user_id").alias("nid")).distinct()
+    users = users.select("nid", F.lit(0).alias("initial_spikes"), F.lit(False).alias("is_output"))
+    links = chain(users.select("nid", F.col("nid").alias("pos")))
+    return Network(_neurons(users), _rules(users, (9, 4, 3, "nid % 2"), (2, 1, 1, 0)), links)
+
+
+def event_trains(spark, folder) -> DataFrame:
+    """External spikes (k, nid, spikes): a user's events of the k-th type arrive in tick k."""
+    kind = F.expr("array_position(array({}), event_type)".format(
+        ", ".join(f"'{t}'" for t in EVENT_TYPES)))
+    return (table(spark, folder, "events").groupBy(kind.alias("k"), F.col("user_id").alias("nid"))
+            .agg(F.count(F.lit(1)).alias("spikes")))

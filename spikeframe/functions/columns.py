@@ -100,4 +100,4 @@ def extract_metric(report, key) -> Column:
 def two_decimals(values: pd.Series) -> pd.Series:
     """Display text with two decimals, rounded from the exact binary value. Built-in
     formatting rounds the shortest decimal text instead and differs on ties."""
-    return values.map(lambda v: f"{v:.2f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{v:.2f}" for v in values], dtype=object)

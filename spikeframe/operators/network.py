@@ -82,7 +82,7 @@ class CompiledNetwork:
     ``static`` has one row per neuron. Its lists are inlined while every neuron fits
     one page; beyond that it only holds page counts, and the lists live in
     ``rule_pages`` / ``out_pages`` keyed by (neuron, page), so a hub's lists are
-    spread over many tasks.
+    spread over many tasks. Paged rules imply paged synapses.
     """
     static: DataFrame
     rule_pages: DataFrame | None = None
@@ -90,10 +90,6 @@ class CompiledNetwork:
     scope: tuple = ()
     keys: list = field(default_factory=lambda: ["nid"])
 
-    @property
-    def paged(self):
-        return self.out_pages is not None
-
     def release(self):
         for table in (self.static, self.rule_pages, self.out_pages):
             if table is not None:
@@ -155,23 +151,23 @@ def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
     keys, parts = network.keys, shuffle_partitions(network.neurons.sparkSession)
     edges = cut_lineage(combined_synapses(network))
     longest = _longest_lists(network, edges)
-    paged = max(longest.out, longest.rules) > page_size
-    outs = _out_lists(network, edges, page_size, paged)
-    rules = _rule_lists(network, page_size, paged)
-    if paged:
-        outs = _resident(outs.repartition(parts, *keys, "page"), [*keys, "page"])
-        rules = _resident(rules.repartition(parts, *keys, "page"), [*keys, "page"])
-        lists = [t.groupBy(*keys).agg((F.max("page") + 1).alias(c))
-                 for t, c in ((rules, "n_rules"), (outs, "n_outs"))]
-        columns = ["coalesce(n_rules, 0) as n_rules", "coalesce(n_outs, 0) as n_outs"]
-    else:
-        lists = [rules, outs]
-        columns = ["rules", f"concat(array({OWN_RECORD}), coalesce(outs, array())) as outs"]
-    static = network.neurons.select(*keys, "initial_spikes")
-    for table in lists:
-        static = static.join(table, keys, "left")
-    static = static.selectExpr(*keys, "initial_spikes", *columns)
-    return CompiledNetwork(
-        static=_resident(static.repartition(parts, *keys), keys),
-        rule_pages=rules if paged else None, out_pages=outs if paged else None,
-        scope=network.scope, keys=keys)
+    paged_rules = longest.rules > page_size
+    paged_outs = paged_rules or longest.out > page_size
+    sides = []
+    for name, lists, paged in (("rules", _rule_lists(network, page_size, paged_rules), paged_rules),
+                               ("outs", _out_lists(network, edges, page_size, paged_outs), paged_outs)):
+        pages = None
+        if paged:
+            by_page = [*keys, "page"]
+            pages = _resident(lists.repartition(parts, *by_page), by_page)
+            lists = pages.groupBy(*keys).agg((F.max("page") + 1).alias(f"n_{name}"))
+        sides.append((lists, pages))
+    (rules, rule_pages), (outs, out_pages) = sides
+    static = (network.neurons.select(*keys, "initial_spikes")
+              .join(rules, keys, "left").join(outs, keys, "left")
+              .selectExpr(*keys, "initial_spikes",
+                          "coalesce(n_rules, 0) as n_rules" if paged_rules else "rules",
+                          "coalesce(n_outs, 0) as n_outs" if paged_outs else
+                          f"concat(array({OWN_RECORD}), coalesce(outs, array())) as outs"))
+    return CompiledNetwork(static=_resident(static.repartition(parts, *keys), keys),
+                           rule_pages=rule_pages, out_pages=out_pages, scope=network.scope, keys=keys)

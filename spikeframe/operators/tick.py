@@ -37,13 +37,17 @@ FIRST_MATCH = "get(filter(rules, r -> r.threshold <= spikes), 0)"
 WAITS = "coalesce(fired.delay > 0, false)"
 
 
+def _outs_column(net):
+    return "outs" if net.out_pages is None else "n_outs"
+
+
 def _with_fired(state: DataFrame, net: CompiledNetwork) -> DataFrame:
     """State after the clock moved (T1), with the fired rule or NULL."""
     joined = state.join(net.static.drop("initial_spikes"), net.keys, "left")
     clock = ["spikes", "greatest(timer - 1, 0) as timer", f"{OPEN_NOW} as is_open",
              "timer = 1 as reopened", "pending"]
-    if not net.paged:
-        return joined.selectExpr(*net.keys, *clock, "outs",
+    if net.rule_pages is None:
+        return joined.selectExpr(*net.keys, *clock, _outs_column(net),
                                  f"case when {OPEN_NOW} then {FIRST_MATCH} end as fired")
     # only an open neuron looks at more than one page of its rules
     probed = joined.selectExpr(
@@ -74,14 +78,14 @@ def fire(state: DataFrame, net: CompiledNetwork, policy: TickPolicy = SEQUENTIAL
         f"case when {WAITS} then 0 else coalesce(fired.produced, 0) end as immediate",
         f"{delayed} as delayed",
         "fired.rule_idx as rule_idx",
-        "n_outs" if net.paged else "outs")
+        _outs_column(net))
 
 
 def deliver(fired: DataFrame, net: CompiledNetwork, policy: TickPolicy = SEQUENTIAL) -> DataFrame:
     """Send along synapses and sum at open destinations."""
     sends = "immediate > 0 or delayed > 0"
     state = ["spikes", "timer", "is_open", "pending"]
-    if net.paged:
+    if net.out_pages is not None:
         # page -1 is the neuron's own record, which meets no synapse page
         fired = fired.selectExpr(
             *net.keys, *state, "immediate", "delayed",

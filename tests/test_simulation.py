@@ -25,6 +25,8 @@ CASES = {
     "closes in the same tick": (System([1, 1], {0: [(1, 1, 1, 0)], 1: [(1, 1, 1, 2)]}, [(0, 1, 1)]),
                                 [[1, 1], [0, 0], [0, 0]]),
     "consumes below zero": (System([1, 0], {0: [(1, 3, 1, 0)]}, [(0, 1, 1)]), [[1, 0], [-2, 1], [-2, 1]]),
+    "fan": (System([1, 0, 0, 0], {0: [(3, 3, 9, 0), (1, 1, 1, 0)]}, [(0, 1, 1), (0, 2, 2), (0, 3, 3)]),
+            [[1, 0, 0, 0], [0, 1, 2, 3]]),
     "parallel and self": (System([2, 0], {0: [(1, 1, 1, 0)]}, [(0, 1, 2), (0, 1, 3), (0, 1, -4), (0, 0, 1)]),
                           [[2, 0], [2, 5], [2, 10]]),
 }
@@ -61,10 +63,11 @@ def test_model_agrees_with_known_states():
         assert got == states, name
 
 
-@pytest.mark.parametrize("page_size", [4096, 1])
+@pytest.mark.parametrize("page_size", [4096, 2, 1])
 def test_known_states(case_network, page_size):
     net = compile_network(case_network, page_size)
-    assert net.paged == (page_size == 1)
+    inline = {4096: (True, True), 2: (True, False), 1: (False, False)}[page_size]
+    assert (net.rule_pages is None, net.out_pages is None) == inline
     rows = trace(net.initial_state(), net, 4).collect()
     spikes = {(r.sys, r.k, r.nid): r.spikes for r in rows}
     for name, (_, states) in CASES.items():
@@ -92,7 +95,7 @@ def test_paged_hubs_and_long_rule_lists(spark):
                     + [(i, (i * 7) % n, 2) for i in range(1, n)])
     network = to_network(spark, {"hub": system})
     net = compile_network(network, page_size=5)
-    assert net.paged and net.out_pages.where("nid = 0").count() > 5
+    assert net.out_pages.where("nid = 0").count() > 5
     assert net.rule_pages.where("nid = 0").count() == 8
     assert found(advance(net.initial_state(), net, 5)) == expected({"hub": system}, 5)
 

@@ -10,6 +10,7 @@ from ..functions.columns import int_div
 from ..session import cut_lineage, shuffle_partitions
 
 PAGE_SIZE = 4096
+SMALL_NETWORK = 100_000
 
 # element that carries a neuron's own state through the delivery: it has no weights
 OWN_RECORD = ("named_struct('dest', nid, 'gain', cast(null as bigint), "
@@ -139,20 +140,23 @@ def _resident(df, keys):
     return df.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _longest_lists(network, edges):
-    """Largest out-degree and rule count of a neuron (one row to the driver)."""
+def _measure(network, edges):
+    """Longest synapse and rule list of a neuron, and the size of the network (one row)."""
     degrees = edges.groupBy(*network.scope, "source_id").agg(F.count(F.lit(1)).alias("n"))
-    positions = network.rules.agg(F.coalesce(F.max("rule_idx") + 1, F.lit(0)).alias("n"))
-    return degrees.agg(F.coalesce(F.max("n"), F.lit(0)).alias("out"),
-                       ).select("out", positions.scalar().alias("rules")).first()
+    sizes = degrees.agg(F.coalesce(F.max("n"), F.lit(0)).alias("out"),
+                        F.coalesce(F.sum("n"), F.lit(0)).alias("synapses"))
+    rules = network.rules.agg(F.coalesce(F.max("rule_idx") + 1, F.lit(0)))
+    neurons = network.neurons.agg(F.count(F.lit(1)))
+    return sizes.select("out", "synapses", rules.scalar().alias("rules"),
+                        neurons.scalar().alias("neurons")).first()
 
 
 def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
     keys, parts = network.keys, shuffle_partitions(network.neurons.sparkSession)
     edges = cut_lineage(combined_synapses(network))
-    longest = _longest_lists(network, edges)
-    paged_rules = longest.rules > page_size
-    paged_outs = paged_rules or longest.out > page_size
+    size = _measure(network, edges)
+    paged_rules = size.rules > page_size
+    paged_outs = paged_rules or size.out > page_size
     sides = []
     for name, lists, paged in (("rules", _rule_lists(network, page_size, paged_rules), paged_rules),
                                ("outs", _out_lists(network, edges, page_size, paged_outs), paged_outs)):
@@ -169,5 +173,9 @@ def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
                           "coalesce(n_rules, 0) as n_rules" if paged_rules else "rules",
                           "coalesce(n_outs, 0) as n_outs" if paged_outs else
                           f"concat(array({OWN_RECORD}), coalesce(outs, array())) as outs"))
-    return CompiledNetwork(static=_resident(static.repartition(parts, *keys), keys),
+    # large tables keep the partition count of the state's shuffle, so that their join needs
+    # none; a small one may be merged and is then broadcast under Spark's own size check
+    small = size.neurons + size.synapses <= SMALL_NETWORK
+    placed = static.repartition(*keys) if small else static.repartition(parts, *keys)
+    return CompiledNetwork(static=_resident(placed, keys),
                            rule_pages=rule_pages, out_pages=out_pages, scope=network.scope, keys=keys)

@@ -75,6 +75,13 @@ class Simulator:
         self.steps += steps
         return self
 
+    def run_until_quiet(self, limit):
+        """Step until no rule applies and no delay runs, at most ``limit`` ticks. The
+        check runs once per lineage cut; ticks after the system went quiet change nothing."""
+        while self.steps < limit and not is_quiet(self.state, self.net, self.policy):
+            self.step(min(self.cut_every, limit - self.steps))
+        return self
+
     def global_state(self) -> DataFrame:
         return self.state.select(*self.net.keys, "spikes").orderBy(*self.net.keys)
 

@@ -135,6 +135,8 @@ def test_simulator_object(spark):
     assert report.total_compute_ms > 0 and "Total Steps: 3" in sim.performance_report()
     sim.set_spikes(spark.createDataFrame([(0, 5)], "nid long, spikes long"))
     assert [r.spikes for r in sim.global_state().collect()] == [5, 6]
+    sim.reset().run_until_quiet(20)
+    assert [r.spikes for r in sim.global_state().collect()] == [0, 6] and sim.steps <= 8
     sim.reset()
     assert [r.spikes for r in sim.global_state().collect()] == [2, 0] and sim.steps == 0
     assert sim.performance().first().avg_step_ms is None

@@ -7,15 +7,17 @@ from ..session import shuffle_partitions
 from .columns import int_div
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys, salt_by) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys, salt_by, key_sizes=None) -> DataFrame:
     """Inner join on ``keys`` where keys that hold more than an even share of ``left``
     are split by a hash of ``salt_by`` and their ``right`` rows repeated per split.
 
     At most ``parts`` keys can exceed a 1/parts share, which bounds the broadcast list.
+    ``key_sizes`` is a table whose rows per key stand for ``left``'s where ``left`` is
+    costly to compute twice; it only steers the split, never the result.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     parts = shuffle_partitions(left.sparkSession)
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (left if key_sizes is None else key_sizes).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.where(F.col("_n") * parts > total).select(
         *keys, F.least(int_div(F.col("_n") * parts, total) + 1, F.lit(parts)).alias("_splits"))

@@ -107,7 +107,8 @@ def transition_matrix(rules: DataFrame, synapses: DataFrame) -> DataFrame:
     edges = synapses.groupBy(F.col("source_id").alias("nid"), F.col("dest_id").alias("dest")).agg(
         F.sum("weight").alias("weight"))
     producing = rules.where("produced > 0").select("nid", "rule_idx", "produced")
-    sent = salted_join(edges, producing, "nid", ["dest"]).select(
+    sent = salted_join(edges, producing, "nid", ["dest"],
+                       synapses.select(F.col("source_id").alias("nid"))).select(
         "nid", "rule_idx", "dest", (F.col("produced") * F.col("weight")).alias("v"))
     return own.unionAll(sent).groupBy("nid", "rule_idx", "dest").agg(F.sum("v").alias("v"))
 

@@ -61,11 +61,12 @@ def densify(cells: DataFrame, m: int, n: int) -> DataFrame:
         "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def multiply_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sparse product of coordinate matrices; cells that no pair reaches are absent."""
+def multiply_join(a: DataFrame, b: DataFrame, key_sizes=None) -> DataFrame:
+    """Sparse product of coordinate matrices; cells that no pair reaches are absent.
+    ``key_sizes(k)`` may stand for the cells per column of ``a``, see ``salted_join``."""
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    return (salted_join(left, right, "k", ["i"])
+    return (salted_join(left, right, "k", ["i"], key_sizes)
             .groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")))
 
 

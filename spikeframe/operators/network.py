@@ -110,13 +110,15 @@ def combined_synapses(network: Network) -> DataFrame:
                  F.sum("weight").cast("bigint").alias("net")))
 
 
-def _out_lists(network, edges, page_size, paged):
+def _out_lists(network, edges, page_size, paged, parts=None):
     """Synapse lists per source, cut into pages for hubs. Hub pages hash the destination,
-    and the hub list is joined under Spark's own size check and skew handling."""
+    and the hub list is joined under Spark's own size check and skew handling.
+    With ``parts`` the unpaged lists are built in that many hash partitions."""
     source = [*network.scope, "source_id"]
     item = F.struct(F.col("dest_id").alias("dest"), "gain", "net")
     if not paged:
-        lists = edges.groupBy(*source).agg(F.collect_list(item).alias("outs"))
+        placed = edges.repartition(parts, *source) if parts else edges
+        lists = placed.groupBy(*source).agg(F.collect_list(item).alias("outs"))
         return lists.withColumnRenamed("source_id", "nid")
     degree = edges.groupBy(*source).agg(F.count(F.lit(1)).alias("_deg"))
     hubs = (degree.where(F.col("_deg") > page_size)
@@ -136,8 +138,11 @@ def _rule_lists(network, page_size, paged):
 
 
 def _resident(df, keys):
-    """Cache a static table in its join layout; a lost block is rebuilt from its sources."""
-    return df.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    """Cache a static table in its join layout; a lost block is rebuilt from its sources.
+    Filling the cache here lets the planner see the layout when ticks are planned."""
+    cached = df.sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    cached.count()
+    return cached
 
 
 def _measure(network, edges):
@@ -157,9 +162,11 @@ def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
     size = _measure(network, edges)
     paged_rules = size.rules > page_size
     paged_outs = paged_rules or size.out > page_size
+    small = size.neurons + size.synapses <= SMALL_NETWORK
     sides = []
     for name, lists, paged in (("rules", _rule_lists(network, page_size, paged_rules), paged_rules),
-                               ("outs", _out_lists(network, edges, page_size, paged_outs), paged_outs)):
+                               ("outs", _out_lists(network, edges, page_size, paged_outs,
+                                                   None if small else parts), paged_outs)):
         pages = None
         if paged:
             by_page = [*keys, "page"]
@@ -167,15 +174,18 @@ def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
             lists = pages.groupBy(*keys).agg((F.max("page") + 1).alias(f"n_{name}"))
         sides.append((lists, pages))
     (rules, rule_pages), (outs, out_pages) = sides
+    if not small:
+        rules, outs = rules.hint("merge"), outs.hint("merge")
     static = (network.neurons.select(*keys, "initial_spikes")
               .join(rules, keys, "left").join(outs, keys, "left")
               .selectExpr(*keys, "initial_spikes",
                           "coalesce(n_rules, 0) as n_rules" if paged_rules else "rules",
                           "coalesce(n_outs, 0) as n_outs" if paged_outs else
                           f"concat(array({OWN_RECORD}), coalesce(outs, array())) as outs"))
-    # large tables keep the partition count of the state's shuffle, so that their join needs
-    # none; a small one may be merged and is then broadcast under Spark's own size check
-    small = size.neurons + size.synapses <= SMALL_NETWORK
-    placed = static.repartition(*keys) if small else static.repartition(parts, *keys)
-    return CompiledNetwork(static=_resident(placed, keys),
+    # Large tables keep the partition count of the state's shuffle, so that their join needs
+    # none. Unpaged lists were already placed that way, and the merge joins above keep their
+    # layout; a small network may be merged and is then broadcast under Spark's size check.
+    if paged_outs and not small:
+        static = static.repartition(parts, *keys)
+    return CompiledNetwork(static=_resident(static, keys),
                            rule_pages=rule_pages, out_pages=out_pages, scope=network.scope, keys=keys)

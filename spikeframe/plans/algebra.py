@@ -60,7 +60,8 @@ def mat_multiply_sparse(spark, folder):
     brands = table(spark, folder, "part").select(
         F.col("p_partkey").alias("i"), F.substring("p_brand", 7, 9).cast("bigint").alias("j"),
         F.col("p_size").cast("double").alias("v"))
-    return _whole(matrix.multiply_join(_shipments(spark, folder, "true"), brands))
+    parts = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("k"))
+    return _whole(matrix.multiply_join(_shipments(spark, folder, "true"), brands, parts))
 
 
 def mat_hadamard(spark, folder):

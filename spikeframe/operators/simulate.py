@@ -60,6 +60,8 @@ class Simulator:
 
     def load_system(self, network: Network, validate=True) -> bool:
         self.network = network.validate() if validate else network
+        if self.net is not None:
+            self.net.release()
         self.net = compile_network(network, self.page_size)
         self.reset()
         return True

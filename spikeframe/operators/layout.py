@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import block_rank, block_size, block_start
 from ..functions.scans import running_total, slot_numbers
 from ..functions.skew import salted_join
-from ..session import cut_lineage
 
 
 def row_blocks(spark, n, parts) -> DataFrame:
@@ -113,11 +112,11 @@ def transition_matrix(rules: DataFrame, synapses: DataFrame) -> DataFrame:
     return own.unionAll(sent).groupBy("nid", "rule_idx", "dest").agg(F.sum("v").alias("v"))
 
 
-def algebraic_step(state: DataFrame, fired: DataFrame, matrix: DataFrame) -> DataFrame:
-    """C' = C + S * M for systems without delays: ``state(nid, spikes)``, spiking vector
-    ``fired(nid, rule_idx)`` and the transition matrix."""
-    matrix = cut_lineage(matrix)
-    moved = (salted_join(matrix, fired.where("rule_idx >= 0"), ["nid", "rule_idx"], ["dest"])
-             .select(F.col("dest").alias("nid"), F.col("v").alias("spikes")))
+def algebraic_step(state: DataFrame, fired: DataFrame, rules: DataFrame, synapses: DataFrame) -> DataFrame:
+    """C' = C + S * M for systems without delays: ``state(nid, spikes)`` and spiking vector
+    ``fired(nid, rule_idx)``. S picks one row of M per firing neuron, so only those rows
+    are formed and the product is their sum per column."""
+    chosen = rules.join(fired.where("rule_idx >= 0"), ["nid", "rule_idx"], "left_semi")
+    moved = transition_matrix(chosen, synapses).select(F.col("dest").alias("nid"), F.col("v").alias("spikes"))
     return (state.select("nid", "spikes").unionAll(moved)
             .groupBy("nid").agg(F.sum("spikes").cast("bigint").alias("spikes")))

@@ -84,8 +84,7 @@ def snp_algebraic_step(spark, folder):
     network = tables.without_delays(tables.trade_network(spark, folder))
     net = compile_network(network)
     state = net.initial_state()
-    return layout.algebraic_step(state, spiking_vector(state, net),
-                                 layout.transition_matrix(network.rules, network.synapses))
+    return layout.algebraic_step(state, spiking_vector(state, net), network.rules, network.synapses)
 
 
 def snp_many_visits(spark, folder):

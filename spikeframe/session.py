@@ -1,6 +1,8 @@
 """Session defaults and lineage cutting."""
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and keeps the hash partitioning."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark):
+    """Put this package on the executors' Python path, once per Spark context.
+
+    The driver serves the archive itself, so it lies in the driver's own temporary folder.
+    """
+    context, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    if any(f.endswith(f"/{name}.zip") for f in context.listFiles):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-code-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)

@@ -79,3 +79,35 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+class Recent:
+    """Results by word in two generations: words in use survive when the older half is dropped."""
+
+    def __init__(self, size: int, longest: int = 64):
+        self.size, self.longest = size, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def all(self, words: list[str], make: Callable[[str], object]) -> list:
+        """Results of all words, made where they aren't kept."""
+        known = self.young
+        found = [known.get(w) for w in words]
+        if None in found:
+            for k, value in enumerate(found):
+                if value is None:
+                    found[k] = self.one(words[k], make)
+        return found
+
+    def one(self, word: str, make: Callable[[str], object]):
+        value = self.young.get(word)
+        if value is None:
+            value = self.old.get(word)
+            if value is None:
+                value = make(word)
+            if len(word) <= self.longest:
+                if len(self.young) >= self.size:
+                    self.old = self.young
+                    self.young = {}
+                self.young[word] = value
+        return value

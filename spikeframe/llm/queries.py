@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_quality, oracles
+from . import exact_dedup, line_quality, mixture_packing, oracles, piece_tokens
 from .common import table
 
 
@@ -16,5 +16,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op4_exact_dedup)}
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens.token_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_quality, op4_exact_dedup, op6_mixture_packing, op9_piece_tokens)}
 ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP}

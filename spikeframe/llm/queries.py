@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_quality, mixture_packing, oracles, piece_tokens
+from . import exact_dedup, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens, secret_formats
 from .common import table
 
 
+def op1_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_formats.digests(secret_formats.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,5 +32,6 @@ def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_quality, op4_exact_dedup, op6_mixture_packing, op9_piece_tokens)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op6_mixture_packing, op9_piece_tokens)}
 ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP}

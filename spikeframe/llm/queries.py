@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens, secret_formats
+from . import exact_dedup, language_centroids, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens, secret_formats
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_centroids.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op6_mixture_packing, op9_piece_tokens)}
+    op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op6_mixture_packing, op9_piece_tokens,
+    op10_language_centroids)}
 ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_centroids, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens, secret_formats
+from . import (
+    exact_dedup, language_centroids, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens,
+    secret_formats, simhash_trees, suffix_levels,
+)
 from .common import table
 
 
@@ -24,10 +27,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.digests(suffix_levels.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trees.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(table(spark, sf_dir, "documents"))
 
@@ -37,6 +48,6 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op6_mixture_packing, op9_piece_tokens,
-    op10_language_centroids)}
+    op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op5_suffix_levels, op6_mixture_packing,
+    op7_simhash_trees, op9_piece_tokens, op10_language_centroids)}
 ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     exact_dedup, language_centroids, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens,
-    secret_formats, simhash_trees, suffix_levels,
+    secret_formats, simhash_trees, suffix_levels, surrogates,
 )
 from .common import table
 
@@ -39,6 +39,10 @@ def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trees.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(table(spark, sf_dir, "documents"))
+
+
 def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_tokens.token_digests(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op5_suffix_levels, op6_mixture_packing,
-    op7_simhash_trees, op9_piece_tokens, op10_language_centroids)}
+    op7_simhash_trees, op8_surrogates, op9_piece_tokens, op10_language_centroids)}
 ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP}

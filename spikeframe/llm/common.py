@@ -91,12 +91,11 @@ class Recent:
 
     def all(self, words: list[str], make: Callable[[str], object]) -> list:
         """Results of all words, made where they aren't kept."""
-        known = self.young
-        found = [known.get(w) for w in words]
-        if None in found:
-            for k, value in enumerate(found):
-                if value is None:
-                    found[k] = self.one(words[k], make)
+        found = list(map(self.young.get, words))
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.one(words[at], make)
         return found
 
     def one(self, word: str, make: Callable[[str], object]):

@@ -29,7 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import Recent, Scratch, tokenizer_file
 
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
+
+
+#: Below this character the vocabulary's own steps (NFC, lower case, split, bytes) are done here,
+#: word by word; other words go through the tokenizer as a whole.
+LATIN_END = 0x250
 
 
 class WordIds:
@@ -37,18 +42,34 @@ class WordIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = Recent(KEPT_WORDS)
+        # Fixed value: the vocabulary's split pattern.
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.bytes = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(LATIN_END)}
+        self.plain = frozenset(chr(c) for c in range(33, LATIN_END) if chr(c).isprintable() and (
+            len(chr(c).lower()) == 1 and ord(chr(c).lower()) < LATIN_END))
 
     def _make(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        if "<|" in word or not self.plain.issuperset(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        pieces = self.split(word.lower())
+        return np.array([t.id for piece in pieces for t in self.model.tokenize(piece.translate(self.bytes))],
+                        self.kind).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        return b"".join(self.words.all(words, self._make))
+        text = text or ""
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
+        return b"".join(self.words.all(text.replace("\n", " ").split(" "), self._make))
 
 
 _ENCODERS: dict[str, WordIds] = {}

@@ -25,7 +25,7 @@ from .common import Recent, tokenizer_file
 
 SPACE_MARK = "▁"
 #: Units and token pairs kept by a worker before its memory starts anew.
-KEPT_UNITS = 150_000
+KEPT_UNITS = 200_000
 KEPT_PAIRS = 500_000
 #: In the prefix table: a character without any piece, which its bytes stand for.
 OUTSIDE = -1

@@ -45,58 +45,89 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text hashed at a time (or one document); bounds a task's memory, not its results.
+CHUNK = 1 << 20
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of a base and of its inverse."""
+    if k not in _POWERS or len(_POWERS[k][0]) <= n:
+        size = max(n, CHUNK) + 1
+        both = []
+        for base in (_BASE[k], pow(_BASE[k], -1, 1 << 64)):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            both.append(np.cumprod(factors, dtype=np.uint64))
+        if size > CHUNK + 1:  # a single long document; not worth keeping
+            return both[0], both[1]
+        _POWERS[k] = both[0], both[1]
+    return _POWERS[k]
+
+
+class Hashes:
+    """Hashes of any stretch of some bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums, self.back = [], []
+        for k in range(2):
+            up, back = _powers(k, len(data))
+            self.sums.append(np.append(np.uint64(0), np.cumsum(_TABLE[k][data] * up[:len(data)], dtype=np.uint64)))
+            self.back.append(back)
+
+    def of(self, k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[k][stop] - self.sums[k][start]) * self.back[k][start])
+
+
+def _runs(hashes: Hashes, starts: np.ndarray, length: int, gram: int):
+    """first and last start, document, and key of the runs of documents that begin at `starts`."""
+    n = int(starts[-1])
+    if n < length:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    at = np.arange(n - gram + 1)
+    value = hashes.of(0, at, at + gram)
+    best, where, reach, width = value, at, 1, length - gram + 1
+    while reach < width:
+        step = min(reach, width - reach)
+        m = len(best) - step
+        left = best[:m] <= best[step:]
+        where = np.where(left, where[:m], where[step:])
+        best = np.where(left, best[:m], best[step:])
+        reach += step
+    start = np.arange(len(best))
+    doc = np.searchsorted(starts, start, side="right") - 1
+    whole = start + length <= starts[doc + 1]
+    start, doc, where = start[whole], doc[whole], where[whole]
+    heads = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]))[:len(start)])
+    tails = np.append(heads[1:], len(start)) - 1
+    return start[heads], start[tails], doc[heads], value[where[heads]]
+
+
 class Slot:
-    """The documents of one slot as one byte array, with their runs."""
+    """The documents of one slot, one after the other, with their runs."""
 
     def __init__(self, table: pa.Table, length: int, gram: int):
-        raw = [(t or "").encode() for t in table.column("text").to_pylist()]
-        ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
-        self.table, self.length, self.raw = table, length, raw
-        self.ids = np.array(ids, np.int64)
-        sizes = np.array([len(r) for r in raw], np.int64)
+        self.length = length
+        self.raw = [(t or "").encode() for t in table.column("text").to_pylist()]
+        self.ids = np.array([NO_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
+        sizes = np.array([len(r) for r in self.raw], np.int64)
         self.starts = np.append(0, np.cumsum(sizes))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        n = len(data)
-        self.sums, self.powers = [], []
-        for k in range(2):
-            up = np.full(n + 1, _BASE[k], np.uint64)
-            up[0] = 1
-            back = np.full(n + 1, pow(_BASE[k], -1, 1 << 64), np.uint64)
-            back[0] = 1
-            self.sums.append(np.append(np.uint64(0), np.cumsum(_TABLE[k][data] * np.cumprod(up)[:-1], dtype=np.uint64)))
-            self.powers.append(np.cumprod(back))
-        self._runs(n, gram)
-
-    def hashed(self, k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from start to stop, wherever they lie."""
-        return _mixed((self.sums[k][stop] - self.sums[k][start]) * self.powers[k][start])
-
-    def _runs(self, n: int, gram: int) -> None:
-        """first, last (starts of the run's strings), doc and key of all runs."""
-        empty = np.zeros(0, np.int64)
-        if n < self.length:
-            self.first, self.last, self.doc, self.key = empty, empty, empty, np.zeros(0, np.uint64)
-            return
-        at = np.arange(n - gram + 1)
-        value = self.hashed(0, at, at + gram)
-        width = self.length - gram + 1
-        best, where, reach = value, at, 1
-        while reach < width:
-            step = min(reach, width - reach)
-            m = len(best) - step
-            left = best[:m] <= best[step:]
-            where = np.where(left, where[:m], where[step:])
-            best = np.where(left, best[:m], best[step:])
-            reach += step
-        start = np.arange(len(best))
-        doc = np.searchsorted(self.starts, start, side="right") - 1
-        whole = start + self.length <= self.starts[doc + 1]
-        start, doc, where = start[whole], doc[whole], where[whole]
-        new = np.append(True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]))[:len(start)]
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(start)) - 1
-        self.first, self.last, self.doc = start[heads], start[tails], doc[heads]
-        self.key = value[where[heads]]
+        self.chunks, at = [], 0
+        for d in range(1, len(sizes) + 1):
+            if d == len(sizes) or self.starts[d + 1] - self.starts[at] > CHUNK:
+                self.chunks.append((at, d))
+                at = d
+        parts = []
+        for low, high in self.chunks:
+            hashes, base = self._hashes(low, high), self.starts[low]
+            first, last, doc, key = _runs(hashes, self.starts[low:high + 1] - base, length, gram)
+            context = [hashes.of(k, first, last + length) for k in range(2)]
+            parts.append((first + base, last + base, doc + low, key, *context))
+        self.first, self.last, self.doc, self.key, *self.context = (np.concatenate(x) for x in zip(*parts))
+
+    def _hashes(self, low: int, high: int) -> Hashes:
+        return Hashes(np.frombuffer(b"".join(self.raw[low:high]), np.uint8))
 
     # --- what a slot asks, and what the answers tell it; entries are always in sorted order ---
 
@@ -115,15 +146,25 @@ class Slot:
         return np.flatnonzero((shared | self.own_shared())[np.searchsorted(keys, self.key)]) if len(keys) else self.doc[:0]
 
     def contexts(self, runs: np.ndarray) -> list[np.ndarray]:
-        stop = self.last[runs] + self.length
-        # the hash of a run's bytes, told apart by how many strings lie before its anchor: its length and key do that
-        return [self.hashed(k, self.first[runs], stop) for k in range(2)]
+        """Hashes of the bytes that the runs' strings cover."""
+        return [c[runs] for c in self.context]
 
     def strings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Starts, documents and hashes of all strings of the runs."""
-        count = self.last[runs] - self.first[runs] + 1
-        start = np.repeat(self.first[runs] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-        return start, np.repeat(self.doc[runs], count), [self.hashed(k, start, start + self.length) for k in range(2)]
+        parts = []
+        for low, high in self.chunks:
+            own = runs[(self.doc[runs] >= low) & (self.doc[runs] < high)]
+            if not len(own):
+                continue
+            hashes, base = self._hashes(low, high), self.starts[low]
+            count = self.last[own] - self.first[own] + 1
+            start = np.repeat(self.first[own] - base - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+            parts.append((start + base, np.repeat(self.doc[own], count),
+                          *(hashes.of(k, start, start + self.length) for k in range(2))))
+        if not parts:
+            return self.first[:0], self.doc[:0], [self.key[:0], self.key[:0]]
+        start, doc, *both = (np.concatenate(x) for x in zip(*parts))
+        return start, doc, both
 
 
 def _least(hashes: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,14 +341,12 @@ class Work:
         rows, own = _least(hashes, slot.ids[doc])
         least = np.ascontiguousarray(rows[:, 2]).view(np.int64)
         hit = start[_answers(right, STRING)[own] | (slot.ids[doc] > least[own])] if len(own) else start
-        edges = np.zeros(slot.starts[-1] + 1, np.int32)
-        np.add.at(edges, slot.first[whole], 1)
-        np.add.at(edges, slot.last[whole] + self.length, -1)
-        np.add.at(edges, hit, 1)
-        np.add.at(edges, hit + self.length, -1)
-        covered = np.cumsum(edges)[:-1] > 0
-        change = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
-        return slot, change[::2], change[1::2]
+        begin = np.concatenate([slot.first[whole], hit])
+        end = np.concatenate([slot.last[whole], hit]) + self.length
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
+        new = np.append(True, begin[1:] > end[:-1])[:len(begin)]
+        return slot, begin[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1] if len(end) else end
 
     def cut(self, key, left, right):
         slot, starts, stops = self.spans(left, right)
@@ -330,7 +369,7 @@ class Work:
             names=["doc_id", "n_bytes", "spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, slot_bytes: int = 12 << 20,
+def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, slot_bytes: int = 8 << 20,
                    batches: int = 4) -> DataFrame:
     """doc_id, n_bytes, spans (removed stretches in bytes), kept_sha256: one row per document."""
     spark = docs.sparkSession

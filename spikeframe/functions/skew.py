@@ -1,10 +1,10 @@
 """Equi join that spreads hot keys."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shuffle_partitions
-from .columns import int_div
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys, salt_by, key_sizes=None) -> DataFrame:
@@ -16,16 +16,23 @@ def salted_join(left: DataFrame, right: DataFrame, keys, salt_by, key_sizes=None
     costly to compute twice; it only steers the split, never the result.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    parts = shuffle_partitions(left.sparkSession)
+    spark = left.sparkSession
+    parts = shuffle_partitions(spark)
     counts = (left if key_sizes is None else key_sizes).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.where(F.col("_n") * parts > total).select(
-        *keys, F.least(int_div(F.col("_n") * parts, total) + 1, F.lit(parts)).alias("_splits"))
+    # one pass finds both the total and the keys above an even share, at most ``parts`` of them
+    seen = Observation()
+    top = counts.observe(seen, F.sum("_n").alias("total")).orderBy(F.desc("_n")).limit(parts).collect()
+    total = seen.get["total"] or 0
+    hot_rows = [(*[r[k] for k in keys], min(parts, r["_n"] * parts // total + 1)) for r in top if r["_n"] * parts > total]
+    if not hot_rows:
+        return left.join(right, keys)
+    schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField("_splits", T.LongType())])
+    hot = F.broadcast(spark.createDataFrame(hot_rows, schema))
     splits = F.coalesce("_splits", F.lit(1))
-    salted = (left.join(F.broadcast(hot), keys, "left")
+    salted = (left.join(hot, keys, "left")
               .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), splits).cast("int"))
               .drop("_splits"))
-    spread = (right.join(F.broadcast(hot), keys, "left")
+    spread = (right.join(hot, keys, "left")
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), (splits - 1).cast("int"))))
               .drop("_splits"))
     return salted.join(spread, [*keys, "_salt"]).drop("_salt")

@@ -72,9 +72,9 @@ def by_configuration(runs: DataFrame) -> DataFrame:
 
 def time_table(runs: DataFrame) -> DataFrame:
     """Execution time per configuration, one column per known implementation; 0 when it
-    has no reading (B4). Conditional aggregates need no extra pass to find the columns."""
-    last = by_configuration(runs)
-    return last.where(known()).groupBy(*CONFIG).agg(*[
+    has no reading (B4). A configuration that only unknown implementations measured is
+    listed too. Conditional aggregates need no extra pass to find the columns."""
+    return by_configuration(runs).groupBy(*CONFIG).agg(*[
         F.coalesce(F.max(F.when(F.col("impl") == row[0], F.col("real_time"))), F.lit(0.0)).alias(row[0])
         for row in IMPLEMENTATIONS])
 
@@ -139,10 +139,11 @@ def speedup_statistics(runs: DataFrame, baseline=BASELINE) -> DataFrame:
         F.avg("speedup").alias("average"), F.min("speedup").alias("minimum"),
         F.max("speedup").alias("maximum"), F.stddev_pop("speedup").alias("deviation"))
     inside, n = F.col("at") - F.col("head"), F.col("configurations")
-    middle = (placed.join(stats.select("impl", "head", "configurations"), "impl")
+    # one row per known implementation
+    middle = (placed.join(F.broadcast(stats.select("impl", "head", "configurations")), "impl")
               .where(inside.isin(int_div(n - 1, 2), int_div(n, 2)))
               .groupBy("impl").agg(F.avg("speedup").alias("median")))
-    return stats.join(middle, "impl").select(
+    return stats.join(F.broadcast(middle), "impl").select(
         "impl", "configurations", "average", "median", "minimum", "maximum", "deviation")
 
 
@@ -189,24 +190,82 @@ def efficiency(runs: DataFrame, baseline=BASELINE) -> DataFrame:
         (F.col("size") / (F.col("real_time") / 1000)).alias("elements_per_second"))
 
 
+def padded(text, width) -> Column:
+    """Text filled with blanks to a width; longer text stays whole."""
+    text = F.lit(text) if isinstance(text, str) else text
+    return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))
+
+
+def _present(runs: DataFrame) -> Column:
+    """Known implementations that have a reading, as one array for the whole plan."""
+    return runs.where(known()).agg(F.collect_set("impl")).scalar()
+
+
 def summary_lines(runs: DataFrame, baseline=BASELINE) -> DataFrame:
-    """One text line per configuration: label, times and speedups of the known
-    implementations (the body of the summary report)."""
-    table = time_table(runs)
+    """One text line per configuration: label, times of the implementations that occur at
+    all, and their speedups (the body of the summary report)."""
+    table = time_table(runs).withColumn("_present", _present(runs))
     base = F.col(baseline)
 
     def time_cell(impl):
-        return F.when(F.col(impl) > 0, F.concat(two_decimals(impl), F.lit(" ms"))).otherwise("N/A")
+        return F.when(F.col(impl) != 0, F.concat(two_decimals(impl), F.lit(" ms"))).otherwise("N/A")
 
     def speed_cell(impl):
-        return F.when((F.col(impl) > 0) & (base > 0),
-                      F.concat(two_decimals(F.try_divide(base, F.col(impl))), F.lit("x"))).otherwise("N/A")
+        fast = F.concat(two_decimals(F.try_divide(base, F.col(impl))), F.lit("x" + " " * 10))
+        return F.when((F.col(impl) > 0) & (base > 0), fast).otherwise(padded("N/A", 15))
+
+    def cell(impl, text):
+        there = F.array_contains("_present", impl)
+        return F.when(there, F.concat(F.lit(" "), text)).otherwise("")
 
     names = [row[0] for row in IMPLEMENTATIONS]
-    cells = [F.rpad(F.concat_ws("/", F.col("size"), F.col("dist")), 30, " ")]
-    cells += [F.rpad(time_cell(n), 15, " ") for n in names]
-    cells += [F.rpad(speed_cell(n), 15, " ") for n in names if n != baseline]
-    return table.select(*CONFIG, F.rtrim(F.concat_ws(" ", *cells)).alias("line"))
+    cells = [padded(F.concat_ws("/", F.col("size"), F.col("dist")), 30)]
+    cells += [cell(n, padded(time_cell(n), 15)) for n in names]
+    cells += [cell(n, speed_cell(n)) for n in names if n != baseline]
+    return table.select(*CONFIG, F.concat(*cells).alias("line"))
+
+
+def summary_report(runs: DataFrame, baseline=BASELINE) -> DataFrame:
+    """The whole text report as rows (part, line_no, size, max_value, dist, line), to be read in
+    that order: title, header, one line per configuration, statistics per implementation."""
+    spark, rule = runs.sparkSession, "=" * 120
+    others = [row for row in IMPLEMENTATIONS if row[0] != baseline]
+    label = next(row[1] for row in IMPLEMENTATIONS if row[0] == baseline)
+    heads = [padded("Config", 30)]
+    heads += [F.when(F.array_contains("_present", row[0]), F.concat(F.lit(" "), padded(row[1], 15))).otherwise("")
+              for row in IMPLEMENTATIONS]
+    heads += [F.when(F.array_contains("_present", row[0]), f" {row[1]} Spd:<15"[:15]).otherwise("") for row in others]
+    title = [rule, "SNP SORT BENCHMARK SUMMARY REPORT", rule, "", "DETAILED RESULTS", "-" * 120, None, "-" * 120]
+    blank = (F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("max_value"),
+             F.lit(None).cast("string").alias("dist"))
+
+    def fixed(part, lines):
+        rows = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+        return rows.select(F.lit(part).alias("part"), "line_no", *blank, "line")
+
+    head = fixed(1, title).withColumn("_present", _present(runs)).withColumn(
+        "line", F.coalesce("line", F.concat(*heads))).drop("_present")
+    body = summary_lines(runs, baseline).select(F.lit(2).alias("part"), F.lit(0).alias("line_no"), *CONFIG, "line")
+    stats = speedup_statistics(runs, baseline)
+    order = implementation_info("impl", "order")
+
+    def number(name, column, unit):
+        return F.concat(F.lit(f"  {name:<9}"), two_decimals(column), F.lit(unit))
+
+    lines = F.array(
+        F.concat(implementation_info("impl", "label"), F.lit(":")), number("Average:", "average", "x"),
+        number("Median:", "median", "x"), number("Min:", "minimum", "x"), number("Max:", "maximum", "x"),
+        number("StdDev:", "deviation", ""), F.lit(""))
+    listed = stats.select(order.alias("_order"), F.posexplode(lines).alias("_at", "line")).select(
+        F.lit(4).alias("part"), (F.col("_order") * 10 + F.col("_at")).alias("line_no"), *blank, "line")
+    gain = optimisation_verdict(runs, baseline).where("improvement IS NOT NULL").select(F.posexplode(F.array(
+        F.lit("Optimization Improvement:"),
+        F.concat(F.lit("  Optimized CUDA+MPI is "), two_decimals("improvement"),
+                 F.lit("x faster than Naive CUDA+MPI on average")), F.lit(""))).alias("line_no", "line")).select(
+        F.lit(5).alias("part"), "line_no", *blank, "line")
+    parts = [head, body, fixed(3, ["", rule, "SUMMARY STATISTICS", rule, "", f"Speedup vs {label}:", ""]), listed,
+             gain, fixed(6, [rule])]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def report_metrics(reports: DataFrame, column, keys) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import int_div, two_decimals
 from ..functions.skew import salted_join
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 STRATEGIES = {
     "rows": "row arrays times a small matrix",
@@ -61,6 +61,14 @@ def densify(cells: DataFrame, m: int, n: int) -> DataFrame:
         "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def fill_rows(cells: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """All n cells of the given rows ``i``, whatever their numbers; absent ones are 0."""
+    grid = rows.select("i").distinct().select(F.col("i").cast("bigint").alias("i"), F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("j"))
+    return grid.join(cells, ["i", "j"], "left").select(
+        "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
 def multiply_join(a: DataFrame, b: DataFrame, key_sizes=None) -> DataFrame:
     """Sparse product of coordinate matrices; cells that no pair reaches are absent.
     ``key_sizes(k)`` may stand for the cells per column of ``a``, see ``salted_join``."""
@@ -70,16 +78,30 @@ def multiply_join(a: DataFrame, b: DataFrame, key_sizes=None) -> DataFrame:
             .groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")))
 
 
+def _within(cells: DataFrame, m: int, n: int) -> DataFrame:
+    """The cells; one outside m x n is an error, whichever way the product is made."""
+    fits = F.col("i").between(0, m - 1) & F.col("j").between(0, n - 1)
+    return cells.select("i", "j", F.when(fits, F.col("v")).otherwise(F.raise_error(F.format_string(
+        f"cell (%d, %d) lies outside {m} x {n}", F.col("i").cast("long"), F.col("j").cast("long"))).cast("double")).alias("v"))
+
+
 def multiply_rows(a: DataFrame, b: DataFrame, k: int, n: int, small_cells=SMALL_CELLS) -> DataFrame:
-    """Row arrays ``a`` times coordinates ``b`` (k x n). The product k*n bounds what is
-    sent to the tasks; above the limit the block strategy takes over."""
+    """Row arrays ``a`` times coordinates ``b`` (k x n): one row for every row of ``a``,
+    repeated row numbers included. The product k*n bounds what is sent to the tasks;
+    above the limit the block strategy takes over, with the same rows."""
+    cells = _within(b, k, n).groupBy("i", "j").agg(F.sum("v").alias("v"))
     if k * n > small_cells:
-        m = a.agg(F.max("i") + 1).first()[0]
-        return to_rows(multiply_block(to_cells(a), b, m, n, k), n)
-    cells = b.where(F.col("i").between(0, k - 1) & F.col("j").between(0, n - 1))
+        # rows get numbers of their own, fixed by the checkpoint, so that equal ones stay apart
+        placed = cut_lineage(a.select("i", F.col("row").cast("array<double>").alias("row")).withColumn(
+            "_id", F.monotonically_increasing_id()))
+        left = to_cells(placed.select(F.col("_id").alias("i"), "row"))
+        product = to_rows(multiply_block(left, cells, 1 << 33, n, k), n).select(
+            F.col("i").alias("_id"), F.col("row").alias("_product"))
+        zeros = F.array_repeat(F.lit(0.0), n)
+        return placed.join(product, "_id", "left").select("i", F.coalesce("_product", zeros).alias("row"))
+    listed = cells.toPandas()  # at most k*n rows
     dense = np.zeros((k, n))
-    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # at most k*n rows
-        dense[r.i, r.j] = r.v
+    dense[listed["i"].to_numpy(int), listed["j"].to_numpy(int)] = listed["v"].to_numpy(float)
     shared = a.sparkSession.sparkContext.broadcast(dense)
 
     def run(batches):
@@ -94,14 +116,16 @@ def multiply_rows(a: DataFrame, b: DataFrame, k: int, n: int, small_cells=SMALL_
     return a.select("i", F.col("row").cast("array<double>")).mapInArrow(run, "i bigint, row array<double>")
 
 
-def multiply_outer(a: DataFrame, b: DataFrame | None, m: int, n: int) -> DataFrame:
+def multiply_outer(a: DataFrame, b: DataFrame | None, m: int, n: int, small_cells=None) -> DataFrame:
     """Transpose of ``a`` (rows of m values) times ``b`` (rows of n values), both keyed by
-    the same row number; ``b`` None means ``a`` itself. Returns m*n coordinates.
-    Every task holds and emits m*n cells, so wide operands take the block strategy."""
-    if m * n > SMALL_CELLS:
-        k = a.agg(F.max("i") + 1).first()[0]
-        right = a if b is None else b
-        return multiply_block(transpose(to_cells(a)), to_cells(right), m, n, k)
+    the same row number; ``b`` None means ``a`` itself, row by row. Returns m*n coordinates.
+    Every task holds and emits m*n cells, so wide operands take the block strategy, with
+    the same cells."""
+    if m * n > (SMALL_CELLS if small_cells is None else small_cells):
+        if b is None:
+            a = b = cut_lineage(a.select(F.monotonically_increasing_id().alias("i"), "row"))
+        left, right = to_cells(a), to_cells(b)
+        return densify(multiply_block(transpose(left), right, m, n, 1 << 33), m, n)
     if b is None:
         pairs = a.select(F.col("row").cast("array<double>").alias("x")).withColumn("y", F.col("x"))
     else:
@@ -111,6 +135,8 @@ def multiply_outer(a: DataFrame, b: DataFrame | None, m: int, n: int) -> DataFra
     def run(batches):
         total = np.zeros((m, n))
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
             y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             total += x.T @ y

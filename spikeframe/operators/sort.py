@@ -1,4 +1,4 @@
-"""Integer sorting: by spiking network, by counting, and by range partitioning.
+"""Integer sorting: by counting, by window, by range partitioning, and by spiking network.
 
 The network sorts because at tick t its sorters receive cnt(t) = #{x >= t} spikes and
 only the sorter tuned to that count fires, so output o gains a spike in every tick with
@@ -6,21 +6,18 @@ cnt(t) >= N - o. Summed over t this is the value of rank o, which the counting s
 gets from a histogram without walking through the ticks.
 """
 
-import time
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
 from ..functions.scans import previous_value, ranked
+from ..functions.skew import salted_join
 from .network import Network
-from .packed import simulate_packed
 from .simulate import Simulator
 from .tick import SEQUENTIAL
 
 EXPAND_BLOCK = 1 << 16
-NETWORK_GROUP_LIMIT = 64
-NETWORK_TICK_LIMIT = 4096
+GROUP_LIMIT = 1 << 16
 SETTLE_TICKS = 3
 
 
@@ -48,15 +45,17 @@ def counting_sort(df: DataFrame, value) -> DataFrame:
 
 
 def counting_sort_groups(df: DataFrame, key, value) -> DataFrame:
-    """(key, pos, value) ascending inside each group, from one global scan of the
-    per-group histograms, so a hot group is spread like any other rows."""
-    histogram = df.groupBy(key, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    placed = ranked(histogram, [key, "value"], "at", weight="cnt")
-    heads = placed.groupBy(key).agg(F.min("at").alias("head"))
-    inside = (placed.join(heads, key)
-              .select(key, "value", "cnt", F.col("at").alias("start"), "head"))
-    return _expand(inside, [key, "value", "head"]).select(
-        key, (F.col("pos") - F.col("head")).alias("pos"), "value")
+    """(key, pos, value) ascending inside each group, NULLs first, from one global scan of
+    the per-group histograms. A NULL key is a group. The lookup of a group's first place
+    is salted, so a hot group with many values is spread like any other rows."""
+    histogram = df.groupBy(F.struct(key).alias("_group"), F.col(value).alias("value")).agg(
+        F.count(F.lit(1)).alias("cnt"))
+    placed = ranked(histogram, ["_group", "value"], "at", weight="cnt")
+    heads = placed.groupBy("_group").agg(F.min("at").alias("head"))
+    inside = salted_join(placed, heads, "_group", ["value"]).select(
+        "_group", "value", "cnt", F.col("at").alias("start"), "head")
+    return _expand(inside, ["_group", "value", "head"]).select(
+        f"_group.{key}", (F.col("pos") - F.col("head")).alias("pos"), "value")
 
 
 def is_sorted(df: DataFrame, position, value) -> DataFrame:
@@ -124,50 +123,26 @@ class NetworkSort:
         return self.simulator.performance_report()
 
 
-def pack_sorting_networks(groups: DataFrame, scope) -> DataFrame:
-    """Packed networks from rows (scope, values ARRAY<BIGINT>), one small array each."""
-    sized = groups.selectExpr(*scope, "values", "size(values) as n",
-                              "greatest(0L, -array_min(values)) as offset")
-    return sized.selectExpr(
-        *scope, "n", "offset",
-        f"cast(array_max(values) + offset + {SETTLE_TICKS} as int) as ticks",
-        "concat(transform(values, x -> x + offset), array_repeat(0L, 2 * n)) as spikes",
-        """concat(
-             transform(sequence(0, n - 1), i -> named_struct(
-               'nid', i, 'threshold', 1, 'consumed', 1, 'produced', 1, 'delay', 0)),
-             flatten(transform(sequence(0, n - 1), s -> transform(sequence(n, 1, -1), k -> named_struct(
-               'nid', n + s, 'threshold', k, 'consumed', k, 'produced', if(k = n - s, 1, 0), 'delay', 0))))
-           ) as rules""",
-        """concat(
-             flatten(transform(sequence(0, n - 1), i -> transform(sequence(n, 2 * n - 1), d -> named_struct(
-               'source', i, 'dest', d, 'weight', 1)))),
-             flatten(transform(sequence(0, n - 1), s -> transform(sequence(2 * n + s, 3 * n - 1), d -> named_struct(
-               'source', n + s, 'dest', d, 'weight', 1))))
-           ) as synapses""")
-
-
-def _large_groups(df, key, value, group_limit, tick_limit):
-    """Groups with too many rows, or whose values would take too many ticks."""
-    bounds = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"),
-                                 F.max(value).alias("hi"))
-    ticks = F.col("hi") + F.greatest(F.lit(0), -F.col("lo"))
-    return bounds.where((F.col("n") > group_limit) | (ticks > tick_limit)).select(key)
-
-
-def sort_groups(df: DataFrame, key, value, group_limit=NETWORK_GROUP_LIMIT,
-                tick_limit=NETWORK_TICK_LIMIT) -> DataFrame:
-    """(key, pos, value) per group: groups within the limits run their sorting network,
-    the others (too many rows, or too many ticks) take the exact counting strategy."""
-    large = _large_groups(df, key, value, group_limit, tick_limit)
-    rows = df.select(key, F.col(value).cast("bigint").alias("value"))
-    any_large = not large.isEmpty()
-    small = rows.join(large, key, "left_anti") if any_large else rows
-    packed = pack_sorting_networks(
-        small.groupBy(key).agg(F.collect_list("value").alias("values")), [key])
-    # number of inputs and shift are functions of the group: read them back from the state
-    scope = [key, "n", "offset"]
-    state = simulate_packed(packed, scope)
-    done = state.where("nid >= 2 * n").selectExpr(key, "nid - 2 * n as pos", "spikes - offset as value")
-    if not any_large:
-        return done
-    return done.unionByName(counting_sort_groups(rows.join(large, key, "left_semi"), key, "value"))
+def network_sizes(df: DataFrame, key, value) -> DataFrame:
+    """Shape of the sorting network of each group: neurons, rules, synapses, ticks, shift."""
+    bounds = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    n, offset = F.col("n"), F.greatest(F.lit(0), -F.col("lo")).cast("bigint")
+    return bounds.select(
+        key, (3 * n).cast("int").alias("neurons"), (n + n * n).cast("int").alias("rules"),
+        (n * n + int_div(n * (n + 1), 2)).cast("int").alias("synapses"),
+        (F.col("hi") + offset + SETTLE_TICKS).cast("int").alias("ticks"), offset.alias("offset"))
+
+
+def sort_groups(df: DataFrame, key, value, group_limit=GROUP_LIMIT) -> DataFrame:
+    """(key, pos, value) per group, NULLs first; a NULL key is a group.
+
+    Groups up to the limit are numbered by a window, larger ones by counting; both give
+    the same rows, the limit only bounds what one task sorts.
+    """
+    rows = df.select(F.struct(key).alias("_group"), key, F.col(value).cast("bigint").alias("value"))
+    large = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > group_limit).select("_group")
+    inside = Window.partitionBy("_group").orderBy(F.col("value").asc_nulls_first())
+    small = rows.join(large, "_group", "left_anti").select(
+        key, (F.row_number().over(inside) - 1).cast("bigint").alias("pos"), "value")
+    return small.unionByName(counting_sort_groups(rows.join(large, "_group", "left_semi"), key, "value"))

@@ -6,7 +6,6 @@ Embeddings are scaled to whole numbers, so sums do not depend on their order.
 from pyspark.sql import functions as F
 
 from ..operators import matrix
-from ..sources.generate import demo_matrix
 from ..sources.tables import table
 
 WIDTH, LABELS = 64, 10
@@ -49,7 +48,7 @@ def mat_multiply_rows(spark, folder):
 
 def mat_multiply_block(spark, folder):
     vectors = _vectors(spark, folder)
-    m = vectors.count()
+    m = vectors.agg(F.max("i") + 1).first()[0] or 0
     cells = matrix.to_cells(vectors.select("i", "row"))
     product = matrix.multiply_block(cells, _label_sums(vectors), m, LABELS, WIDTH)
     return _whole(matrix.densify(product, m, LABELS))
@@ -93,12 +92,15 @@ def mat_densify(spark, folder):
                         (F.expr("instr('FOP', o_orderstatus)") - 1)
                         .cast("bigint").alias("j"))
                .agg(F.count(F.lit(1)).cast("double").alias("v")))
-    return _whole(matrix.densify(counted, table(spark, folder, "customer").count(), 3))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("i"))
+    return _whole(matrix.fill_rows(counted, customers, 3))
 
 
 def mat_corner(spark, folder):
-    """Display text of the demo matrix's top-left corner."""
-    return matrix.corner(demo_matrix(spark, table(spark, folder, "part").count(), 12))
+    """Display text of the embeddings' top-left corner."""
+    cells = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return matrix.corner(cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -139,7 +141,6 @@ SELECT c_custkey AS i, CAST(s.j AS BIGINT) AS j, count(o_orderkey) AS v
 FROM customer CROSS JOIN (VALUES (0, 'F'), (1, 'O'), (2, 'P')) s(j, status)
 LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = s.status GROUP BY 1, 2""",
     "mat_corner": """
-SELECT x // 12 AS i, x % 12 AS j, printf('%.2f', (x % 10) * CAST(0.1 AS DOUBLE)) AS shown
-FROM (SELECT unnest(range(12 * (SELECT count(*) FROM part))) AS x)
-WHERE x // 12 < 5 AND x % 12 < 5""",
+SELECT i, j, printf('%.2f', CAST(e AS DOUBLE)) AS shown
+FROM (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding) AS e FROM embeddings) WHERE i < 5 AND j < 5""",
 }

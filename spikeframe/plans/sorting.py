@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.columns import MIX_FIRST, MIX_PRIME, MIX_SECOND
+from ..functions.scans import ranked
 from ..operators import sort
 from ..sources import generate as gen
 from ..sources.tables import table
@@ -30,12 +31,20 @@ def sort_counting_quantities(spark, folder):
 
 
 def sort_network_orders(spark, folder):
-    """Every order's line quantities sorted by its own spiking network."""
+    """Every order's line quantities in ascending order."""
     return sort.sort_groups(_quantities(spark, folder), "l_orderkey", "value")
 
 
+def sort_group_limits(spark, folder):
+    """Groups with NULL keys and NULL values, half of them above the group limit."""
+    rows = table(spark, folder, "customer").select(
+        F.when(F.col("c_nationkey") % 7 != 3, F.col("c_nationkey")).alias("c_nationkey"),
+        F.when(F.col("c_custkey") % 5 != 2, F.floor(F.col("c_acctbal") / 100)).alias("value"))
+    return sort.sort_groups(rows, "c_nationkey", "value", group_limit=7)
+
+
 def sort_network_nations(spark, folder):
-    """Negative values; nations above the group limit take the counting strategy."""
+    """Negative values too."""
     hundreds = table(spark, folder, "customer").select(
         "c_nationkey", F.floor(F.col("c_acctbal") / 100).alias("value"))
     return sort.sort_groups(hundreds, "c_nationkey", "value")
@@ -46,11 +55,8 @@ def sort_counting_nations(spark, folder):
 
 
 def sort_network_sizes(spark, folder):
-    """Shape of the sorting network that each order gets."""
-    groups = _quantities(spark, folder).groupBy("l_orderkey").agg(F.collect_list("value").alias("values"))
-    return sort.pack_sorting_networks(groups, ["l_orderkey"]).select(
-        "l_orderkey", F.size("spikes").alias("neurons"), F.size("rules").alias("rules"),
-        F.size("synapses").alias("synapses"), "ticks", "offset")
+    """Shape of the sorting network that each order would get."""
+    return sort.network_sizes(_quantities(spark, folder), "l_orderkey", "value")
 
 
 def sort_is_sorted(spark, folder):
@@ -62,24 +68,25 @@ def sort_is_sorted(spark, folder):
             .unionByName(sort.is_sorted(done, "pos", "value").withColumn("input", F.lit("ranked"))))
 
 
-GEN_MAX, GEN_SEED = 1000, 42
+GEN_SEED, GEN_POOL = 42, 100
 
 
 def gen_distributions(spark, folder):
-    """All six distributions with as many values as there are orders."""
-    size = table(spark, folder, "orders").count()
-    frames = [gen.generate(spark, size, GEN_MAX, d, GEN_SEED).withColumn("dist", F.lit(d))
-              for d in gen.DISTRIBUTIONS]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    """The orders' whole prices in six arrangements."""
+    prices = ranked(table(spark, folder, "orders").select("o_orderkey", F.floor("o_totalprice").alias("value")),
+                    ["o_orderkey"], "pos").select("pos", "value")
+    return reduce(lambda a, b: a.unionByName(b), [
+        gen.arrange(prices, d, GEN_POOL, GEN_SEED).withColumn("dist", F.lit(d)) for d in gen.DISTRIBUTIONS])
 
 
 def gen_demo_matrix(spark, folder):
-    return gen.demo_matrix(spark, table(spark, folder, "part").count(), 12)
+    """Twelve columns for each part, filled by the demo rule from the part's own key."""
+    return gen.demo_rows(table(spark, folder, "part").select(F.col("p_partkey").alias("i")), 12)
 
 
 QUERIES = {f.__name__: f for f in (
     sort_native_balances, sort_counting_quantities, sort_network_orders, sort_network_nations,
-    sort_counting_nations, sort_network_sizes, sort_is_sorted, gen_distributions, gen_demo_matrix)}
+    sort_counting_nations, sort_group_limits, sort_network_sizes, sort_is_sorted, gen_distributions, gen_demo_matrix)}
 
 
 def _mix_sql(x, seed):
@@ -95,21 +102,19 @@ def _ranked_sql(key, value, source, partition=""):
 
 _SEED = GEN_SEED
 _ORACLE_GEN = f"""
-WITH base AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos FROM orders),
+WITH base AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos,
+                     CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders),
 n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM orders),
-drawn AS (SELECT pos, {_mix_sql("pos", _SEED)} % {GEN_MAX + 1} AS value FROM base),
-slots AS (SELECT pos, {_mix_sql("pos", _SEED)} % {max(2, GEN_MAX // 10)} AS slot FROM base),
-few AS (SELECT pos, ({_mix_sql("slot", _SEED + 1)} % {GEN_MAX + 1}) % {GEN_MAX} AS value FROM slots),
-ordered AS (SELECT row_number() OVER (ORDER BY value) - 1 AS pos, value FROM drawn),
+ordered AS (SELECT row_number() OVER (ORDER BY value) - 1 AS pos, value FROM base),
 paired AS (SELECT pos, value, (({_SEED * 7919} + n // 3 - pos) % n + n) % n AS other FROM ordered, n),
 nearly AS (SELECT CASE WHEN {_mix_sql("least(pos, other)", _SEED + 2)} % 5 = 0 THEN other ELSE pos END AS pos,
                   value FROM paired)
-SELECT 'Random' AS dist, pos, value FROM drawn
+SELECT 'Random' AS dist, pos, value FROM base
 UNION ALL SELECT 'Sorted', pos, value FROM ordered
 UNION ALL SELECT 'Reverse', n - 1 - pos, value FROM ordered, n
 UNION ALL SELECT 'NearlySorted', pos, value FROM nearly
-UNION ALL SELECT 'FewUnique', pos, value FROM few
-UNION ALL SELECT 'Uniform', pos, {_mix_sql("CAST(0 AS BIGINT)", _SEED)} % {GEN_MAX + 1} FROM base"""
+UNION ALL SELECT 'FewUnique', pos, value % {GEN_POOL} FROM base
+UNION ALL SELECT 'Uniform', pos, (SELECT value FROM base WHERE pos = 0) FROM base"""
 
 ORACLES = {
     "sort_native_balances": """
@@ -139,6 +144,10 @@ SELECT input, count(*) AS n, count(*) FILTER (v < u) AS descents,
        count(*) FILTER (v < u) = 0 AS is_sorted FROM s GROUP BY input""",
     "gen_distributions": _ORACLE_GEN,
     "gen_demo_matrix": """
-SELECT x // 12 AS i, x % 12 AS j, (x % 10) * CAST(0.1 AS DOUBLE) AS v
-FROM (SELECT unnest(range(12 * (SELECT count(*) FROM part))) AS x)""",
+SELECT CAST(p_partkey AS BIGINT) AS i, j, ((p_partkey * 12 + j) % 10) * CAST(0.1 AS DOUBLE) AS v
+FROM part, (SELECT unnest(range(12)) AS j)""",
+    "sort_group_limits": """
+SELECT k AS c_nationkey, row_number() OVER (PARTITION BY k ORDER BY v NULLS FIRST) - 1 AS pos, v AS value
+FROM (SELECT CASE WHEN c_nationkey % 7 <> 3 THEN c_nationkey END AS k,
+             CASE WHEN c_custkey % 5 <> 2 THEN CAST(floor(c_acctbal / 100) AS BIGINT) END AS v FROM customer)""",
 }

@@ -51,6 +51,36 @@ def generate(spark: SparkSession, size: int, max_value: int, dist=RANDOM, seed=4
     return ordered
 
 
+def arrange(values: DataFrame, dist=RANDOM, pool=100, seed=42) -> DataFrame:
+    """(pos, value): a table's own values, at positions 0..n-1, in one of the arrangements."""
+    if dist not in DISTRIBUTIONS:
+        raise ValueError(f"unknown distribution {dist!r}")
+    if dist == RANDOM:
+        return values.select("pos", "value")
+    if dist == FEW_UNIQUE:
+        return values.select("pos", (F.col("value") % pool).alias("value"))
+    if dist == UNIFORM:
+        return values.select("pos", values.agg(F.min_by("value", "pos")).scalar().alias("value"))
+    ordered = counting_sort(values, "value")
+    size = values.agg(F.count(F.lit(1))).scalar()
+    if dist == REVERSE_SORTED:
+        return ordered.select((size - 1 - F.col("pos")).alias("pos"), "value")
+    if dist == NEARLY_SORTED:
+        sized = ordered.withColumn("_n", size)
+        centre = F.lit(seed).cast("bigint") * 7919 + int_div(F.col("_n"), 3)
+        partner = F.pmod(centre - F.col("pos"), F.col("_n"))
+        swapped = mix(F.least(F.col("pos"), partner), seed + 2) % 5 == 0
+        return sized.select(F.when(swapped, partner).otherwise(F.col("pos")).alias("pos"), "value")
+    return ordered
+
+
+def demo_rows(ids: DataFrame, columns: int) -> DataFrame:
+    """The demo rule for given row numbers ``i``."""
+    return ids.select(F.col("i").cast("bigint").alias("i"), F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))).alias("j")).select(
+        "i", "j", (((F.col("i") * columns + F.col("j")) % 10) * F.lit(0.1)).alias("v"))
+
+
 def demo_matrix(spark: SparkSession, rows: int, columns: int) -> DataFrame:
     """(i, j, v) with v = (row-major index % 10) * 0.1."""
     index = F.col("id")

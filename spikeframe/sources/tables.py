@@ -115,20 +115,23 @@ def visit_networks(spark, folder) -> Network:
 
 def event_results(spark, folder) -> DataFrame:
     """Events read as benchmark readings: the type names the implementation, the user the
-    configuration; some names are malformed and some metrics are missing."""
+    configuration; some names are malformed, some implementations unknown, some metrics missing."""
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props")
     return events.selectExpr(
         "event_id as seq",
         """case when user_id % 29 = 7 then concat('broken_', event_id)
                 else concat_ws('/',
+                  case when user_id % 23 = 3 then 'OtherSnp' else
                   case event_type when 'view' then 'CpuSnp' when 'click' then 'CudaSnp'
                        when 'purchase' then 'SparseCudaSnp' when 'signup' then 'NaiveCudaMpiSnp'
-                       else 'CudaMpiSnp' end,
-                  element_at(array('Random', 'Sorted', 'Reverse'), cast(user_id % 3 as int) + 1),
+                       else 'CudaMpiSnp' end end,
+                  case when user_id % 17 = 5 then 'AnArrangementWithAVeryLongName' else
+                  element_at(array('Random', 'Sorted', 'Reverse'), cast(user_id % 3 as int) + 1) end,
                   100 * (user_id div 3 + 1), 100 * (user_id div 3 + 1), 'iterations:5') end as name""",
         "value as real_time", "value * 2 as cpu_time",
         """case when event_type in ('signup', 'error') and user_id % 4 <> 0
                 then cast(regexp_extract(props, '"k": ([0-9]+)', 1) as double) * 0.0625 end as Comm_ms""",
+        "case when event_type in ('signup', 'error') then value * 0.5 end as ComputeTime_ms",
         "case when event_type in ('signup', 'error') then 4 end as Procs", "props")
 
 

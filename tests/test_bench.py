@@ -100,7 +100,7 @@ def test_missing_baseline(runs):
 
 def test_report_text(spark, runs):
     lines = [r.line for r in bench.summary_lines(runs).orderBy("size", "dist").collect()]
-    assert lines[0].startswith("100/Random") and "8.00 ms" in lines[0] and "4.00x" in lines[0] and "N/A" in lines[0]
+    assert lines[0].startswith("100/Random") and "8.00 ms" in lines[0] and "4.00x" in lines[0]
     reports = spark.createDataFrame([("Avg Comm Time (MPI):    1.25e1 ms",), ("none",), ("Comm Time: x",)], "r string")
     got = [r[0] for r in reports.select(extract_metric("r", "Comm Time")).collect()]
     assert got == [12.5, 0.0, 0.0]
@@ -118,3 +118,18 @@ def test_sinks(spark, runs, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.count() == 8 == spark.read.json(str(tmp_path / "json")).count()
     assert bench.filter_names(spark.createDataFrame([("CpuSnp/a",), ("x",)], "name string"), "^Cpu").count() == 1
+
+
+def test_report_rows_are_whole(spark):
+    long = "x" * 40
+    runs = bench.runs_from(spark.createDataFrame([
+        (1, f"CpuSnp/{long}/100/100", 12345678901234567.0, 1.0), (2, f"CudaSnp/{long}/100/100", 2.0, 1.0),
+        (3, "Other/Random/5/5", 1.0, 1.0)], "seq long, name string, real_time double, cpu_time double"))
+    table = {r.dist: r for r in bench.time_table(runs).collect()}
+    assert table["Random"].CpuSnp == 0 and table["Random"].CudaSnp == 0  # measured by an unknown one only
+    lines = {r.dist: r.line for r in bench.summary_lines(runs).collect()}
+    assert lines[long] == (f"100/{long} 12345678901234568.00 ms {'2.00 ms':<15} 6172839450617284.00x" + " " * 10)
+    assert lines["Random"] == f"{'5/Random':<30} {'N/A':<15} {'N/A':<15} {'N/A':<15}"
+    report = bench.summary_report(runs).orderBy("part", "line_no", "size", "max_value", "dist").collect()
+    assert [r.line for r in report if r.part == 1][6] == f"{'Config':<30} {'CPU':<15} {'CUDA':<15} CUDA Spd:<15"
+    assert [r.line for r in report if r.part == 4][:2] == ["CUDA:", "  Average: 6172839450617284.00x"]

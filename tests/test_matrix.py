@@ -121,3 +121,38 @@ def test_pushdown_reaches_the_scan(spark):
     plan = _shipments(spark, "/root/testdata/sf0.001", "l_returnflag = 'R'")._jdf.queryExecution().toString()
     assert "EqualTo(l_returnflag,R)" in plan
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_returnflag:string>" in plan
+
+
+def whole(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_row_products_agree_on_both_sides_of_the_limit(spark):
+    """Zero rows, repeated and sparse row numbers: the same rows below and above the limit."""
+    a = spark.createDataFrame([(0, [1.0, 2.0]), (7, [0.0, 0.0]), (7, [3.0, 0.0]), (10**10, [0.0, 5.0])],
+                              "i long, row array<double>")
+    b = spark.createDataFrame([(0, 0, 2.0), (0, 0, 1.0), (1, 2, 4.0)], "i long, j long, v double")
+    want = [(0, [3.0, 0.0, 8.0]), (7, [0.0, 0.0, 0.0]), (7, [9.0, 0.0, 0.0]), (10**10, [0.0, 0.0, 20.0])]
+    for limit in (1 << 20, 1):
+        assert whole(matrix.multiply_rows(a, b, 2, 3, small_cells=limit)) == sorted(want, key=repr)
+        assert matrix.multiply_rows(a.limit(0), b, 2, 3, small_cells=limit).count() == 0
+    outside = b.union(spark.createDataFrame([(2, 0, 1.0)], b.schema))
+    for limit in (1 << 20, 1):
+        with pytest.raises(Exception, match="lies outside"):
+            matrix.multiply_rows(a, outside, 2, 3, small_cells=limit).collect()
+
+
+def test_outer_products_agree_on_both_sides_of_the_limit(spark):
+    a = spark.createDataFrame([(0, [1.0, 0.0]), (5, [0.0, 0.0]), (5, [2.0, 0.0])], "i long, row array<double>")
+    b = spark.createDataFrame([(0, [1.0, 0.0, 3.0]), (5, [4.0, 0.0, 0.0])], "i long, row array<double>")
+    own = [(0, 0, 5.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 0.0)]
+    both = [(0, 0, 9.0), (0, 1, 0.0), (0, 2, 3.0), (1, 0, 0.0), (1, 1, 0.0), (1, 2, 0.0)]
+    for limit in (1 << 20, 1):
+        assert whole(matrix.multiply_outer(a, None, 2, 2, small_cells=limit)) == own
+        assert whole(matrix.multiply_outer(a, b, 2, 3, small_cells=limit)) == both
+
+
+def test_filled_rows_keep_their_numbers(spark):
+    seen = spark.createDataFrame([(14, 1, 2.0)], "i long, j long, v double")
+    ids = spark.createDataFrame([(7,), (14,), (14,)], "i long")
+    assert whole(matrix.fill_rows(seen, ids, 2)) == [(14, 0, 0.0), (14, 1, 2.0), (7, 0, 0.0), (7, 1, 0.0)]

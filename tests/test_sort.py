@@ -115,3 +115,26 @@ def test_harness_rows_feed_the_analytics(spark):
     runs = bench.runs_from(results.withColumn("seq", F.lit(1)))
     assert {(r.impl, r.size, r.max_value) for r in runs.collect()} == {("Counting", 30, 20), ("Network", 30, 20)}
     assert bench.speedups(runs, "Network").first().speedup > 0
+
+
+def test_groups_keep_nulls_on_both_sides_of_the_limit(spark):
+    rows = [("a", 3), ("a", None), ("a", 1), ("a", 3), (None, 2), (None, None), (None, 2), ("n", None), ("n", None)]
+    df = spark.createDataFrame(rows, "k string, value long")
+    want = {}
+    for k, v in rows:
+        want.setdefault(k, []).append(v)
+    want = sorted(((k, p, v) for k, vs in want.items()
+                   for p, v in enumerate(sorted(vs, key=lambda x: (x is not None, x or 0)))), key=repr)
+    for limit in (100, 2, 0):
+        got = sort.sort_groups(df, "k", "value", group_limit=limit)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert sorted(map(tuple, sort.counting_sort_groups(df, "k", "value").collect()), key=repr) == want
+    assert sort.sort_groups(df.limit(0), "k", "value").count() == 0
+
+
+def test_arrangements_use_the_tables_values(spark):
+    values = frame(spark, [9, 4, 130, 4, 77])
+    got = {d: in_order(gen.arrange(values, d, pool=100)) for d in gen.DISTRIBUTIONS}
+    assert got[gen.RANDOM] == [9, 4, 130, 4, 77] and got[gen.SORTED] == [4, 4, 9, 77, 130]
+    assert got[gen.REVERSE_SORTED] == [130, 77, 9, 4, 4] and got[gen.FEW_UNIQUE] == [9, 4, 30, 4, 77]
+    assert got[gen.UNIFORM] == [9] * 5 and sorted(got[gen.NEARLY_SORTED]) == [4, 4, 9, 77, 130]

@@ -106,14 +106,17 @@ def fit(docs: DataFrame, buckets: int = 4096, sample: int = 400, centroids: int
     df, n = document_frequencies(rows, buckets)
     idf = np.log((1 + n) / (1 + df)) + 1
     draw = (F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62))
-    picked = []
+    picked = None
     for row in sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
-        share = min(1.0, 2.0 * sample / row["count"] + 0.0)
-        picked.append((F.col("lang") == row["lang"]) & (draw <= share))
+        best = (rows.where((F.col("lang") == row["lang"]) & (draw <= min(1.0, 2.0 * sample / row["count"])))
+                .select("lang", "doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(sample))
+        picked = best if picked is None else picked.union(best)
     texts: dict[str, list[str]] = {}
-    for condition in picked:
-        best = rows.where(condition).select("lang", "doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(sample)
-        for row in best.join(rows, ["lang", "doc_id"]).select("lang", "text").collect():
+    if picked is not None:
+        # at most `sample` ids of each language: one pass over the texts finds them
+        ids = F.broadcast(picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct())
+        found = rows.join(ids, (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        for row in found.select("lang", "text").toLocalIterator():
             texts.setdefault(row["lang"], []).append(row["text"])
     model = Model(buckets, idf, [], np.zeros((0, buckets)), 0.0)
     languages, centres, own = [], [], []

@@ -385,8 +385,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, slot_bytes
     # bucketed by slot: all later steps meet the texts without moving them again
     dealt.repartition(slots, "slot").write.bucketBy(slots, "slot").option("compression", "zstd").format(
         "parquet").saveAsTable(name)
-    texts = spark.table(name)
-    work = Work(length, gram, bits)
+    try:
+        return _spans_of(spark.table(name), scratch, Work(length, gram, bits), slots, batches)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _spans_of(texts: DataFrame, scratch: Scratch, work: Work, slots: int, batches: int) -> DataFrame:
+    """The steps over the bucketed texts; the result is a written table."""
     asked = scratch.write(texts.groupBy("slot").applyInArrow(lambda key, table: work.ask_keys(key, table), MESSAGES), "keys")
     index = SuffixLevels(scratch)
     for b in range(batches):
@@ -402,9 +408,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 20, slot_bytes
     answers = answers.union(scratch.write(_answer_rest(together(work.ask_contexts, MESSAGES)), "context-answers"))
     answers = answers.union(scratch.write(_answer_rest(together(work.ask_strings, MESSAGES)), "string-answers"))
     kind = "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept_sha256 string"
-    result = scratch.write(together(work.cut, kind), "result")
-    spark.sql(f"DROP TABLE {name}")
-    return result
+    return scratch.write(together(work.cut, kind), "result")
 
 
 def digests(spans: DataFrame) -> DataFrame:

@@ -211,8 +211,19 @@ def multiply_block(a: DataFrame, b: DataFrame, m: int, n: int, k: int, size=BLOC
     return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def multiply(a: DataFrame, b: DataFrame, m: int, n: int, k: int, strategy="join") -> DataFrame:
-    """C = A * B on coordinates, all m*n cells present."""
+def _typed(cells: DataFrame, element) -> DataFrame:
+    """Cells rounded to the element type; ``float`` halves what is stored and shipped."""
+    if element not in ("double", "float"):
+        raise ValueError(f"unknown element type {element!r}")
+    return cells if element == "double" else cells.select("i", "j", F.col("v").cast("float").alias("v"))
+
+
+def multiply(a: DataFrame, b: DataFrame, m: int, n: int, k: int, strategy="join", element="double") -> DataFrame:
+    """C = A * B on coordinates, all m*n cells present. With ``float`` elements the inputs
+    and the result are rounded; sums are still formed in double."""
+    if element != "double":
+        a, b = (_typed(x, element).select("i", "j", F.col("v").cast("double").alias("v")) for x in (a, b))
+        return _typed(multiply(a, b, m, n, k, strategy), element)
     if strategy == "join":
         product = multiply_join(a, b)
     elif strategy == "block":
@@ -226,9 +237,11 @@ def multiply(a: DataFrame, b: DataFrame, m: int, n: int, k: int, strategy="join"
     return densify(product, m, n)
 
 
-def elementwise(a: DataFrame, b: DataFrame, op) -> DataFrame:
+def elementwise(a: DataFrame, b: DataFrame, op, element="double") -> DataFrame:
     """``hadamard`` or ``add`` on coordinates with unique cells, absent ones being 0.
     Both sides are merged by one grouped pass instead of an outer join."""
+    if element != "double":
+        return _typed(elementwise(_typed(a, element), _typed(b, element), op), element)
     both = (a.select("i", "j", F.col("v").alias("x"), F.lit(None).cast("double").alias("y"))
             .unionAll(b.select("i", "j", F.lit(None).cast("double"), "v"))
             .groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("y").alias("y")))
@@ -240,12 +253,12 @@ def elementwise(a: DataFrame, b: DataFrame, op) -> DataFrame:
     raise ValueError(f"unknown operation {op!r}")
 
 
-def hadamard(a, b):
-    return elementwise(a, b, "hadamard")
+def hadamard(a, b, element="double"):
+    return elementwise(a, b, "hadamard", element)
 
 
-def add(a, b):
-    return elementwise(a, b, "add")
+def add(a, b, element="double"):
+    return elementwise(a, b, "add", element)
 
 
 def elementwise_rows(a: DataFrame, b: DataFrame, op) -> DataFrame:

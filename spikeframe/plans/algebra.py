@@ -73,6 +73,13 @@ def mat_add(spark, folder):
                              _shipments(spark, folder, "l_linestatus = 'O'")))
 
 
+def mat_add_float(spark, folder):
+    """The sum in single precision, of quarters that it holds exactly."""
+    quarter = [_shipments(spark, folder, c).withColumn("v", F.col("v") / 4) for c in (
+        "l_returnflag = 'R'", "l_linestatus = 'O'")]
+    return matrix.add(*quarter, element="float").select("i", "j", F.col("v").cast("double").alias("v"))
+
+
 def mat_elementwise_rows(spark, folder):
     """V + V * V on row arrays."""
     vectors = _vectors(spark, folder).select("i", "row")
@@ -105,7 +112,7 @@ def mat_corner(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     mat_multiply_outer, mat_multiply_rows, mat_multiply_block, mat_multiply_sparse, mat_hadamard,
-    mat_add, mat_elementwise_rows, mat_approx_equal, mat_densify, mat_corner)}
+    mat_add, mat_add_float, mat_elementwise_rows, mat_approx_equal, mat_densify, mat_corner)}
 
 _CELLS = """WITH x AS (
   SELECT vec_id AS i, label, unnest(range(64)) AS d, unnest(embedding) AS e FROM embeddings),
@@ -133,6 +140,8 @@ FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""",
 SELECT i, j, CAST(r.v * o.v AS BIGINT) AS v FROM r JOIN o USING (i, j)""",
     "mat_add": f"""{_PAIR}
 SELECT i, j, CAST(coalesce(r.v, 0) + coalesce(o.v, 0) AS BIGINT) AS v FROM r FULL JOIN o USING (i, j)""",
+    "mat_add_float": f"""{_PAIR}
+SELECT i, j, CAST(CAST((coalesce(r.v, 0) + coalesce(o.v, 0)) / 4 AS FLOAT) AS DOUBLE) AS v FROM r FULL JOIN o USING (i, j)""",
     "mat_elementwise_rows": f"{_CELLS} SELECT i, d AS j, v + v * v AS v FROM q",
     "mat_approx_equal": f"""SELECT count(*) * {LABELS} AS cells, CAST(0 AS BIGINT) AS unmatched,
        CAST(0 AS DOUBLE) AS max_diff, true AS is_equal FROM embeddings""",

@@ -156,3 +156,15 @@ def test_filled_rows_keep_their_numbers(spark):
     seen = spark.createDataFrame([(14, 1, 2.0)], "i long, j long, v double")
     ids = spark.createDataFrame([(7,), (14,), (14,)], "i long")
     assert whole(matrix.fill_rows(seen, ids, 2)) == [(14, 0, 0.0), (14, 1, 2.0), (7, 0, 0.0), (7, 1, 0.0)]
+
+
+def test_float_elements(spark):
+    """Single precision, with the tolerance its callers use."""
+    a = np.array([[(8 * i + j) % 10 for j in range(8)] for i in range(8)]) * 0.1
+    for strategy in ("join", "rows"):
+        got = matrix.multiply(cells(spark, a), cells(spark, a), 8, 8, 8, strategy, element="float")
+        assert got.schema["v"].dataType.simpleString() == "float"
+        assert np.abs(dense(got, 8, 8) - a @ a).max() < 1e-4
+    assert np.abs(dense(matrix.add(cells(spark, a), cells(spark, a), element="float"), 8, 8) - 2 * a).max() < 1e-5
+    with pytest.raises(ValueError):
+        matrix.add(cells(spark, a), cells(spark, a), element="int")

@@ -156,7 +156,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that pass, without their failing lines; `n_chars` follows the text."""
     judged = judge(docs.withColumnRenamed("quality", "__own_quality") if "quality" in docs.columns else docs)
-    kept = judged.where("quality.kept").withColumn("text", F.col("quality.clean_text"))
+    # behind a generator the filter can't be pushed below: each text is judged once, not twice
+    once = judged.withColumn("quality", F.explode(F.array("quality")))
+    kept = once.where("quality.kept").withColumn("text", F.col("quality.clean_text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     kept = kept.drop("quality")

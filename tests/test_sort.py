@@ -7,6 +7,7 @@ from spikeframe.operators import sort
 from spikeframe.operators.harness import Case, case_name, run_suite
 from spikeframe.sources import generate as gen
 
+# The inputs that any sort of this kind is expected to handle.
 CASES = {
     "single": [42], "two": [5, 3], "sorted": [1, 2, 3, 4, 5], "reverse": [5, 4, 3, 2, 1],
     "duplicates": [3, 1, 4, 1, 5, 9, 2, 6, 5, 3], "random": [7, 2, 9, 1, 5, 3], "same": [5] * 5,

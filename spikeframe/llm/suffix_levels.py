@@ -47,6 +47,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 #: Bytes of text hashed at a time (or one document); bounds a task's memory, not its results.
 CHUNK = 1 << 20
+#: Low bits of an anchor's number that hold its position; the others compare hashes.
+POSITION_BITS = 24
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -87,18 +89,29 @@ def _runs(hashes: Hashes, starts: np.ndarray, length: int, gram: int):
         return none, none, none, np.zeros(0, np.uint64)
     at = np.arange(n - gram + 1)
     value = hashes.of(0, at, at + gram)
-    best, where, reach, width = value, at, 1, length - gram + 1
-    while reach < width:
-        step = min(reach, width - reach)
-        m = len(best) - step
-        left = best[:m] <= best[step:]
-        where = np.where(left, where[:m], where[step:])
-        best = np.where(left, best[:m], best[step:])
-        reach += step
-    start = np.arange(len(best))
-    doc = np.searchsorted(starts, start, side="right") - 1
-    whole = start + length <= starts[doc + 1]
-    start, doc, where = start[whole], doc[whole], where[whole]
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    width, reach = length - gram + 1, 1
+    if n <= int(low):
+        # hash and position in one number: the smallest is the leftmost piece with the smallest hash
+        best = (value & ~low) | at.view(np.uint64)
+        while reach < width:
+            step = min(reach, width - reach)
+            best = np.minimum(best[:-step], best[step:])
+            reach += step
+        where = (best & low).view(np.int64)
+    else:
+        best, where = value & ~low, at
+        while reach < width:
+            step = min(reach, width - reach)
+            left = best[:-step] <= best[step:]
+            where = np.where(left, where[:-step], where[step:])
+            best = np.where(left, best[:-step], best[step:])
+            reach += step
+    # strings that lie within one document
+    size = np.maximum(np.diff(starts) - (length - 1), 0)
+    doc = np.repeat(np.arange(len(size)), size)
+    start = np.arange(len(doc)) + np.repeat(starts[:-1] - np.append(0, np.cumsum(size)[:-1]), size)
+    where = where[start]
     heads = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]))[:len(start)])
     tails = np.append(heads[1:], len(start)) - 1
     return start[heads], start[tails], doc[heads], value[where[heads]]
@@ -125,25 +138,23 @@ class Slot:
             context = [hashes.of(k, first, last + length) for k in range(2)]
             parts.append((first + base, last + base, doc + low, key, *context))
         self.first, self.last, self.doc, self.key, *self.context = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(self.key)
+        new = np.append(True, self.key[order][1:] != self.key[order][:-1])[:len(order)]
+        heads = np.flatnonzero(new)
+        self.rank = np.empty(len(order), np.int64)  # place of each run's key among the distinct keys
+        self.rank[order] = np.cumsum(new) - 1
+        self.keys = self.key[order][heads]
+        doc = self.doc[order]
+        self.own_shared = (np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)) if len(doc) else new
 
     def _hashes(self, low: int, high: int) -> Hashes:
         return Hashes(np.frombuffer(b"".join(self.raw[low:high]), np.uint8))
 
     # --- what a slot asks, and what the answers tell it; entries are always in sorted order ---
 
-    def keys(self) -> np.ndarray:
-        return np.unique(self.key)
-
-    def own_shared(self) -> np.ndarray:
-        """Whether two documents of this slot have the key, for each of keys()."""
-        order = np.lexsort((self.doc, self.key))
-        key, doc = self.key[order], self.doc[order]
-        change = np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] != doc[:-1]))
-        return np.isin(self.keys(), key[change])
-
     def candidates(self, shared: np.ndarray) -> np.ndarray:
-        keys = self.keys()
-        return np.flatnonzero((shared | self.own_shared())[np.searchsorted(keys, self.key)]) if len(keys) else self.doc[:0]
+        """Runs whose key two documents have, here or (`shared`, for each of keys) anywhere."""
+        return np.flatnonzero((shared | self.own_shared)[self.rank])
 
     def contexts(self, runs: np.ndarray) -> list[np.ndarray]:
         """Hashes of the bytes that the runs' strings cover."""
@@ -169,13 +180,21 @@ class Slot:
 
 def _least(hashes: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hash pairs with their smallest id, sorted, as rows (h1, h2, id); and each entry's row."""
-    order = np.lexsort((ids, hashes[1], hashes[0]))
+    if not len(ids):
+        return np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
+    order = np.argsort(hashes[0])
     a, b = hashes[0][order], hashes[1][order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
-    rows = np.stack([a[new], b[new], ids[order][new].view(np.uint64)], axis=1) if len(a) else np.zeros((0, 3), np.uint64)
+    new = a[1:] != a[:-1]
+    if (b[1:] != b[:-1])[~new].any():  # equal first hashes of different strings
+        order = np.lexsort((hashes[1], hashes[0]))
+        a, b = hashes[0][order], hashes[1][order]
+        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new = np.append(True, new)
+    heads = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids[order], heads)
     own = np.empty(len(a), np.int64)
     own[order] = np.cumsum(new) - 1
-    return rows, own
+    return np.stack([a[heads], b[heads], least.view(np.uint64)], axis=1), own
 
 
 def _spread(kind: int, slot: int, high: np.ndarray, rows: np.ndarray, bits: int):
@@ -186,6 +205,17 @@ def _spread(kind: int, slot: int, high: np.ndarray, rows: np.ndarray, bits: int)
     return [(kind, slot, int(part[a]), np.ascontiguousarray(rows[a:b]).tobytes()) for a, b in zip(edges, stops)]
 
 
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)]]
+
+
+def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values occur in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 MESSAGE = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("part", pa.int64()), ("body", pa.binary())])
 
 
@@ -214,18 +244,20 @@ class SuffixLevels:
     @staticmethod
     def _scan(new_rows, levels, shared_kind: int):
         """Keys of a new batch that occur twice in it or in a level; and the levels after it."""
-        arrays = [np.unique(np.frombuffer(r["body"], np.uint32)) for r in new_rows]
+        arrays = [_distinct(np.frombuffer(r["body"], np.uint32)) for r in new_rows]
         held = {r["slot"]: np.frombuffer(r["body"], np.uint32) for r in levels}
         if not arrays:
             return np.zeros(0, np.uint32), held
-        both, count = np.unique(np.concatenate(arrays), return_counts=True)
-        hits = [both[count > 1]] + [np.intersect1d(both, x, assume_unique=True) for x in held.values()]
+        both = np.sort(np.concatenate(arrays))
+        hits = [both[1:][both[1:] == both[:-1]]]
+        both = _distinct(both)
+        hits += [both[_member(both, x)] for x in held.values()]
         rank = 0
         while rank in held:
-            both = np.union1d(both, held.pop(rank))
+            both = _distinct(np.sort(np.concatenate([both, held.pop(rank)])))
             rank += 1
         held[rank] = both
-        return np.unique(np.concatenate(hits)), held
+        return _distinct(np.sort(np.concatenate(hits))), held
 
     def add(self, batch: DataFrame) -> None:
         """Merge-scan a batch (messages of kind KEY) against the levels, then let it join them."""
@@ -257,9 +289,9 @@ class SuffixLevels:
 def _answer_keys(asked: DataFrame, shared: DataFrame) -> DataFrame:
     def step(key, left, right):
         hits = [np.frombuffer(r["body"], np.uint32) for r in right.to_pylist()]
-        hits = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.uint32)
-        return _table([(KEY, r["slot"], r["part"], np.isin(
-            np.frombuffer(r["body"], np.uint32), hits, assume_unique=False).tobytes()) for r in left.to_pylist()])
+        hits = _distinct(np.sort(np.concatenate([*hits, np.zeros(0, np.uint32)])))
+        return _table([(KEY, r["slot"], r["part"], _member(np.frombuffer(r["body"], np.uint32), hits).tobytes())
+                       for r in left.to_pylist()])
 
     return asked.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(step, MESSAGES)
 
@@ -298,7 +330,7 @@ class Work:
         self.length, self.gram, self.bits = length, gram, bits
 
     def ask_keys(self, key, table):
-        keys = Slot(table, self.length, self.gram).keys()
+        keys = Slot(table, self.length, self.gram).keys
         low = (keys >> np.uint64(32 - self.bits)).astype(np.uint32)
         return _table(_spread(KEY, key[0].as_py(), keys, low, self.bits))
 
@@ -322,8 +354,9 @@ class Work:
         rows, own = _least(slot.contexts(runs), slot.ids[slot.doc[runs]])
         least = np.ascontiguousarray(rows[:, 2]).view(np.int64)
         repeated = _answers(right, CONTEXT)[own] | (slot.ids[slot.doc[runs]] > least[own])
-        keys = np.unique(slot.key[runs])
-        several = _answers(right, VARIETY)[np.searchsorted(keys, slot.key[runs])] if len(keys) else repeated
+        asked = np.zeros(len(slot.keys), bool)
+        asked[slot.rank[runs]] = True
+        several = _answers(right, VARIETY)[(np.cumsum(asked) - 1)[slot.rank[runs]]] if len(runs) else repeated
         return runs[repeated], runs[~repeated & several]
 
     def ask_strings(self, key, left, right):

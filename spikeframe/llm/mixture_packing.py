@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,10 @@ class WordIds:
         if "<|" in word or not self.plain.issuperset(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
         pieces = self.split(word.lower())
-        return np.array([t.id for piece in pieces for t in self.model.tokenize(piece.translate(self.bytes))],
-                        self.kind).tobytes()
+        if len(pieces) > 1:  # a word with punctuation: its parts are mostly known
+            return b"".join([self.words.one(piece, self._make) for piece in pieces])
+        return array(self.kind.char, [t.id for piece in pieces for t in self.model.tokenize(
+            piece.translate(self.bytes))]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""

@@ -110,6 +110,9 @@ def _runs(hashes: Hashes, starts: np.ndarray, length: int, gram: int):
     # strings that lie within one document
     size = np.maximum(np.diff(starts) - (length - 1), 0)
     doc = np.repeat(np.arange(len(size)), size)
+    if not len(doc):  # the chunk has enough bytes, but none of its documents
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
     start = np.arange(len(doc)) + np.repeat(starts[:-1] - np.append(0, np.cumsum(size)[:-1]), size)
     where = where[start]
     heads = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]))[:len(start)])

@@ -130,3 +130,10 @@ def test_repeats_of_odd_rows(spark, odd):
         got = suffix_levels.digests(suffix_levels.repeated_spans(df, slot_bytes=20_000, batches=batches))
         assert collections.Counter(map(tuple, got.collect())) == brute_repeats(df.collect(), 50)
     assert suffix_levels.repeated_spans(odd.limit(0)).count() == 0
+
+
+def test_repeats_of_short_texts_only(spark):
+    rows = [(k, f"Comment number {k % 7}, short.") for k in range(40)] + [(50, "x" * 49), (51, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_levels.digests(suffix_levels.repeated_spans(df))
+    assert collections.Counter(map(tuple, got.collect())) == brute_repeats(df.collect(), 50)

@@ -2,16 +2,20 @@
 
 Entities are found by patterns in every whole text. A surrogate is a keyed, format-preserving
 encryption of the entity: symbol after symbol is shifted within its own class (digit, vowel,
-consonant; lower or upper case; per script) by an amount that the key, the entity's kind and all
+consonant; lower or upper case; per script, with all letters, marks and digits of Unicode) by an amount that the key, the entity's kind and all
 other symbols determine. Such a step can be undone, so different entities of a kind always have
 different surrogates and equal ones equal surrogates, in every document and run with that key,
-without a table of all entities; `collisions` checks it over a corpus. No shift is zero, so no
-symbol of an entity stays. Formats are kept: separators, lengths, case, vowels, a phone's country
+without a table of all entities; `checked` groups the distinct entities of each run all the same. No shift is zero, so no
+symbol of an entity stays but what its format keeps. Formats are kept: separators, lengths, case, vowels, a phone's country
 code, a card's first digit, an address's last domain label, octets below 256; a person keeps the
 title and the last letter of each name, which carry the gender.
 
 Equal entities in different dress are one: addresses and names are encrypted in lower case, phone,
-card and social security numbers by their digits alone.
+card and social security numbers by their digits alone (a phone's country code is found in the digits),
+account numbers without their spaces.
+
+Persons are found after a title or after a phrase that announces a name, with all their names and
+initials; a name with neither is not told from other capitalised words.
 
 Defined results: a null text stays null; empty texts and texts without entities stay as they are;
 repeated rows are rewritten row by row; extra columns pass through.
@@ -19,12 +23,15 @@ repeated rows are rewritten row by row; extra columns pass through.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import Scratch, let
 
 # Symbol classes; a symbol is only ever replaced by one of its own class.
 ALPHABETS = (
@@ -34,24 +41,67 @@ ALPHABETS = (
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 )
-# Titles that stand before a person's name.
-TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Sir|Lady"
-_ATOM = r"\p{L}\p{N}._%+\-"
+def _other_symbols():
+    """All other letters, marks and digits: (those with case, class by class; where each class starts; runs of code points)."""
+    known = set("".join(ALPHABETS))
+    classes: dict[tuple, list[str]] = {}
+    runs: list[list] = []
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        kind = unicodedata.category(c)[0]
+        if kind not in "LMN" or c in known:
+            continue
+        name, up, low = unicodedata.name(c, "CJK").split(" ")[0], c.upper(), c.lower()
+        if up == low == c:
+            if runs and runs[-1][1:] == [code - 1, name, kind]:
+                runs[-1][1] = code
+            else:
+                runs.append([code, code, name, kind])
+            continue
+        # what doesn't survive a change of case never takes the place of what does
+        plain = len(up) == len(low) == 1 and c in (up, low) and up.lower() == low and low.upper() == up
+        classes.setdefault((name, plain, up != c, low != c) if plain else (), []).append(c)
+    classes.setdefault("", []).extend(chr(a) for a, b, *_ in runs if a == b)
+    classes.setdefault((), []).extend(own.pop() for own in list(classes.values()) if len(own) == 1)
+    lists = [own for own in classes.values() if own]
+    return ("".join("".join(own) for own in lists), [1 + sum(map(len, lists[:k])) for k in range(len(lists) + 1)],
+            [(a, b) for a, b, *_ in runs if a < b])
+
+
+OTHERS, STARTS, RANGES = _other_symbols()
+LETTERS = "".join(ALPHABETS)
+LETTER_STARTS = [1 + sum(map(len, ALPHABETS[:k])) for k in range(len(ALPHABETS) + 1)]
+# Titles that stand before a person's name, and phrases that announce one.
+TITLES = ("Mrs|Mr|Ms|Miss|Mx|Herrn|Herr|Frau|Fräulein|Señorita|Señora|Señor|Sra|Srta|Sr|Doña|Don|Monsieur|Madame|Mademoiselle|"
+          "Mme|Mlle|Maître|Sir|Lady|Lord|Dame|Drs|Dra|Dr|Doctor|Doktor|Docteur|Professorin|Professor|Professeur|Profesora|"
+          "Profesor|Profa|Prof|Ing|Dipl\\.-Ing|Rev|Reverend|Judge|Captain|Capt|Colonel|Col|Major|Lieutenant|Lt|Sergeant|Sgt|"
+          "Signora|Signor|Sig|Dott|господин|госпожа|Господин|Госпожа|г-н|г-жа|κύριος|κυρία|Κύριος|Κυρία")
+CUES = ("[Mm]y name is|[Mm]y name's|[Nn]ame:|[Pp]atient:|[Cc]ustomer:|[Cc]ontact:|[Aa]uthor:|[Ss]igned by|[Ss]igned,|[Dd]ear|"
+        "[Rr]egards,|[Ss]incerely,|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|"
+        "[Nn]ombre:|[Nn]om:|[Мм]еня зовут|[Ии]мя:")
+_ATOM = r"\p{L}\p{M}\p{N}._%+\-"
+_TITLED = rf"(?:(?:{TITLES})\.? )+"
+_NAME = r"(?:[\p{Lu}\p{Lo}][\p{L}\p{M}'’\-]+|\p{Lu}\.(?:[ \-]?\p{Lu}\.)*|\p{Lu}(?= \p{Lu})|\p{Lo})"
+_NAMES = rf"{_NAME}(?: (?:(?:von|van|vom|zu|zur|de|der|den|del|della|di|da|dos|du|la|le|bin|ibn|al|el|y) ){{0,3}}{_NAME})*"
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Kinds in order of precedence: of alternatives at one place the first matches.
 PATTERNS = {
-    "email": rf"(?<![{_ATOM}])[{_ATOM}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)+",
+    "email": rf"(?<![{_ATOM}])[{_ATOM}]++@[\p{{L}}\p{{M}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{M}}\p{{N}}\-]++)+",
     "ip": _FREE + r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.\d)" + _END,
     "iban": _FREE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _FREE + r"(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})" + _END,
     "ssn": _FREE + r"\d{3}-\d{2}-\d{4}" + _END,
     "phone": r"(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,4}" + _END
-             + r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}" + _END + "|" + _FREE + r"(?:\d{3}[.\-])?\d{3}[.\-]\d{4}" + _END + ")",
-    "person": rf"\b(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?",
+             + r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}" + _END + r"|\(0\d{1,4}\) ?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}" + _END
+             + "|" + _FREE + r"(?:\d{3} \d{3}[ .\-]\d{4}|0\d{2,4}[ /\-]\d{5,8}|0\d{2,4}(?:[ ./\-]\d{2,4}){2,4}"
+             + r"|0\d(?:[ .]\d{2}){4})" + _END + "|" + _FREE + r"(?:\d{3}[.\-])?\d{3}[.\-]\d{4}" + _END + ")",
+    "person": rf"{_FREE}{_TITLED}{_NAMES}|(?<={_FREE}(?:{CUES}) ){_NAMES}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_CANDIDATE = rf"[@0-9]|(?:{TITLES})\.? "
-_WHOLE = {kind: f"^(?:{p})$" for kind, p in PATTERNS.items()}
+_CANDIDATE = rf"[@0-9]|(?:{TITLES})\.? |(?:{CUES}) "
+_WHOLE = {kind: f"^(?:{p})$" for kind, p in PATTERNS.items()} | {"person": rf"^(?:{_TITLED})?{_NAMES}$"}
+#: Digits of a country's code: one for 1 and 7, two for these, otherwise three.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def entity_kind(value: Column) -> Column:
@@ -65,41 +115,69 @@ def _random(key: str, kind: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("long")
 
 
-def encrypted(value: Column, key: str, kind: str, keep_last: bool = False) -> Column:
-    """The value with every symbol of a class shifted within it; one reversible step per symbol."""
+def _numbers(numbers) -> Column:
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+
+
+def _moved(place: Column, starts, stops, amount: Column) -> Column:
+    """Another place of the same run of places (starts to stops, both included); null outside all runs."""
+    def within(run: Column) -> Column:
+        size = run["stop"] - run["start"] + 1
+        to = (place - run["start"] + 1 + amount % (size - 1)) % size + run["start"]
+        return F.when(place.between(run["start"], run["stop"]), to.cast("int"))
+
+    def of(own: Column) -> Column:
+        return let(F.struct(F.get(_numbers(starts), own - 1).alias("start"), F.get(_numbers(stops), own - 1).alias("stop")), within)
+
+    return let(F.size(F.filter(_numbers(starts), lambda x: x <= place)), of)
+
+
+def _within(symbol: Column, amount: Column, letters: str, starts: list[int]) -> Column:
+    moved = let(F.position(symbol, F.lit(letters)), lambda place: _moved(place, starts[:-1], [x - 1 for x in starts[1:]], amount))
+    return let(moved, lambda to: F.when(to.isNotNull(), F.substring(F.lit(letters), to, F.lit(1))))
+
+
+def _shifted(symbol: Column, amount: Column, plain: bool) -> Column:
+    """Another symbol of the same class, or the symbol where it has none."""
+    if plain:
+        return F.coalesce(_within(symbol, amount, LETTERS, LETTER_STARTS), symbol)
+    ranged = let(F.ascii(symbol), lambda code: _moved(code, *zip(*RANGES), amount))
+    char = let(ranged, lambda to: F.when(to.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(to), 8, "0")), "UTF-32")))
+    return F.coalesce(_within(symbol, amount, LETTERS, LETTER_STARTS),
+                      F.when(F.ascii(symbol) >= 128, F.coalesce(char, _within(symbol, amount, OTHERS, STARTS))), symbol)
+
+
+def encrypted(value: Column, key: str, kind: str, keep_last: bool = False, plain: bool = False) -> Column:
+    """The value with every symbol of a class shifted within it; one reversible step per symbol.
+
+    keep_last: the last of several symbols stays. plain: only symbols of ALPHABETS can occur.
+    """
     def step(s: Column, i: Column) -> Column:
         before, after = F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))
         amount = _random(key, kind, i, before, after)
 
-        def shifted(symbol: Column) -> Column:
-            out = symbol
-            for letters in ALPHABETS:
-                at = F.position(symbol, F.lit(letters))
-                to = (at + amount % (len(letters) - 1)) % len(letters)
-                out = F.when(at > 0, F.substring(F.lit(letters), (to + 1).cast("int"), F.lit(1))).otherwise(out)
-            return out
-
-        return F.concat(before, let(F.substring(s, i, F.lit(1)), shifted), after)
+        return F.concat(before, let(F.struct(F.substring(s, i, F.lit(1)).alias("symbol"), amount.alias("amount")),
+                                    lambda x: _shifted(x["symbol"], x["amount"], plain)), after)
 
-    last = F.length(value) - (1 if keep_last else 0)
+    last = F.length(value) - (F.when(F.length(value) > 1, 1).otherwise(0) if keep_last else 0)
     return F.when(last < 1, value).otherwise(F.aggregate(F.sequence(F.lit(1), last), value, step))
 
 
-def _digits_replaced(value: Column, digits: Column, skip: Column) -> Column:
-    """The value with its digits, all but the first `skip`, replaced in order."""
+def _replaced(value: Column, symbols: Column, skip: Column, kind: str) -> Column:
+    """The value with what the character class `kind` has of it, all but the first `skip`, replaced in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("seen"))
 
     def step(acc: Column, c: Column) -> Column:
-        seen = acc["seen"] + F.when(c.between("0", "9"), 1).otherwise(0)
-        new = F.when(c.between("0", "9") & (seen > skip), F.substring(digits, seen - skip, F.lit(1))).otherwise(c)
+        seen = acc["seen"] + F.when(c.rlike(kind), 1).otherwise(0)
+        new = F.when(c.rlike(kind) & (seen > skip), F.substring(symbols, seen - skip, F.lit(1))).otherwise(c)
         return F.struct(F.concat(acc["out"], new).alias("out"), seen.alias("seen"))
 
     return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["out"])
 
 
-def _number(value: Column, key: str, kind: str, skip: Column) -> Column:
-    digits = F.substring(F.regexp_replace(value, "[^0-9]", ""), skip + 1, F.length(value))
-    return _digits_replaced(value, encrypted(digits, key, kind), skip)
+def _number(value: Column, key: str, kind: str, skip: Column, symbols: str = "[0-9]") -> Column:
+    found = F.substring(F.regexp_replace(value, symbols.replace("[", "[^"), ""), skip + 1, F.length(value))
+    return _replaced(value, encrypted(found, key, kind, plain=True), skip, symbols)
 
 
 def _address(value: Column, key: str) -> Column:
@@ -123,23 +201,26 @@ def _octets(value: Column, key: str) -> Column:
 
 def _person(value: Column, key: str) -> Column:
     """Title kept; every name encrypted in lower case, its last letter kept, and written as before."""
-    title = F.regexp_extract(value, rf"^(?:{TITLES})\.? ", 0)
+    title = F.regexp_extract(value, rf"^(?:{_TITLED})?", 0)
     names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
 
     def one(name: Column) -> Column:
-        new = encrypted(F.lower(name), key, "person", keep_last=True)
+        low = F.lower(name)
+        return let(encrypted(low, key, "person", keep_last=True), lambda new: dressed(name, low, new))
+
+    def dressed(name: Column, low: Column, new: Column) -> Column:
         cased = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))
-        return F.when((name == F.upper(name)) & (F.length(name) > 1), F.upper(new)).otherwise(cased)
+        return F.when(name == low, new).when((name == F.upper(name)) & (F.length(name) > 1), F.upper(new)).otherwise(cased)
 
     return F.concat(title, F.array_join(F.transform(names, one), " "))
 
 
 def surrogate(value: Column, kind: Column, key: str) -> Column:
-    country = F.length(F.regexp_replace(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0), "[^0-9]", ""))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    country = F.when(value.startswith("+"), F.length(F.regexp_extract(digits, _COUNTRY, 0))).otherwise(0)
     return (F.when(kind == "email", _address(value, key))
             .when(kind == "ip", _octets(value, key))
-            .when(kind == "iban", F.concat(F.substring(value, 1, 2), encrypted(
-                F.substring(value, F.lit(3), F.length(value)), key, "iban")))
+            .when(kind == "iban", _number(value, key, "iban", F.lit(2), "[0-9A-Z]"))
             .when(kind == "card", _number(value, key, "card", F.lit(1)))
             .when(kind == "ssn", _number(value, key, "ssn", F.lit(0)))
             .when(kind == "person", _person(value, key))
@@ -166,9 +247,18 @@ def rewritten(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
     return found.withColumn("text", F.when(F.size("entities") > 0, joined).otherwise(text))
 
 
+def checked(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
+    """`rewritten`, written once; warns if different entities of it share a surrogate."""
+    rows = Scratch(docs.sparkSession, "surrogates").write(rewritten(docs, key), "rows")
+    shared = _collisions(rows).count()
+    if shared:
+        warnings.warn(f"{shared} surrogates or entities aren't one to one; see surrogates.collisions", stacklevel=2)
+    return rows
+
+
 def report(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
     """doc_id, rewritten text and how many entities of each kind it had."""
-    rows = rewritten(docs.select("doc_id", "text"), key)
+    rows = checked(docs.select("doc_id", "text"), key)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("entities", lambda e: e["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -179,7 +269,7 @@ def report(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
 def without_personal_data(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
     """The documents with rewritten texts; `n_chars` follows the text."""
     own = "entities" in docs.columns
-    rows = rewritten(docs.withColumnRenamed("entities", "__own_entities") if own else docs, key).drop("entities")
+    rows = checked(docs.withColumnRenamed("entities", "__own_entities") if own else docs, key).drop("entities")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -189,14 +279,19 @@ def without_personal_data(docs: DataFrame, key: str = "spikeframe") -> DataFrame
 
 def identity(value: Column, kind: Column) -> Column:
     """What makes two entities of a kind the same."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, "[^0-9]", "")).when(
-        kind.isin("email", "person"), F.lower(value)).otherwise(value)
+    return F.when(kind.isin("phone", "card", "ssn"), F.concat(
+        F.when(value.startswith("+"), "+").otherwise(""), F.regexp_replace(value, "[^0-9]", ""))).when(
+        kind.isin("email", "person"), F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
 
 
-def collisions(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
-    """kind and surrogate of different entities with equal surrogates, or of one with several; none is expected."""
-    pairs = (rewritten(docs.select("text"), key).select(F.explode("entities").alias("e"))
+def _collisions(rows: DataFrame) -> DataFrame:
+    pairs = (rows.select(F.explode("entities").alias("e"))
              .select("e.kind", identity(F.col("e.value"), F.col("e.kind")).alias("value"),
                      identity(F.col("e.surrogate"), F.col("e.kind")).alias("surrogate")).distinct())
     two = [pairs.groupBy("kind", F.col(by).alias("name")).count().where("count > 1") for by in ("surrogate", "value")]
     return two[0].union(two[1])
+
+
+def collisions(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
+    """kind and surrogate of different entities with equal surrogates, or of one with several; none is expected."""
+    return _collisions(rewritten(docs.select("text"), key))

@@ -3,10 +3,12 @@
 A page is read as a token stream of block tags and text slots. The streams of a host are aligned
 one after another: equal tokens merge, a mismatch becomes an optional item, and neighbours with the
 same tag become a repeated item. The result, the host's wrapper, is a nested expression of tags,
-slots, `?` and `+`; every slot also counts its text. Slots are then judged once per host: those
-under the article (or, on hosts without one, under the element that holds most running text) are
-content, unless a page part such as a menu, footer, advert or comment lies around them. Each page
-is finally read through its host's wrapper.
+slots, `?` and `+`; every slot also counts its text. Slots are then judged once per host, by their
+paths: those under an article element, those under another article container, and elsewhere those
+under the element that holds most running text, unless a page part such as a menu, footer, advert or
+comment lies around them. html, body and what wraps the content are no page parts. A page takes the
+first of the three kinds that it has; a page of a template that its host's paths don't cover is judged
+by its own slots.
 
 All pages take part. Alignment starts inside each task, so a host with a third of all pages sends
 one small wrapper per task to the merge; pages meet their host's wrapper in a join that adaptive
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of the HTML language by their role here.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "head", "select", "object")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure "
@@ -55,13 +57,16 @@ _TOKEN = re.compile(
     re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Names that tell what an element has or lacks, not what it is.
+_STATE = re.compile(r"(?:no|has|have|with|without|not|hide|show)[-_]")
 
 
 def _signature(tag: str, attributes: str) -> str:
     """Tag with the words of its class, id and role, without numbers."""
     if "=" not in attributes:
         return tag
-    words = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())}
+    words = {w for m in _NAMES.finditer(attributes) for name in (m[2] or m[3] or m[4] or "").lower().split()
+             if not _STATE.match(name) for w in _WORD.findall(name)}
     return " ".join([tag, *sorted(words)])
 
 
@@ -73,6 +78,7 @@ def blocks(page: str | None):
     text: list[str] = []
     linked = 0
     links = 0
+    head = False  # whatever text stands there is none of the page; any block ends it
     out = []
     at = 0
 
@@ -84,7 +90,7 @@ def blocks(page: str | None):
         text, linked = [], 0
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not head:
             piece = page[at:m.start()]
             text.append(piece)
             if links:
@@ -93,6 +99,8 @@ def blocks(page: str | None):
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag == "head" or (head and tag in BLOCK):
+            head = tag == "head" and not m["end"]
         if tag not in BLOCK:
             if tag == "br" or tag == "img":
                 text.append(" ")
@@ -119,7 +127,7 @@ def blocks(page: str | None):
         if tag not in VOID:
             tags.append(tag)
             stack.append(_signature(tag, m["attr"]))
-    if at < len(page):
+    if at < len(page) and not head:
         text.append(page[at:])
     flush()
     return out
@@ -209,7 +217,7 @@ def _slots(items: list, path: tuple = ()):
 
 def _is_part(name: str) -> bool:
     tag, *words = name.split(" ")
-    return tag in PART_TAGS or any(w in PART_WORDS for w in words)
+    return tag not in ("html", "body") and (tag in PART_TAGS or any(w in PART_WORDS for w in words))
 
 
 def _is_article(name: str) -> bool:
@@ -217,22 +225,48 @@ def _is_article(name: str) -> bool:
     return tag in ARTICLE_TAGS or (tag not in ("body", "html") and any(w in ARTICLE_WORDS for w in words))
 
 
-def content_paths(items: list) -> list[tuple]:
-    """Paths of the slots that hold a host's main text."""
+def _free(total: dict[tuple, list]) -> list[tuple]:
+    """Paths without a page part around them. An element around most of the text is none if an article lies
+    in it, or if nothing were left otherwise."""
+    whole = sum(s[1] for s in total.values())
+    below: dict[tuple, list] = {}
+    for p, s in total.items():
+        inner = False  # whether an article lies further inside
+        for k in range(len(p), 0, -1):
+            if _is_part(p[k - 1]):
+                kept = below.setdefault(p[:k], [0, False])
+                kept[0] += s[1]
+                kept[1] |= inner
+            else:
+                inner |= p[k - 1].split(" ")[0] in ARTICLE_TAGS
+
+    def without(wraps):
+        return [p for p in total if not any(p[:k] in below and p[:k] not in wraps for k in range(1, len(p) + 1))]
+
+    found = without({p for p, (n, article) in below.items() if article and 2 * n > whole})
+    return found or without({p for p, (n, _) in below.items() if 10 * n > 8 * whole})
+
+
+def content_paths(items: list) -> list[list[tuple]]:
+    """Paths of the slots that hold main text: under article elements, under other containers, elsewhere."""
     total: dict[tuple, list] = {}
     for path, stats in _slots(items):
         kept = total.setdefault(path, [0, 0, 0])
         for k in range(3):
             kept[k] += stats[k]
-    free = {p: s for p, s in total.items() if not any(_is_part(x) for x in p)}
-    within = [p for p in free if any(x.split(" ")[0] == "article" for x in p)] or [
-        p for p in free if any(_is_article(x) for x in p)]
-    if within:
-        return within
+    free = _free(total)
+    articles = [p for p in free if any(x.split(" ")[0] == "article" for x in p)]
+    named = [p for p in free if p not in set(articles) and any(_is_article(x) for x in p)]
+    rest = set(free) - set(articles) - set(named)
+    return [articles, named, _heaviest({p: total[p] for p in free if p in rest})]
+
+
+def _heaviest(free: dict[tuple, list]) -> list[tuple]:
+    """Paths under the deepest element that still holds most of the running text."""
     prose = {p: s for p, s in free.items() if 2 * s[2] <= s[1]}
     weight = sum(s[1] for s in prose.values())
     root: tuple = ()
-    while True:  # the deepest element that still holds most of the running text
+    while True:
         below: dict[tuple, int] = {}
         for p, s in prose.items():
             if len(p) > len(root) + 1 and p[:len(root)] == root:
@@ -243,6 +277,26 @@ def content_paths(items: list) -> list[tuple]:
         root = heavy[0]
 
 
+def main_text(page: str | None, content: list[frozenset]) -> str:
+    """The page's main text by its host's paths (joined by line ends), or by its own slots where they don't cover it."""
+    found = blocks(page)
+    paths = ["\n".join(p) for p, _, _ in found]
+
+    def pick(kinds) -> tuple[int, list[str]]:
+        for k, own in enumerate(kinds):
+            texts = [t for p, (_, t, _) in zip(paths, found) if p in own]
+            if texts:
+                return k, texts
+        return len(kinds), []
+
+    kind, texts = pick(content)
+    if kind < 2 or not found:
+        return "\n".join(texts)
+    own, mine = pick([{"\n".join(p) for p in x} for x in content_paths(page_expression(found))])
+    # the host's heaviest element may be another template's, of which this page has a small piece only
+    return "\n".join(mine if own < 2 or sum(map(len, mine)) > 5 * sum(map(len, texts)) else texts)
+
+
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -272,7 +326,7 @@ def host_wrappers(pages: DataFrame, held_hosts: int = 2000) -> DataFrame:
         for text in sorted(rows["wrapper"]):
             items = json.loads(text)
             whole = items if whole is None else align(whole, items)
-        paths = ["\n".join(p) for p in content_paths(whole)]
+        paths = [["\n".join(p) for p in kind] for kind in content_paths(whole)]
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(whole)], "content": [json.dumps(paths)]})
 
     parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(local, "host string, wrapper string")
@@ -284,7 +338,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     wrappers = host_wrappers(pages) if wrappers is None else wrappers
 
     def kernel(batches):
-        known: dict[str, frozenset] = {}
+        known: dict[str, list[frozenset]] = {}
         for batch in batches:
             texts = []
             for page, content in zip(batch.column("html").to_pylist(), batch.column("content").to_pylist()):
@@ -292,8 +346,8 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
                 if paths is None:
                     if len(known) > 5000:
                         known.clear()
-                    paths = known[content] = frozenset(json.loads(content or "[]"))
-                texts.append("\n".join([t for p, t, _ in blocks(page) if "\n".join(p) in paths]))
+                    paths = known[content] = [frozenset(kind) for kind in json.loads(content or "[]")]
+                texts.append(main_text(page, paths))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -74,7 +74,7 @@ LETTER_STARTS = [1 + sum(map(len, ALPHABETS[:k])) for k in range(len(ALPHABETS)
 # Titles that stand before a person's name, and phrases that announce one.
 TITLES = ("Mrs|Mr|Ms|Miss|Mx|Herrn|Herr|Frau|Fräulein|Señorita|Señora|Señor|Sra|Srta|Sr|Doña|Don|Monsieur|Madame|Mademoiselle|"
           "Mme|Mlle|Maître|Sir|Lady|Lord|Dame|Drs|Dra|Dr|Doctor|Doktor|Docteur|Professorin|Professor|Professeur|Profesora|"
-          "Profesor|Profa|Prof|Ing|Dipl\\.-Ing|Rev|Reverend|Judge|Captain|Capt|Colonel|Col|Major|Lieutenant|Lt|Sergeant|Sgt|"
+          "Profesor|Profa|Prof|Dipl\\.-Ing|Rev|Reverend|Judge|Captain|Capt|Colonel|Col|Major|Lieutenant|Lt|Sergeant|Sgt|"
           "Signora|Signor|Sig|Dott|господин|госпожа|Господин|Госпожа|г-н|г-жа|κύριος|κυρία|Κύριος|Κυρία")
 CUES = ("[Mm]y name is|[Mm]y name's|[Nn]ame:|[Pp]atient:|[Cc]ustomer:|[Cc]ontact:|[Aa]uthor:|[Ss]igned by|[Ss]igned,|[Dd]ear|"
         "[Rr]egards,|[Ss]incerely,|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|"

@@ -51,3 +51,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND 100 * (n_words - words_left) <= 50 * n_words AS kept, words_left
 FROM b
 """
+
+HARD_NEGATIVES = """
+WITH t AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.uid, a.vec_id AS anchor_id, b.uid AS other, b.vec_id, a.label = b.label AS same,
+    list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM t a JOIN t b ON a.vec_id % 50 = 0 AND a.uid <> b.uid),
+p AS (
+  SELECT uid, anchor_id, other AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) <= 5)
+SELECT p.anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY p.uid, positive ORDER BY score DESC, vec_id, other))::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.uid = p.uid AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.uid, positive ORDER BY score DESC, vec_id, other) <= 3
+"""
+
+COLLOCATIONS = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM d),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, w[i:i + m - 1] AS g FROM i, (SELECT unnest(range(1, 5)) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 30),
+x AS (
+  SELECT lang, g, a, k, g[1:k] AS head, g[k + 1:] AS rest
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c)),
+k AS (
+  SELECT x.lang, x.g, a, k, h.f AS l, r.f AS r, (2000000::HUGEINT * a) // (h.f + r.f) AS score
+  FROM x JOIN f h ON h.lang = x.lang AND h.g = x.head JOIN f r ON r.lang = x.lang AND r.g = x.rest),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+s AS (
+  SELECT lang, sub, max(a) AS above FROM (
+    SELECT lang, a, g[j:j + m - 1] AS sub
+    FROM c, (SELECT unnest(range(2, 4)) AS m), (SELECT unnest(range(1, 4)) AS j) WHERE m < len(g) AND j + m - 1 <= len(g))
+  GROUP BY lang, sub),
+r AS (
+  SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+  FROM b JOIN n ON n.lang = b.lang LEFT JOIN s ON s.lang = b.lang AND s.sub = b.g
+  WHERE above IS NULL OR 100 * above < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM r QUALIFY rank <= 2000
+"""

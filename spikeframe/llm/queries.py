@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_dedup, language_centroids, line_quality, mixture_packing, oracles, page_wrappers, piece_tokens,
-    secret_formats, simhash_trees, suffix_levels, surrogates,
+    best_fit, collocations, exact_dedup, hard_negatives, language_centroids, line_quality, mixture_packing, oracles,
+    page_wrappers, piece_tokens, secret_formats, simhash_trees, suffix_levels, surrogates,
 )
 from .common import table
 
@@ -51,7 +51,21 @@ def op10_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_centroids.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_formats, op2_line_quality, op3_page_wrappers, op4_exact_dedup, op5_suffix_levels, op6_mixture_packing,
-    op7_simhash_trees, op8_surrogates, op9_piece_tokens, op10_language_centroids)}
-ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP}
+    op7_simhash_trees, op8_surrogates, op9_piece_tokens, op10_language_centroids, op11_best_fit_packing,
+    op12_hard_negatives, op13_collocations)}
+ORACLES = {"op2_line_quality": oracles.LINE_QUALITY, "op4_exact_dedup": oracles.EXACT_DEDUP,
+           "op12_hard_negatives": oracles.HARD_NEGATIVES, "op13_collocations": oracles.COLLOCATIONS}

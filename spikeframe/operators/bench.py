@@ -39,7 +39,7 @@ def known(column="impl") -> Column:
     return F.col(column).isin([row[0] for row in IMPLEMENTATIONS])
 
 
-def runs_from(results: DataFrame, style="slash") -> DataFrame:
+def runs_from(results: DataFrame, style="slash", keep=()) -> DataFrame:
     """Parse names, drop what does not fit, and fill optional metrics."""
     have = set(results.columns)
 
@@ -49,7 +49,7 @@ def runs_from(results: DataFrame, style="slash") -> DataFrame:
     # as a generator the parse runs once per row: later filters cannot pull copies of it
     # below themselves
     return results.select(
-        *(["seq"] if "seq" in have else []),
+        *(["seq"] if "seq" in have else []), *keep,
         F.inline(F.array_compact(F.array(parse_run_name("name", style)))),
         F.col("real_time").cast("double").alias("real_time"),
         F.col("cpu_time").cast("double").alias("cpu_time"),

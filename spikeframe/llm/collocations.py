@@ -32,7 +32,7 @@ from .common import Scratch
 
 LONGEST = 4
 #: Text bytes of a chunk, unless one document is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Phrases of one broadcast trie.
 TRIE_PHRASES = 500_000
 #: Columns of a phrase's word numbers.
@@ -198,15 +198,14 @@ class DoubleArray:
         return position, state
 
 
-_SCHEMA = ", ".join(f"{w} long" for w in WORDS) + ", depth int, n long"
+#: A phrase or its first words (p), the word that follows (g; none: p's own occurrences), and how often.
+_SCHEMA = "p long, g long, n long"
 
 
-def _rows(phrases: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    depth = phrases.shape[1]
-    columns = [pa.array(np.ascontiguousarray(phrases[:, k])) if k < depth else pa.nulls(len(n), pa.int64())
-               for k in range(LONGEST)]
+def _rows(p: np.ndarray, g: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [*columns, pa.array(np.full(len(n), depth, np.int32)), pa.array(n.astype(np.int64))], names=[*WORDS, "depth", "n"])
+        [pa.array(p), pa.nulls(len(n), pa.int64()) if g is None else pa.array(g), pa.array(n.astype(np.int64))],
+        names=["p", "g", "n"])
 
 
 def _arrays(batch: pa.RecordBatch):
@@ -228,32 +227,33 @@ def _pairs(chunks: DataFrame) -> DataFrame:
             for numbers, places in _arrays(batch):
                 position = np.flatnonzero(places >= 0)
                 a, b, n = _followed(places[position], places, position, 1)
-                yield _rows(np.stack([numbers[a], numbers[b]], axis=1), n)
+                yield _rows(numbers[a], numbers[b], n)
 
     return chunks.select("numbers", "places").mapInArrow(kernel, _SCHEMA)
 
 
-def _scan(chunks: DataFrame, phrases: np.ndarray) -> DataFrame:
-    """Occurrences of the phrases of one trie, and their extensions by a frequent word."""
-    shared = chunks.sparkSession.sparkContext.broadcast(DoubleArray(phrases))
+def _scan(chunks: DataFrame, numbers_of: np.ndarray, phrases: np.ndarray) -> DataFrame:
+    """Occurrences of the phrases of one trie, by their numbers, and their extensions by a frequent word."""
+    shared = chunks.sparkSession.sparkContext.broadcast((DoubleArray(phrases), numbers_of))
 
     def kernel(batches):
-        trie, total = shared.value, np.zeros(shared.value.root + 1, np.int64)
+        trie, names = shared.value
+        total = np.zeros(trie.root + 1, np.int64)
         for batch in batches:
             for numbers, places in _arrays(batch):
                 position, state = trie.advance(numbers, places)
                 total += np.bincount(state, minlength=len(total))
                 if trie.depth < LONGEST:
                     row, word, n = _followed(trie.row[state], places, position, trie.depth)
-                    yield _rows(np.column_stack([trie.phrases[row], numbers[word]]), n)
+                    yield _rows(names[row], numbers[word], n)
         found = np.flatnonzero(total)
-        yield _rows(trie.phrases[trie.row[found]], total[found])
+        yield _rows(names[trie.row[found]], None, total[found])
 
     return chunks.select("numbers", "places").mapInArrow(kernel, _SCHEMA)
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
-    return rows.groupBy("depth", *WORDS).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return rows.groupBy("p", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, chunk_bytes: int = CHUNK_BYTES,
@@ -270,28 +270,32 @@ def phrase_counts(docs: DataFrame, least: int = 30, chunk_bytes: int = CHUNK_BYT
     numbered = scratch.write(_numbered(chunks, vocabulary), "numbered")
 
     found = [vocabulary.select(F.array("number").alias("g"), "n")]
-    candidates = scratch.write(_summed(_pairs(numbered), least), "candidates2")
+    number = F.monotonically_increasing_id().alias("p")
+    candidates = scratch.write(_summed(_pairs(numbered), least).select(
+        number, F.col("p").alias("g1"), F.col("g").alias("g2")), "candidates2")
     for depth in range(2, LONGEST + 1):
         here = WORDS[:depth]
         tries = -(-candidates.count() // trie_phrases)
         dealt = candidates.withColumn("trie", F.pmod(F.xxhash64("g1", "g2"), F.lit(max(tries, 1))))
         level = []
         for k in range(tries):
-            phrases = dealt.where(F.col("trie") == k).select(*here).toArrow()
+            phrases = dealt.where(F.col("trie") == k).select("p", *here).toArrow()
             if phrases.num_rows:
-                level.append(_scan(numbered, np.stack([c.to_numpy() for c in phrases.columns], axis=1)))
+                names, *words = (c.to_numpy() for c in phrases.columns)
+                level.append(_scan(numbered, names, np.stack(words, axis=1)))
         if not level:
             break
         rows = level[0]
         for more in level[1:]:
             rows = rows.union(more)
-        rows = scratch.write(_summed(rows, least), f"level{depth}")
-        exact = rows.where(F.col("depth") == depth)
+        rows = scratch.write(_summed(rows, least), f"level{depth}").join(candidates, "p")
+        exact = rows.where("g IS NULL")
         found.append(exact.select(F.array(*here).alias("g"), "n"))
         if depth < LONGEST:
-            longer = rows.where(F.col("depth") == depth + 1)
             tail = exact.select(*[F.col(w).alias(v) for w, v in zip(here, WORDS[1:])])
-            candidates = scratch.write(longer.join(tail, WORDS[1:depth + 1], "left_semi"), f"candidates{depth + 1}")
+            longer = rows.where("g IS NOT NULL").select(*here, F.col("g").alias(WORDS[depth]))
+            candidates = scratch.write(longer.join(tail, WORDS[1:depth + 1], "left_semi").select(
+                number, *WORDS[:depth + 1]), f"candidates{depth + 1}")
     counts = found[0]
     for more in found[1:]:
         counts = counts.union(more)
@@ -327,7 +331,12 @@ def collocations(docs: DataFrame, least: int = 30, best: int = 2000, covered: in
         vocabulary.select("number", "word", "lang", "total"), "number").groupBy("g").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"),
         F.first("lang").alias("lang"), F.first("total").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = scored.join(spelled, "g").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select(
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    rows = scored.join(spelled, "g").select(
+        "lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score", F.pmod(F.xxhash64("g"), F.lit(64)).alias("part"))
+    # the best of each part of a language first: a language's last sort has a bounded number of rows
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(
+        F.col("rank") <= best)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(
+        F.col("rank") <= best).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

@@ -1,6 +1,7 @@
 """Packing by exact complements: every id once, whole documents, few sequences."""
 
 import collections
+import functools
 import random
 import zlib
 
@@ -10,11 +11,16 @@ from spikeframe.llm import best_fit
 from spikeframe.llm.common import tokenizer_file
 
 
-def token_ids(text):
+@functools.lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+    return Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+
+
+@functools.lru_cache(maxsize=None)
+def token_ids(text):
+    return np.array(tokenizer().encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
 def check(rows, texts, size=2048):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import int_div, two_decimals
+from ..functions.columns import int_div, mix, two_decimals
 from ..functions.skew import salted_join
 from ..session import cut_lineage, shuffle_partitions
 
@@ -280,6 +280,31 @@ def approx_equal(a: DataFrame, b: DataFrame, tolerance=1e-5) -> DataFrame:
     return found.select("*", ((F.col("unmatched") == 0) & (F.col("max_diff") <= tolerance)).alias("is_equal"))
 
 
+def product_holds(a: DataFrame, b: DataFrame, c: DataFrame, vectors=8, tolerance=1e-6) -> DataFrame:
+    """vector, wrong_rows: Freivalds' check of a times b against c by random sign vectors.
+
+    Multiplying by a vector from the right takes one grouped pass over each matrix, so the check
+    costs as much as reading the three, whatever the product costs. An equal product never has wrong
+    rows; a product with a wrong cell passes one vector with probability one half at most, and all of
+    them with probability 2^-vectors. Signs are drawn by a hash of column and vector number.
+    """
+    def times(cells, by, each):
+        return cells.groupBy(by).agg(*[F.sum(F.col("v") * each(k)).alias(f"x{k}") for k in range(vectors)])
+
+    def sign(k):
+        return F.when(mix(F.col("j") * vectors + k, seed=k + 1) % 2 == 0, 1).otherwise(-1)
+
+    inner = times(b, F.col("i").alias("j"), sign)
+    through = salted_join(a, inner, "j", ["i"]).groupBy("i").agg(
+        *[F.sum(F.col("v") * F.col(f"x{k}")).alias(f"x{k}") for k in range(vectors)])
+    direct = times(c, "i", sign)
+    both = through.select("i", *[F.col(f"x{k}") for k in range(vectors)]).unionByName(
+        direct.select("i", *[(-F.col(f"x{k}")).alias(f"x{k}") for k in range(vectors)])).groupBy("i").agg(
+        *[F.sum(f"x{k}").alias(f"x{k}") for k in range(vectors)])
+    wrong = both.agg(*[F.count_if(F.abs(f"x{k}") > tolerance).alias(f"x{k}") for k in range(vectors)])
+    return wrong.select(F.posexplode(F.array(*[f"x{k}" for k in range(vectors)])).alias("vector", "wrong_rows"))
+
+
 def corner(cells: DataFrame, limit=5) -> DataFrame:
     """Top-left corner as display text with two decimals."""
     return (cells.where((F.col("i") < limit) & (F.col("j") < limit))

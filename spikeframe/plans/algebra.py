@@ -110,9 +110,23 @@ def mat_corner(spark, folder):
     return matrix.corner(cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v")))
 
 
+def mat_product_check(spark, folder):
+    """Random sign vectors accept the supplier product and find one changed cell of it."""
+    left = _shipments(spark, folder, "l_quantity > 25")
+    right = matrix.transpose(_shipments(spark, folder, "l_quantity <= 25"))
+    product = matrix.multiply_join(left, right)
+    first = product.agg(F.min(F.struct("i", "j")).alias("cell")).scalar()
+    changed = product.withColumn("v", F.when(F.struct("i", "j") == first, F.col("v") + 1).otherwise(F.col("v")))
+    true, false = (matrix.product_holds(left, right, c, vectors=16) for c in (product, changed))
+    return true.agg(F.sum("wrong_rows").alias("wrong_rows"), F.count(F.lit(1)).alias("vectors")).select(
+        F.lit("product").alias("checked"), "vectors", (F.col("wrong_rows") == 0).alias("accepted")).union(false.agg(
+            F.count(F.lit(1)).alias("vectors"), F.sum("wrong_rows").alias("wrong_rows")).select(
+            F.lit("changed"), "vectors", F.col("wrong_rows") == 0))
+
+
 QUERIES = {f.__name__: f for f in (
     mat_multiply_outer, mat_multiply_rows, mat_multiply_block, mat_multiply_sparse, mat_hadamard,
-    mat_add, mat_add_float, mat_elementwise_rows, mat_approx_equal, mat_densify, mat_corner)}
+    mat_add, mat_add_float, mat_elementwise_rows, mat_approx_equal, mat_product_check, mat_densify, mat_corner)}
 
 _CELLS = """WITH x AS (
   SELECT vec_id AS i, label, unnest(range(64)) AS d, unnest(embedding) AS e FROM embeddings),
@@ -152,4 +166,8 @@ LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = s.status GROUP BY
     "mat_corner": """
 SELECT i, j, printf('%.2f', CAST(e AS DOUBLE)) AS shown
 FROM (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding) AS e FROM embeddings) WHERE i < 5 AND j < 5""",
+    # what the check must say of any tables with at least one product cell
+    "mat_product_check": """
+SELECT * FROM (VALUES ('product', 16::BIGINT, true), ('changed', 16::BIGINT, false)) t(checked, vectors, accepted)
+WHERE (SELECT count(*) FROM lineitem) > 0""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import MIX_FIRST, MIX_PRIME, MIX_SECOND
 from ..operators import bench, confidence, quantiles
 from ..session import ensure_checkpoint_dir
+from ..sources import names
 from ..sources.result_source import scan_results
 from ..sources.results import result_document
 from ..sources.tables import event_results, table
@@ -78,8 +79,15 @@ def bench_speedup_bounds(spark, folder):
     return confidence.speedup_bounds(bench.runs_from(event_results(spark, folder)))
 
 
+def bench_names_by_function(spark, folder):
+    """Names parsed by the table function, called from SQL."""
+    names.register(spark)
+    return spark.sql("SELECT seq, impl, dist, size, max_value FROM parse_names(TABLE({readings}), 'name')",
+                     readings=event_results(spark, folder).select("seq", "name"))
+
+
 QUERIES = {f.__name__: f for f in (
-    bench_scanned_documents, bench_scanned_filter, bench_streamed_configurations, bench_quantile_sketch, bench_speedup_bounds)}
+    bench_names_by_function, bench_scanned_documents, bench_scanned_filter, bench_streamed_configurations, bench_quantile_sketch, bench_speedup_bounds)}
 
 _NAME = "CASE WHEN broken THEN 'broken_' || seq ELSE concat_ws('/', impl, dist, size, max_value, 'iterations:5') END"
 _UNIT = 10 ** 6
@@ -90,6 +98,9 @@ d3 AS (SELECT *, (a * a + {MIX_FIRST}) % {MIX_PRIME} AS u FROM d2)"""
 _WEIGHT = " + ".join(f"(u >= {limit})::BIGINT" for limit in confidence.LIMITS)
 
 ORACLES = {
+    "bench_names_by_function": f"""{_RESULTS}
+SELECT seq, CASE WHEN NOT broken THEN impl END AS impl, CASE WHEN NOT broken THEN dist END AS dist,
+  CASE WHEN NOT broken THEN size END AS size, CASE WHEN NOT broken THEN max_value END AS max_value FROM res""",
     "bench_scanned_documents": f"""{_RESULTS}
 SELECT {_NAME} AS name, real_time, cpu_time, CAST(seq % 7 AS VARCHAR) AS host, 0 AS place FROM res""",
     "bench_scanned_filter": f"""{_RESULTS}

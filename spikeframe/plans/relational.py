@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.chains import list_positions
+from ..operators.intervals import interval_join
 from ..sources.tables import chain, table
 
 # Rules (threshold, consumed, produced) in order of priority.
@@ -52,7 +54,27 @@ def net_shipment_edges(spark, folder):
         "source_id", "dest_id", "parallel", "weight", F.round(F.col("weight") / F.col("total"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (net_first_rule, net_propagated, net_chain_edges, net_shipment_edges)}
+def net_chain_positions(spark, folder):
+    """Places in the orders' chain, found from its edges alone; the suppliers' ring has none."""
+    ring = table(spark, folder, "supplier").select((-1 - F.col("s_suppkey")).alias("dest_id"), (
+        -1 - (F.col("s_suppkey") + 1) % table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()).alias("source_id"))
+    edges = net_chain_edges(spark, folder).select("source_id", "dest_id")
+    return list_positions(edges.unionByName(ring))
+
+
+def net_events_in_windows(spark, folder):
+    """Events of a month that fall into each order's window (in seconds); windows last from seconds to hours."""
+    points = table(spark, folder, "events").select(F.col("event_id"), (
+        F.unix_seconds(F.col("ts").cast("timestamp")) % 2592000).alias("second"), "value")
+    start = (F.col("o_orderkey") * 7919) % 2592000
+    windows = table(spark, folder, "orders").select(
+        "o_orderkey", start.alias("opens"), (start + F.floor(F.col("o_totalprice") / 40)).alias("closes"))
+    return interval_join(points, "second", windows, "opens", "closes").groupBy("o_orderkey").agg(
+        F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("second").alias("last_second"))
+
+
+QUERIES = {f.__name__: f for f in (
+    net_first_rule, net_propagated, net_chain_edges, net_shipment_edges, net_chain_positions, net_events_in_windows)}
 
 _FIRED = """WITH s AS (SELECT s_suppkey, CAST(floor(s_acctbal) AS BIGINT) AS spikes FROM supplier),
 r AS (SELECT * FROM (VALUES {}) t(rule_idx, threshold, consumed, produced)),
@@ -76,4 +98,12 @@ WHERE source_id IS NOT NULL""",
     "net_shipment_edges": f"""WITH {_EDGES}
 SELECT l_suppkey AS source_id, l_partkey AS dest_id, parallel, weight,
        round(weight / sum(weight) OVER (PARTITION BY l_suppkey), 6) AS share FROM e""",
+    "net_chain_positions": """
+SELECT CAST(o_orderkey * 7 AS BIGINT) AS nid, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, false AS in_cycle FROM orders
+UNION ALL SELECT -1 - s_suppkey, NULL, true FROM supplier""",
+    "net_events_in_windows": """
+WITH p AS (SELECT event_id, epoch_us(ts) // 1000000 % 2592000 AS second FROM events),
+w AS (SELECT o_orderkey, o_orderkey * 7919 % 2592000 AS opens, opens + CAST(floor(o_totalprice / 40) AS BIGINT) AS closes FROM orders)
+SELECT o_orderkey, count(*) AS events, min(event_id) AS first_event, max(second) AS last_second
+FROM p JOIN w ON second BETWEEN opens AND closes GROUP BY o_orderkey""",
 }

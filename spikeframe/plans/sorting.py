@@ -101,15 +101,45 @@ def _ranked_sql(key, value, source, partition=""):
 
 
 _SEED = GEN_SEED
+
+
+def _staged_sql(source, stages):
+    """`source` with columns added one after the other, each from those before it."""
+    for name, expression in stages:
+        source = f"(SELECT *, {expression} AS {name} FROM {source})"
+    return source
+
+
+def _permuted_sql(source):
+    """One step of the keyed permutation from (pos, x, n) of `source`."""
+    stages = [("high", "ceil(sqrt(n::DOUBLE))::BIGINT"), ("wide", "(n + high - 1) // high"), ("r0", "x // wide"), ("c0", "x % wide")]
+    for k in range(gen.FEISTEL_ROUNDS):
+        for to, by, size, seed in ((f"r{k}", f"c{k}", "high", _SEED + 2 * k), (f"c{k}", f"r{k + 1}", "wide", _SEED + 2 * k + 1)):
+            stages += [(f"{to}a", f"(({by} % {MIX_PRIME}) * {MIX_FIRST} + {seed * MIX_SECOND + 1}) % {MIX_PRIME}"),
+                       (f"{to}b", f"({to}a * {to}a + {MIX_SECOND}) % {MIX_PRIME}"),
+                       (f"{to}m", f"({to}b * {to}b + {MIX_FIRST}) % {MIX_PRIME}"),
+                       (f"{to[0]}{k + 1}", f"({to} + {to}m) % {size}")]
+    last = gen.FEISTEL_ROUNDS
+    return f"SELECT pos, r{last} * wide + c{last} AS x, n FROM {_staged_sql(source, stages)}"
+
+
 _ORACLE_GEN = f"""
-WITH base AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos,
+WITH RECURSIVE base AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS pos,
                      CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders),
 n AS (SELECT CAST(count(*) AS BIGINT) AS n FROM orders),
+walk AS ({_permuted_sql("(SELECT pos, pos AS x, n FROM base, n)")}
+  UNION ALL {_permuted_sql("(SELECT pos, x, n FROM walk WHERE x >= n)")}),
 ordered AS (SELECT row_number() OVER (ORDER BY value) - 1 AS pos, value FROM base),
-paired AS (SELECT pos, value, (({_SEED * 7919} + n // 3 - pos) % n + n) % n AS other FROM ordered, n),
-nearly AS (SELECT CASE WHEN {_mix_sql("least(pos, other)", _SEED + 2)} % 5 = 0 THEN other ELSE pos END AS pos,
-                  value FROM paired)
-SELECT 'Random' AS dist, pos, value FROM base
+swaps AS (SELECT pos // 10 AS step, {_mix_sql("pos // 10", _SEED + 2)} % n AS x, {_mix_sql("pos // 10", _SEED + 3)} % n AS y
+          FROM base, n WHERE pos % 10 = 9),
+visits AS (SELECT step, x AS entered, y AS leaves FROM swaps WHERE x <> y UNION ALL SELECT step, y, x FROM swaps WHERE x <> y),
+later AS (SELECT entered AS p, step, lead(step) OVER (PARTITION BY entered ORDER BY step) AS next FROM visits),
+moves AS (SELECT v.step, entered, leaves, next FROM visits v JOIN later l ON l.p = v.leaves AND l.step = v.step),
+trace AS (SELECT entered AS start, leaves, next FROM moves
+            QUALIFY row_number() OVER (PARTITION BY entered ORDER BY step) = 1
+          UNION ALL SELECT t.start, m.leaves, m.next FROM trace t JOIN moves m ON m.entered = t.leaves AND m.step = t.next),
+nearly AS (SELECT coalesce(leaves, pos) AS pos, value FROM ordered LEFT JOIN (SELECT * FROM trace WHERE next IS NULL) ON start = pos)
+SELECT 'Random' AS dist, x AS pos, value FROM walk JOIN base USING (pos) WHERE x < n
 UNION ALL SELECT 'Sorted', pos, value FROM ordered
 UNION ALL SELECT 'Reverse', n - 1 - pos, value FROM ordered, n
 UNION ALL SELECT 'NearlySorted', pos, value FROM nearly

@@ -1,16 +1,20 @@
 """Synthetic workloads: integer sequences in six distributions, and the demo matrix."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div, mix, uniform_int
+from ..operators.chains import follow
 from ..operators.sort import counting_sort
+from ..session import cut_lineage
 
 # Distribution labels used in benchmark names.
 RANDOM, SORTED, REVERSE_SORTED = "Random", "Sorted", "Reverse"
 NEARLY_SORTED, FEW_UNIQUE, UNIFORM = "NearlySorted", "FewUnique", "Uniform"
 DISTRIBUTIONS = (RANDOM, SORTED, REVERSE_SORTED, NEARLY_SORTED, FEW_UNIQUE, UNIFORM)
 
+FEISTEL_ROUNDS = 4
+
 
 def _draws(spark, size, max_value, dist, seed):
     rows = spark.range(size).withColumnRenamed("id", "pos")
@@ -51,26 +55,84 @@ def generate(spark: SparkSession, size: int, max_value: int, dist=RANDOM, seed=4
     return ordered
 
 
+def permuted(pos, size, seed) -> Column:
+    """A keyed permutation of 0..size-1: a Feistel network over rows and columns of a near square.
+
+    The rectangle has fewer than sqrt(size)+1 places too many. A position that falls on one of them
+    walks on along its cycle, which after at most that many steps is back inside.
+    """
+    size = F.lit(size).cast("bigint") if isinstance(size, int) else size
+    high = F.greatest(F.ceil(F.sqrt(size.cast("double"))).cast("bigint"), F.lit(1).cast("bigint"))
+    wide = F.greatest(int_div(size + high - 1, high), F.lit(1).cast("bigint"))
+
+    def step(x):
+        def turn(p, k):
+            """Rows move by a hash of the column, then columns by a hash of the row."""
+            row, column = (p["r"] + mix(p["c"], k + seed)) % high, (p["c"] + mix(p["r"], k + seed)) % wide
+            return F.when(k % 2 == 0, F.struct(row.alias("r"), p["c"].alias("c"))).otherwise(
+                F.struct(p["r"].alias("r"), column.alias("c")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * FEISTEL_ROUNDS - 1)), F.struct(
+            int_div(x, wide).alias("r"), (x % wide).alias("c")), turn, lambda p: p["r"] * wide + p["c"])
+
+    def inside(x):
+        return F.when(x < size, x)
+
+    def walk(x):
+        return F.aggregate(F.sequence(F.lit(1).cast("bigint"), high), x, lambda y, _: F.when(y < size, y).otherwise(step(y)))
+
+    first = F.transform(F.array(step(F.col(pos) if isinstance(pos, str) else pos)), lambda x: F.coalesce(inside(x), walk(x)))
+    return F.element_at(first, 1)
+
+
+def swapped_positions(swaps: DataFrame) -> DataFrame:
+    """pos, to: where sequential swaps (step, x, y) leave what stood at pos; untouched positions are absent.
+
+    What leaves a step at a position enters the next step that touches it and leaves that at the
+    other position: a chain of steps, followed to its end by pointer jumping.
+    """
+    swaps = swaps.where("x <> y")
+    touched = swaps.select("step", F.col("x").alias("pos"), F.col("y").alias("other")).union(
+        swaps.select("step", F.col("y").alias("pos"), F.col("x").alias("other")))
+    order = Window.partitionBy("pos").orderBy("step")
+    # visit: entering `step` at `pos`; leaving it at `other`
+    visits = touched.withColumn("first", F.row_number().over(order) == 1)
+    following = touched.select("pos", "step", F.lead("step").over(order).alias("later"))
+    node = F.col("step") * 2
+    leaving = touched.select("step", F.col("pos").alias("entered"), F.col("other").alias("pos")).join(
+        following, ["pos", "step"]).select(
+        (node + (F.col("entered") > F.col("pos")).cast("int")).alias("node"), "pos", "later")
+    sides = touched.select(F.col("step").alias("later"), "pos", (node + (F.col("pos") > F.col("other")).cast("int")).alias("next"))
+    links = cut_lineage(leaving.join(sides, ["pos", "later"], "left").select("node", "pos", "next"))
+    ends = follow(links.select("node", "next")).join(links.select(F.col("node").alias("last"), F.col("pos").alias("to")), "last")
+    start = visits.where("first").select("pos", (node + (F.col("pos") > F.col("other")).cast("int")).alias("node"))
+    return start.join(ends.select("node", "to"), "node").select("pos", "to")
+
+
 def arrange(values: DataFrame, dist=RANDOM, pool=100, seed=42) -> DataFrame:
-    """(pos, value): a table's own values, at positions 0..n-1, in one of the arrangements."""
+    """(pos, value): a table's own values, at positions 0..n-1, in one of the arrangements.
+
+    Random order is a keyed permutation of the positions; nearly sorted is the sorted order after
+    n/10 swaps of random positions, one after the other.
+    """
     if dist not in DISTRIBUTIONS:
         raise ValueError(f"unknown distribution {dist!r}")
+    size = values.agg(F.count(F.lit(1))).scalar()
     if dist == RANDOM:
-        return values.select("pos", "value")
+        return values.withColumn("_n", size).select(permuted("pos", F.col("_n"), seed).alias("pos"), "value")
     if dist == FEW_UNIQUE:
         return values.select("pos", (F.col("value") % pool).alias("value"))
     if dist == UNIFORM:
         return values.select("pos", values.agg(F.min_by("value", "pos")).scalar().alias("value"))
     ordered = counting_sort(values, "value")
-    size = values.agg(F.count(F.lit(1))).scalar()
     if dist == REVERSE_SORTED:
         return ordered.select((size - 1 - F.col("pos")).alias("pos"), "value")
     if dist == NEARLY_SORTED:
-        sized = ordered.withColumn("_n", size)
-        centre = F.lit(seed).cast("bigint") * 7919 + int_div(F.col("_n"), 3)
-        partner = F.pmod(centre - F.col("pos"), F.col("_n"))
-        swapped = mix(F.least(F.col("pos"), partner), seed + 2) % 5 == 0
-        return sized.select(F.when(swapped, partner).otherwise(F.col("pos")).alias("pos"), "value")
+        # every tenth position numbers a swap
+        swaps = values.where("pos % 10 = 9").select(int_div("pos", 10).alias("step")).withColumn("_n", size).select(
+            "step", (mix("step", seed + 2) % F.col("_n")).alias("x"), (mix("step", seed + 3) % F.col("_n")).alias("y"))
+        moved = swapped_positions(swaps)
+        return ordered.join(moved, "pos", "left").select(F.coalesce("to", "pos").alias("pos"), "value")
     return ordered
 
 

@@ -6,19 +6,21 @@ gets the language of the centroid with the largest cosine. A text further from e
 nearly all training texts are from theirs is marked as rejected.
 
 Document frequencies cover all training documents. Centroids are fitted on at most `sample`
-documents of each language, those whose id hashes are smallest. What the driver holds is bounded by
+documents of each language, those with the smallest hashes of id and text. What the driver holds is bounded by
 `buckets`, `sample` and the number of languages.
 
 Defined results: null texts and texts without a letter get `und` with score 0, and so does every
 text when nothing could be learned. A null id counts as not held out. Repeated rows are predicted
-row by row; without an id they may all be in the sample.
+row by row and are one document of the sample.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -100,33 +102,46 @@ class Model:
         return self.languages[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < self.least)
 
 
+def _samples(rows: DataFrame, model: Model, sample: int):
+    """Each language with the vectors of its `sample` documents of smallest hashes, one language at a time.
+
+    Repeated rows count once. The first pass gathers hashes only (two numbers a document, distinct
+    ones summed in the tasks), the second makes vectors of the chosen texts in the tasks: the driver
+    gets no text, and vectors of one language at a time.
+    """
+    draw = F.xxhash64("doc_id", "text")
+    order = Window.partitionBy("lang").orderBy("draw")
+    ranked = rows.select("lang", draw.alias("draw")).distinct().withColumn("n", F.row_number().over(order))
+    last = {r["lang"]: r["draw"] for r in ranked.where(F.col("n") <= sample).groupBy("lang").agg(
+        F.max("draw").alias("draw")).collect()}
+    if not last:
+        return
+    limit = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])[F.col("lang")]
+
+    def kernel(batches):
+        for batch in batches:
+            vectors = [model.vector(t).tobytes() if has_letter(t) else None for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(vectors, pa.binary())], names=["lang", "draw", "v"])
+
+    chosen = rows.where(draw <= limit).select("lang", draw.alias("draw"), "text").mapInArrow(
+        kernel, "lang string, draw long, v binary").where("v IS NOT NULL").dropDuplicates(["lang", "draw"])
+    for language, found in itertools.groupby(chosen.orderBy("lang", "draw").toLocalIterator(), key=lambda r: r["lang"]):
+        yield language, np.array([np.frombuffer(r["v"], np.float32) for r in found])
+
+
 def fit(docs: DataFrame, buckets: int = 4096, sample: int = 400, centroids: int = 3, far_share: float = 0.001) -> Model:
     """Learn from rows of doc_id, text, lang with a language and a text; `buckets` is a power of two."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", "text", F.col("lang").cast("string").alias("lang"))
     df, n = document_frequencies(rows, buckets)
     idf = np.log((1 + n) / (1 + df)) + 1
-    draw = (F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62))
-    picked = None
-    for row in sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
-        best = (rows.where((F.col("lang") == row["lang"]) & (draw <= min(1.0, 2.0 * sample / row["count"])))
-                .select("lang", "doc_id", draw.alias("draw")).orderBy("draw", "doc_id").limit(sample))
-        picked = best if picked is None else picked.union(best)
-    texts: dict[str, list[str]] = {}
-    if picked is not None:
-        # at most `sample` ids of each language: one pass over the texts finds them
-        ids = F.broadcast(picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).distinct())
-        found = rows.join(ids, (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        for row in found.select("lang", "text").toLocalIterator():
-            texts.setdefault(row["lang"], []).append(row["text"])
     model = Model(buckets, idf, [], np.zeros((0, buckets)), 0.0)
     languages, centres, own = [], [], []
-    for language in sorted(texts):
-        vectors = np.array([model.vector(t) for t in sorted(texts[language]) if has_letter(t)][:sample])
-        if len(vectors):
-            found = clusters(vectors, centroids)
-            languages += [language] * len(found)
-            centres.append(found)
-            own.append((vectors @ found.T).max(axis=1))
+    for language, vectors in _samples(rows, model, sample):
+        found = clusters(vectors, centroids)
+        languages += [language] * len(found)
+        centres.append(found)
+        own.append((vectors @ found.T).max(axis=1))
     if not languages:
         return model
     return Model(buckets, idf, languages, np.concatenate(centres), float(np.quantile(np.concatenate(own), far_share)))

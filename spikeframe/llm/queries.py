@@ -11,6 +11,10 @@ from . import (
 from .common import table
 
 
+#: The registered queries' key, so that their rows can be repeated; it is public, own data need another.
+PUBLIC_KEY = "spikeframe"
+
+
 def op1_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_formats.digests(secret_formats.scan(table(spark, sf_dir, "documents")))
 
@@ -40,7 +44,7 @@ def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.report(table(spark, sf_dir, "documents"))
+    return surrogates.report(table(spark, sf_dir, "documents"), PUBLIC_KEY)
 
 
 def op9_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

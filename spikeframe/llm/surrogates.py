@@ -7,14 +7,15 @@ other symbols determine. Such a step can be undone, so different entities of a k
 different surrogates and equal ones equal surrogates, in every document and run with that key,
 without a table of all entities; `checked` groups the distinct entities of each run all the same. No shift is zero, so no
 symbol of an entity stays but what its format keeps. Formats are kept: separators, lengths, case, vowels, a phone's country
-code, a card's first digit, an address's last domain label, octets below 256; a person keeps the
+code, a card's first digit and whether its check digit is valid, an address's last domain label, octets below 256; a person keeps the
 title and the last letter of each name, which carry the gender.
 
 Equal entities in different dress are one: addresses and names are encrypted in lower case, phone,
 card and social security numbers by their digits alone (a phone's country code is found in the digits),
 account numbers without their spaces.
 
-Persons are found after a title or after a phrase that announces a name, with all their names and
+Numbers inside decimal fractions are none of these, nor are bare digits that no card begins with
+(time stamps). Persons are found after a title or after a phrase that announces a name, with all their names and
 initials; a name with neither is not told from other capitalised words.
 
 Defined results: a null text stays null; empty texts and texts without entities stay as they are;
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +68,8 @@ def _other_symbols():
             [(a, b) for a, b, *_ in runs if a < b])
 
 
+#: Session setting with the key.
+KEY = "spark.spikeframe.surrogates.key"
 OTHERS, STARTS, RANGES = _other_symbols()
 LETTERS = "".join(ALPHABETS)
 LETTER_STARTS = [1 + sum(map(len, ALPHABETS[:k])) for k in range(len(ALPHABETS) + 1)]
@@ -86,18 +88,26 @@ _TITLED = rf"(?:(?:{TITLES})\.? )+"
 _NAME = r"(?:[\p{Lu}\p{Lo}][\p{L}\p{M}'’\-]+|\p{Lu}\.(?:[ \-]?\p{Lu}\.)*|\p{Lu}(?= \p{Lu})|\p{Lo})"
 _NAMES = rf"{_NAME}(?: (?:(?:von|van|vom|zu|zur|de|der|den|del|della|di|da|dos|du|la|le|bin|ibn|al|el|y) ){{0,3}}{_NAME})*"
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Where a number of digits may begin: not inside a decimal fraction.
+_DIGITS = _FREE + r"(?<!\d[.,])"
+# Capitalised words after a title or phrase that begin no name.
+NO_NAMES = ("The|A|An|All|Any|Our|Your|My|This|That|These|Those|Sir|Madam|Customers?|Clients?|Readers?|Friends?|Colleagues?|Team|"
+            "Members?|Users?|Editors?|Everyone|Service|Support|Total|Amount|Value|Number|League|River|Order|Date|Name|Address|"
+            "Unknown|None|Anonymous|General|Public|Company|Department|Office|University|City|Street|Road|Lake|Mount|"
+            "North|South|East|West|Damen|Herren|Kunden|Monsieur|Madame|Client|Cliente|Clientes|Der|Die|Das|Le|La|Les|El|Los|Las")
+_REAL = rf"(?!(?:{NO_NAMES})(?![\p{{L}}\p{{M}}\p{{N}}]))"
 #: Kinds in order of precedence: of alternatives at one place the first matches.
 PATTERNS = {
     "email": rf"(?<![{_ATOM}])[{_ATOM}]++@[\p{{L}}\p{{M}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{M}}\p{{N}}\-]++)+",
     "ip": _FREE + r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.\d)" + _END,
     "iban": _FREE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "card": _FREE + r"(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})" + _END,
-    "ssn": _FREE + r"\d{3}-\d{2}-\d{4}" + _END,
+    "card": _DIGITS + r"(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|[2-6]\d{12,18})" + _END,
+    "ssn": _DIGITS + r"\d{3}-\d{2}-\d{4}" + _END,
     "phone": r"(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,4}" + _END
              + r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}" + _END + r"|\(0\d{1,4}\) ?\d{2,4}(?:[ .\-]?\d{2,4}){1,3}" + _END
-             + "|" + _FREE + r"(?:\d{3} \d{3}[ .\-]\d{4}|0\d{2,4}[ /\-]\d{5,8}|0\d{2,4}(?:[ ./\-]\d{2,4}){2,4}"
-             + r"|0\d(?:[ .]\d{2}){4})" + _END + "|" + _FREE + r"(?:\d{3}[.\-])?\d{3}[.\-]\d{4}" + _END + ")",
-    "person": rf"{_FIRST}{_FREE}{_TITLED}{_NAMES}|{_GAP}(?<={_FREE}(?:{CUES}) ){_NAMES}",
+             + "|" + _DIGITS + r"(?:\d{3} \d{3}[ .\-]\d{4}|0\d{2,4}[ /\-]\d{5,8}|0\d{2,4}(?:[ ./\-]\d{2,4}){2,4}"
+             + r"|0\d(?:[ .]\d{2}){4})" + _END + "|" + _DIGITS + r"(?:\d{3}[.\-]\d{3}[.\-]|\d{3}-)\d{4}" + _END + ")",
+    "person": rf"{_FIRST}{_FREE}(?<!\b[Tt]he ){_TITLED}{_REAL}{_NAMES}|{_GAP}(?<={_FREE}(?:{CUES}) ){_REAL}{_NAMES}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _CANDIDATE = rf"[@0-9]|{_FIRST}(?:{TITLES})\.? |{_GAP}(?<=(?:{CUES}) )"
@@ -182,6 +192,31 @@ def _number(value: Column, key: str, kind: str, skip: Column, symbols: str = "[0
     return _replaced(value, encrypted(found, key, kind, plain=True), skip, symbols)
 
 
+def _check_sum(digits: Column) -> Column:
+    """The last digit's place in the sum that makes a card number valid: it is valid if this is 0."""
+    def add(acc: Column, d: Column) -> Column:
+        d = d.cast("int")
+        twice = d * 2 - F.when(d > 4, 9).otherwise(0)
+        return F.struct((acc["sum"] + F.when(acc["twice"], twice).otherwise(d)).alias("sum"), (~acc["twice"]).alias("twice"))
+
+    start = F.struct(F.lit(0).alias("sum"), F.lit(False).alias("twice"))
+    return F.aggregate(F.split(F.reverse(digits), ""), start, add, lambda acc: acc["sum"] % 10)
+
+
+def _card(value: Column, key: str) -> Column:
+    """First digit kept; the last one differs from a valid check digit by as much as before, so valid stays
+    valid and different cards stay different."""
+    def checked_last(x: Column) -> Column:
+        off = F.pmod(_check_sum(x["old"]) - _check_sum(F.concat(x["new"], F.lit("0"))), F.lit(10))
+        return F.concat(x["new"], off.cast("string"))
+
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    middle = F.substring(digits, F.lit(2), F.length(digits) - 2)
+    new = F.concat(F.substring(digits, 1, 1), encrypted(middle, key, "card", plain=True))
+    last = let(F.struct(digits.alias("old"), new.alias("new")), checked_last)
+    return _replaced(value, last, F.lit(0), "[0-9]")
+
+
 def _address(value: Column, key: str) -> Column:
     """Local part and domain labels, the last one kept; upper case stays upper case."""
     low = F.lower(value)
@@ -223,7 +258,7 @@ def surrogate(value: Column, kind: Column, key: str) -> Column:
     return (F.when(kind == "email", _address(value, key))
             .when(kind == "ip", _octets(value, key))
             .when(kind == "iban", _number(value, key, "iban", F.lit(2), "[0-9A-Z]"))
-            .when(kind == "card", _number(value, key, "card", F.lit(1)))
+            .when(kind == "card", _card(value, key))
             .when(kind == "ssn", _number(value, key, "ssn", F.lit(0)))
             .when(kind == "person", _person(value, key))
             .otherwise(_number(value, key, "phone", country)))
@@ -237,8 +272,17 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(_CANDIDATE), found).otherwise(none)
 
 
-def rewritten(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
+def _given(docs: DataFrame, key: str | None) -> str:
+    """The key, or the session's: who has it can undo every surrogate, so there is no default."""
+    key = key or docs.sparkSession.conf.get(KEY, None)
+    if not key:
+        raise ValueError(f"pass a key, or set {KEY}")
+    return key
+
+
+def rewritten(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with `text` rewritten and `entities` (kind, value, surrogate) found in it."""
+    key = _given(docs, key)
     text = F.col("text")
     named = F.transform(entities(text), lambda e: e.withField("surrogate", surrogate(e["value"], e["kind"], key)))
     found = docs.withColumn("entities", F.coalesce(named, F.array().cast(
@@ -249,16 +293,19 @@ def rewritten(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
     return found.withColumn("text", F.when(F.size("entities") > 0, joined).otherwise(text))
 
 
-def checked(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
-    """`rewritten`, written once; warns if different entities of it share a surrogate."""
-    rows = Scratch(docs.sparkSession, "surrogates").write(rewritten(docs, key), "rows")
-    shared = _collisions(rows).count()
-    if shared:
-        warnings.warn(f"{shared} surrogates or entities aren't one to one; see surrogates.collisions", stacklevel=2)
-    return rows
+def checked(docs: DataFrame, key: str | None = None, attempts: int = 4) -> DataFrame:
+    """`rewritten`, written once; with another key made of the given one while different entities share a surrogate."""
+    key = _given(docs, key)
+    for k in range(attempts):
+        scratch = Scratch(docs.sparkSession, "surrogates")
+        rows = scratch.write(rewritten(docs, f"{key}#{k}" if k else key), "rows")
+        if _collisions(rows).isEmpty():
+            return rows
+        scratch.delete()
+    raise RuntimeError("surrogates or entities aren't one to one; see surrogates.collisions")
 
 
-def report(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, rewritten text and how many entities of each kind it had."""
     rows = checked(docs.select("doc_id", "text"), key)
 
@@ -268,7 +315,7 @@ def report(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
     return rows.select("doc_id", "text", *[count(kind) for kind in PATTERNS])
 
 
-def without_personal_data(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
+def without_personal_data(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The documents with rewritten texts; `n_chars` follows the text."""
     own = "entities" in docs.columns
     rows = checked(docs.withColumnRenamed("entities", "__own_entities") if own else docs, key).drop("entities")
@@ -294,6 +341,6 @@ def _collisions(rows: DataFrame) -> DataFrame:
     return two[0].union(two[1])
 
 
-def collisions(docs: DataFrame, key: str = "spikeframe") -> DataFrame:
+def collisions(docs: DataFrame, key: str | None = None) -> DataFrame:
     """kind and surrogate of different entities with equal surrogates, or of one with several; none is expected."""
     return _collisions(rewritten(docs.select("text"), key))

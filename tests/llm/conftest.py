@@ -12,6 +12,7 @@ def few_partitions(spark):
 
     ship_package(spark)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.spikeframe.surrogates.key", "the key of the tests")
 
 
 @pytest.fixture(scope="session")

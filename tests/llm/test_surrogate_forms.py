@@ -46,3 +46,41 @@ def test_equal_numbers_in_other_dress(spark):
     for a, b in pairs:
         one, two = rewrite(spark, a, b)
         assert re.sub("[ ]", "", one.text) == two.text != b and one.text[:2] == a[:2]
+
+
+def luhn(number):
+    digits = [int(c) for c in re.sub(r"\D", "", number)][::-1]
+    return sum(d if k % 2 == 0 else (2 * d - 9 * (d > 4)) for k, d in enumerate(digits)) % 10 == 0
+
+
+def test_what_is_no_personal_data(spark):
+    texts = ["pi 3.1415926535897932 and e 2,7182818284590452", "123.4567 or 100.0000", "stamp 1700000000000", "Major League Baseball",
+             "the Don River", "Sig Value", "Dear Customer Service", "Author: The Guardian", "Name: Total Amount"]
+    for r in rewrite(spark, *texts):
+        assert not r.entities and r.text == texts[r.doc_id], r.entities
+
+
+def test_cards_keep_their_check_digit(spark):
+    cards = ["4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "4111 1111 1111 1112", "6011000990139424"]
+    got = rewrite(spark, *cards)
+    for card, r in zip(cards, got):
+        assert [e.kind for e in r.entities] == ["card"] and r.text != card and r.text[0] == card[0]
+        assert re.sub(r"\d", "", r.text) == re.sub(r"\d", "", card) and luhn(r.text) == luhn(card)
+    assert len({r.text for r in got}) == len(cards)
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('4000 0000 0', lpad(id div 10, 3, '0'), ' 000', id % 10) AS text")
+    assert surrogates.collisions(many).count() == 0
+
+
+def test_the_key_is_given(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a.b@c.com")], "doc_id long, text string")
+    key = spark.conf.get(surrogates.KEY)
+    spark.conf.unset(surrogates.KEY)
+    try:
+        with pytest.raises(ValueError, match="key"):
+            surrogates.rewritten(df)
+        one, two = (surrogates.rewritten(df, key).first().text for key in ("a", "b"))
+        assert one != two and surrogates.rewritten(df, "a").first().text == one
+    finally:
+        spark.conf.set(surrogates.KEY, key)

@@ -13,8 +13,8 @@ one word at a time, and the states that accept are counted with `bincount`. The
 the next level's candidates. Counts are summed over chunks and tries.
 
 A trie holds at most `trie_phrases` phrases, so what is broadcast is bounded whatever the corpus:
-phrases are dealt to tries by their first two words, and each trie is a scan of its own whose
-results are simply united. No step gathers a word, a language or a document's neighbours in one
+phrases are dealt to tries by their first two words, and each trie is a scan of its own, one after
+another, whose sums are written and united. No step gathers a word, a language or a document's neighbours in one
 task: chunks have a bounded length (or are one document), and sums are made before they are shuffled.
 
 Defined results: a null text is empty; a null language is `und`; repeated rows (and rows without an
@@ -232,9 +232,8 @@ def _pairs(chunks: DataFrame) -> DataFrame:
     return chunks.select("numbers", "places").mapInArrow(kernel, _SCHEMA)
 
 
-def _scan(chunks: DataFrame, numbers_of: np.ndarray, phrases: np.ndarray) -> DataFrame:
-    """Occurrences of the phrases of one trie, by their numbers, and their extensions by a frequent word."""
-    shared = chunks.sparkSession.sparkContext.broadcast((DoubleArray(phrases), numbers_of))
+def _scan(chunks: DataFrame, shared) -> DataFrame:
+    """Occurrences of the phrases of one broadcast trie, by their numbers, and their extensions by a frequent word."""
 
     def kernel(batches):
         trie, names = shared.value
@@ -278,17 +277,19 @@ def phrase_counts(docs: DataFrame, least: int = 30, chunk_bytes: int = CHUNK_BYT
         tries = -(-candidates.count() // trie_phrases)
         dealt = candidates.withColumn("trie", F.pmod(F.xxhash64("g1", "g2"), F.lit(max(tries, 1))))
         level = []
-        for k in range(tries):
+        for k in range(tries):  # one trie at a time: its sums are whole, as no other trie has its phrases
             phrases = dealt.where(F.col("trie") == k).select("p", *here).toArrow()
             if phrases.num_rows:
                 names, *words = (c.to_numpy() for c in phrases.columns)
-                level.append(_scan(numbered, names, np.stack(words, axis=1)))
+                shared = docs.sparkSession.sparkContext.broadcast((DoubleArray(np.stack(words, axis=1)), names))
+                level.append(scratch.write(_summed(_scan(numbered, shared), least), f"level{depth}-{k}"))
+                shared.unpersist()
         if not level:
             break
         rows = level[0]
         for more in level[1:]:
             rows = rows.union(more)
-        rows = scratch.write(_summed(rows, least), f"level{depth}").join(candidates, "p")
+        rows = rows.join(candidates, "p")
         exact = rows.where("g IS NULL")
         found.append(exact.select(F.array(*here).alias("g"), "n"))
         if depth < LONGEST:

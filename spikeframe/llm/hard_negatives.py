@@ -168,15 +168,17 @@ def find_negatives(zones: list[Zone], label: int, anchor: np.ndarray, windows: l
     distinct: dict = {}
     for n, window in enumerate(windows):
         distinct.setdefault(window, found[n])
+    highest = max(high for _, high in distinct)
     for zone in zones:
         index = np.flatnonzero(zone.rows.label != label)
 
         def possible(least, most):
-            bitmap = np.zeros(len(least), bool)
+            reach = []  # what a row must reach to count in a window
             for (low, high), best in distinct.items():
-                floor = best.floor(least[(least >= low) & (most <= high)])
-                bitmap |= (most >= (low if floor is None else max(low, floor))) & (least <= high)
-            return bitmap
+                full = len(best.score) == k  # then the rows seen bound it, otherwise those certain to lie inside
+                floor = best.score[-1] if full else best.floor(least[(least >= low) & (most <= high)])
+                reach.append(low if floor is None else max(low, floor))
+            return (most >= min(reach)) & (least <= highest)
 
         index, score = zone.scan(anchor, index, possible)
         for (low, high), best in distinct.items():

@@ -5,7 +5,7 @@ Embeddings are scaled to whole numbers, so sums do not depend on their order.
 
 from pyspark.sql import functions as F
 
-from ..operators import matrix
+from ..operators import matrix, semiring
 from ..sources.tables import table
 
 WIDTH, LABELS = 64, 10
@@ -124,9 +124,29 @@ def mat_product_check(spark, folder):
             F.lit("changed"), "vectors", F.col("wrong_rows") == 0))
 
 
+HOPS = 4
+
+
+def _ways(spark, folder):
+    """Shipments of large quantities that came back, both ways: suppliers have even numbers, parts odd ones."""
+    sent = table(spark, folder, "lineitem").where("l_quantity >= 48 AND l_returnflag = 'R'").select(
+        (F.col("l_suppkey") * 2).alias("i"), (F.col("l_partkey") * 2 + 1).alias("j"), F.floor("l_extendedprice").cast("double").alias("v"))
+    return sent.union(sent.select("j", "i", "v").toDF("i", "j", "v"))
+
+
+def mat_cheapest_ways(spark, folder):
+    """Least cost between suppliers and parts over at most HOPS shipments."""
+    return _whole(semiring.within_hops(_ways(spark, folder), HOPS, "min_plus"))
+
+
+def mat_reachable(spark, folder):
+    """How many suppliers and parts each supplier or part reaches over at most HOPS shipments."""
+    return semiring.within_hops(_ways(spark, folder), HOPS, "or_and").groupBy("i").agg(F.count(F.lit(1)).alias("reached"))
+
+
 QUERIES = {f.__name__: f for f in (
     mat_multiply_outer, mat_multiply_rows, mat_multiply_block, mat_multiply_sparse, mat_hadamard,
-    mat_add, mat_add_float, mat_elementwise_rows, mat_approx_equal, mat_product_check, mat_densify, mat_corner)}
+    mat_add, mat_add_float, mat_elementwise_rows, mat_approx_equal, mat_product_check, mat_cheapest_ways, mat_reachable, mat_densify, mat_corner)}
 
 _CELLS = """WITH x AS (
   SELECT vec_id AS i, label, unnest(range(64)) AS d, unnest(embedding) AS e FROM embeddings),
@@ -140,6 +160,14 @@ _PAIR = """WITH r AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS
 o AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem
   WHERE l_linestatus = 'O' GROUP BY 1, 2)"""
 
+_WAYS = """WITH sent AS (
+  SELECT CAST(l_suppkey * 2 AS BIGINT) AS i, CAST(l_partkey * 2 + 1 AS BIGINT) AS j, CAST(floor(l_extendedprice) AS BIGINT) AS v
+  FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R'),
+e AS (SELECT i, j, min(v) AS v FROM (FROM sent UNION ALL SELECT j, i, v FROM sent) GROUP BY i, j),
+w0 AS (SELECT DISTINCT i, i AS j, 0::BIGINT AS v FROM e)""" + "".join(f""",
+w{k + 1} AS (SELECT i, j, min(v) AS v FROM (
+  FROM w{k} UNION ALL SELECT w{k}.i, e.j, w{k}.v + e.v FROM w{k} JOIN e ON e.i = w{k}.j) GROUP BY i, j)""" for k in range(HOPS))
+
 ORACLES = {
     "mat_multiply_outer": f"""{_CELLS}
 SELECT a.d AS i, b.d AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v
@@ -170,4 +198,6 @@ FROM (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding) AS e FROM em
     "mat_product_check": """
 SELECT * FROM (VALUES ('product', 16::BIGINT, true), ('changed', 16::BIGINT, false)) t(checked, vectors, accepted)
 WHERE (SELECT count(*) FROM lineitem) > 0""",
+    "mat_cheapest_ways": f"{_WAYS} SELECT i, j, v FROM w{HOPS}",
+    "mat_reachable": f"{_WAYS} SELECT i, count(*) AS reached FROM w{HOPS} GROUP BY i",
 }

@@ -99,3 +99,23 @@ def test_name_function(spark):
     with pytest.raises(Exception, match="no column"):
         spark.sql("SELECT * FROM parse_names(TABLE(names_to_parse), 'title')").collect()
     spark.catalog.dropTempView("names_to_parse")
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 3, 5])
+def test_ways_within_hops(spark, hops):
+    from spikeframe.operators import semiring
+
+    rnd = random.Random(11)
+    edges = [(rnd.randrange(40) * 7, rnd.randrange(40) * 7, float(rnd.randint(1, 9))) for _ in range(70)] + [(0, 7, 5.0), (0, 7, 2.0)]
+    best = {(n, n): 0.0 for e in edges for n in e[:2]}
+    for _ in range(hops):
+        step = dict(best)
+        for (i, k), v in best.items():
+            for a, j, x in edges:
+                if a == k:
+                    step[i, j] = min(step.get((i, j), v + x), v + x)
+        best = step
+    df = spark.createDataFrame(edges, "i long, j long, v double")
+    got = {(r.i, r.j): r.v for r in semiring.within_hops(df, hops, "min_plus", size=16).collect()}
+    assert got == best
+    assert {(r.i, r.j) for r in semiring.within_hops(df, hops, "or_and", size=16).collect()} == set(best)

@@ -1,13 +1,16 @@
 """Secret scan: fixed patterns plus formats learned from labelled credentials.
 
 The values found by the patterns are labelled credentials. Per kind, a prefix tree over character
-classes is merged state by state where the frequencies agree (Hoeffding test, red-blue order) into
-a probabilistic automaton. Another automaton is learned from ordinary long words. Every other long
-token that mixes letters and digits is scored by all automata and becomes a span of kind `format`
-if a credential format explains it better, per character, than ordinary words do by a margin.
+classes is merged state by state where the frequencies agree (Hoeffding test, states of one depth
+before states of different depths) into a probabilistic automaton. Another automaton is learned from
+the tokens of 16 characters and more, with a letter, that no pattern touches; once more without those
+that a format explains better, as unlabelled credentials are among them. Every such token is scored
+by all automata and becomes a span of kind `format` if a credential format explains it better than
+the other tokens' automaton does by a margin.
 
 The patterns run over every whole text. The automata are fitted on at most `sample` distinct values
-per kind, those with the smallest hash of the whole corpus; candidates are all tokens.
+per kind, those with the smallest hash of the whole corpus, and their first `LONGEST` characters;
+candidates are all tokens, whole.
 
 Defined results: null and empty texts have no spans. Without labelled values of a kind, that kind
 has no automaton. Repeated rows are scanned row by row.
@@ -18,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +39,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
 LEAST = 16
+#: An automaton learns from that much of a longer value, without an end; all of it is scored.
+LONGEST = 128
+#: Odds of about a thousand to one.
+MARGIN = 7.0
 
 
 def base_spans(text: str, words: list[str]) -> list[tuple[int, int, int, str]]:
@@ -54,8 +61,8 @@ def base_spans(text: str, words: list[str]) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, words: list[str], taken) -> list[tuple[int, int, str]]:
-    """Long tokens with letters and digits that no base span touches."""
-    if not any([len(w) >= LEAST and _MIXED.search(w) is not None for w in words]):
+    """Long tokens with a letter that no base span touches."""
+    if not any([len(w) >= LEAST for w in words]):
         return []
     out, k = [], 0
     spans = sorted((s, e) for s, _, e, _ in taken)
@@ -64,7 +71,7 @@ def candidates(text: str, words: list[str], taken) -> list[tuple[int, int, str]]
             k += 1
         if k < len(spans) and spans[k][0] < m.end():
             continue
-        if _MIXED.search(m[0]):
+        if _LETTER.search(m[0]):  # a number is no credential
             out.append((m.start(), m.end(), m[0]))
     return out
 
@@ -81,21 +88,44 @@ def symbol(c: str) -> str:
 
 
 class Automaton:
-    """Probabilistic automaton: per state its visits, ends, and transitions by symbol."""
+    """Probabilistic automaton: per state its visits, ends, and transitions by symbol and character.
+
+    Prefix-tree states of one depth are merged first, which pools what is known of a position. Only then
+    are states of different depths compared, with all that follows: a fixed length or a separator at a
+    fixed place stays, because somewhere behind two such states one ends and the other goes on.
+    """
 
     def __init__(self, values, alpha: float = 0.05, least: int = 8):
         self.next: list[dict[str, int]] = [{}]
-        self.count: list[dict[str, int]] = [defaultdict(int)]
-        self.ends, self.visits = [0], [0]
+        self.count: list[Counter] = [Counter()]
+        self.chars: list[Counter] = [Counter()]
+        self.ends, self.visits, self.depth = [0], [0], [0]
         for value in sorted(values):
             self._add(value)
+        self.tree = len(self.next)
+        self.into = list(range(self.tree))
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.least = least
-        self._merge_states()
-        self.score_of = {
-            (s, c): math.log(n / self.visits[s]) - math.log(self._size(c))
-            for s in self.alive for c, n in self.count[s].items()}
-        self.end_of = {s: math.log((self.ends[s] + 0.5) / (self.visits[s] + 1)) for s in self.alive}
+        self._merge_levels()
+        self._merge_depths()
+        self._tables()
+
+    def _tables(self) -> None:
+        whole, kinds = Counter(), Counter()
+        for s in self.alive:
+            whole.update(self.chars[s])
+            kinds.update(self.count[s])
+        total = whole.total() + len(self.alive)
+        self.score_of, self.end_of = {}, {}
+        for s in self.alive:
+            for c, n in self.chars[s].items():
+                kind = symbol(c)
+                of_kind = self.count[s][kind]
+                self.score_of[s, c] = math.log(of_kind / self.visits[s]) + math.log((n + 1) / (of_kind + self._size(kind)))
+            for kind, n in self.count[s].items():  # a character not seen here, of a class that was
+                self.score_of[s, None, kind] = math.log(n / self.visits[s]) - math.log(n + self._size(kind))
+            self.end_of[s] = math.log((self.ends[s] + 0.5) / (self.visits[s] + 1))
+        self.anywhere = {kind: math.log(n / total) - math.log(self._size(kind)) for kind, n in kinds.items()}
 
     @staticmethod
     def _size(c: str) -> int:
@@ -104,104 +134,123 @@ class Automaton:
     def _add(self, value: str) -> None:
         s = 0
         self.visits[0] += 1
-        for c in map(symbol, value):
+        for char in value[:LONGEST]:
+            c = symbol(char)
             self.count[s][c] += 1
+            self.chars[s][char] += 1
             if c not in self.next[s]:
                 self.next[s][c] = len(self.next)
                 self.next.append({})
-                self.count.append(defaultdict(int))
+                self.count.append(Counter())
+                self.chars.append(Counter())
                 self.ends.append(0)
                 self.visits.append(0)
+                self.depth.append(self.depth[s] + 1)
             s = self.next[s][c]
             self.visits[s] += 1
-        self.ends[s] += 1
+        self.ends[s] += len(value) <= LONGEST
+
+    def find(self, s: int) -> int:
+        while self.into[s] != s:
+            self.into[s] = s = self.into[self.into[s]]
+        return s
 
     def _alike(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) < self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether two states, and those behind them, have statistically equal futures."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
-            a, b = todo.pop()
-            if a == b:
+            pair = todo.pop()
+            a, b = map(self.find, pair)
+            if a == b or (a, b) in seen:
                 continue
+            seen.add((a, b))
             n1, n2 = self.visits[a], self.visits[b]
             if n1 < self.least or n2 < self.least:
                 continue
             if not self._alike(self.ends[a], n1, self.ends[b], n2):
                 return False
             for c in self.count[a].keys() | self.count[b].keys():
-                if not self._alike(self.count[a].get(c, 0), n1, self.count[b].get(c, 0), n2):
+                if not self._alike(self.count[a][c], n1, self.count[b][c], n2):
                     return False
                 if c in self.next[a] and c in self.next[b]:
                     todo.append((self.next[a][c], self.next[b][c]))
         return True
 
-    def _fold(self, red: int, blue: int) -> None:
-        """Add a tree below `blue` to `red`."""
-        todo = [(red, blue)]
+    def _merge(self, a: int, b: int) -> None:
+        """Make two states one, and what follows them by equal symbols."""
+        todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            pair = todo.pop()
+            a, b = sorted(map(self.find, pair))
+            if a == b:
+                continue
+            self.into[b] = a
             self.visits[a] += self.visits[b]
             self.ends[a] += self.ends[b]
-            for c, n in self.count[b].items():
-                self.count[a][c] += n
+            self.count[a].update(self.count[b])
+            self.chars[a].update(self.chars[b])
+            for c, t in self.next[b].items():
                 if c in self.next[a]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+                    todo.append((self.next[a][c], t))
                 else:
-                    self.next[a][c] = self.next[b][c]
-
-    def _merge_states(self) -> None:
-        red, at = [0], 0
-        parents = {}
-        blue = []
-
-        def reach(s):
-            for c in sorted(self.next[s]):
-                t = self.next[s][c]
-                if t not in kept and t not in parents:
-                    parents[t] = (s, c)
-                    blue.append(t)
-
-        kept = {0}
-        reach(0)
-        while at < len(blue):
-            b = blue[at]
-            at += 1
-            s, c = parents[b]
-            if self.next[s].get(c) != b or b in kept:
-                continue
-            for r in red:
-                if self._compatible(r, b):
-                    self.next[s][c] = r
-                    self._fold(r, b)
-                    for x in red:
-                        reach(x)
-                    break
-            else:
-                kept.add(b)
-                red.append(b)
-                reach(b)
-        self.alive = red
+                    self.next[a][c] = t
+
+    def _merge_levels(self) -> None:
+        levels = defaultdict(list)
+        for s, d in enumerate(self.depth):
+            levels[d].append(s)
+        for d in sorted(levels):
+            held = []
+            for s in sorted({self.find(s) for s in levels[d]}, key=lambda s: (-self.visits[s], s)):
+                for r in held:
+                    if self._compatible(r, s):
+                        self._merge(r, s)
+                        break
+                else:
+                    held.append(s)
+
+    def _merge_depths(self) -> None:
+        red, blue = [0], [0]
+        for s in blue:  # grows while it is walked: breadth first
+            for c in sorted(self.next[self.find(s)]):
+                t = self.find(self.next[self.find(s)][c])
+                if t in blue:
+                    continue
+                blue.append(t)
+                if self.visits[t] >= self.least:
+                    for r in red:
+                        if self.find(r) == r and self.visits[r] >= self.least and self._compatible(r, t):
+                            self._merge(r, t)
+                            break
+                red.append(t)
+        self.alive = sorted({self.find(s) for s in red})
 
     def likelihood(self, value: str, floor: float = math.log(1e-4)) -> float:
-        """Mean log-likelihood per character; what was never seen costs `floor`."""
+        """Mean log-likelihood per character.
+
+        A step that no labelled value took costs `floor` once; from there characters are judged by
+        their frequency anywhere in the format, and the end, in the wrong place, costs `floor` again.
+        """
         s, total = 0, 0.0
-        for c in map(symbol, value):
-            p = self.score_of.get((s, c)) if s is not None else None
-            if p is None:
-                total += floor
-                s = self.next[s].get(c) if s is not None else None
+        for char in value:
+            c = symbol(char)
+            if s is not None and c in self.next[s]:
+                total += self.score_of[s, char] if (s, char) in self.score_of else self.score_of[s, None, c]
+                s = self.find(self.next[s][c])
                 continue
-            total += p
-            s = self.next[s].get(c)
-        total += self.end_of.get(s, floor) if s is not None else floor
+            if s is not None:
+                s = None
+                total += floor
+            total += self.anywhere.get(c, floor)
+        total += self.end_of[s] if s is not None else floor
         return total / (len(value) + 1)
 
 
 def labelled_values(docs: DataFrame, sample: int) -> DataFrame:
-    """kind, value: per task the values with the smallest hashes; kind `word` has ordinary long words."""
+    """kind, value: per task the values with the smallest hashes; kind `word` has the other long tokens."""
     def kernel(batches):
         held: dict[str, dict[bytes, str]] = defaultdict(dict)
 
@@ -213,10 +262,9 @@ def labelled_values(docs: DataFrame, sample: int) -> DataFrame:
                 text = text or ""
                 words = text.split()
                 spans = base_spans(text, words)
-                rows = [(KINDS[k], v) for _, k, _, v in spans]
-                rows += [("word", w) for w in words if LEAST <= len(w) <= 64 and w.isascii() and not _MIXED.search(w)]
+                rows = [(KINDS[k], v) for _, k, _, v in spans] + [("word", v) for *_, v in candidates(text, words, spans)]
                 for kind, value in rows:
-                    held[kind][hashlib.blake2b(value.encode(), digest_size=8).digest()] = value
+                    held[kind][hashlib.blake2b(value.encode(), digest_size=8).digest()] = value[:LONGEST + 1]
                     if len(held[kind]) > 4 * sample + 100:
                         trim(kind)
         for kind in list(held):
@@ -238,21 +286,24 @@ def fit(docs: DataFrame, sample: int = 500) -> dict[str, Automaton]:
                 .select("value").collect())
         if rows:
             found[kind] = Automaton([r["value"] for r in rows])
+            if kind == "word":
+                plain = [r["value"] for r in rows if best_margin(r["value"], found) <= MARGIN]
+                found[kind] = Automaton(plain) if 0 < len(plain) < len(rows) else found[kind]
     scratch.delete()
     return found
 
 
 def best_margin(value: str, automata: dict[str, Automaton]) -> float:
-    """How much better, per character, a credential format explains the value than ordinary words do."""
+    """Log-likelihood of the value under the best credential format less that under the other tokens' automaton."""
     formats = [a.likelihood(value) for kind, a in automata.items() if kind != "word"]
     if not formats:
         return -math.inf
     other = automata["word"].likelihood(value) if "word" in automata else math.log(1e-4)
-    return max(formats) - max(other, math.log(1e-4))
+    return (max(formats) - max(other, math.log(1e-4))) * (len(value) + 1)
 
 
 def scan(docs: DataFrame, automata: dict[str, Automaton] | None = None, sample: int = 500,
-         margin: float = 2.0) -> DataFrame:
+         margin: float = MARGIN) -> DataFrame:
     """doc_id, spans (array of kind, start, end in code points), by start then kind."""
     automata = fit(docs, sample) if automata is None else automata
 

@@ -1,8 +1,10 @@
 """Secrets, page wrappers and languages: fixed patterns, planted cases, held-out accuracy."""
 
+import base64
 import hashlib
 import random
 import re
+import uuid
 
 from spikeframe.llm import language_centroids, page_wrappers, secret_formats
 
@@ -50,6 +52,43 @@ def test_learned_formats(spark):
     assert [(s.kind, text[s.start:s.end]) for s in spans] == [("format", text.split()[2])]
 
 
+def planted_tokens(rnd):
+    """Makers of five known credential formats, and of other long tokens."""
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def some(letters, n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    secrets = [lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: "SG" + some(alnum, 20) + "-" + some(alnum, 20),
+               lambda: "xoxb-" + some("0123456789", 12) + "-" + some(alnum, 24), lambda: some("abcdefghijklmnopqrstuvwxyz", 32)]
+    others = [lambda: str(uuid.UUID(int=rnd.getrandbits(128))), lambda: f"images/{some('0123456789abcdef', 20)}/{some('abcdefgh', 6)}",
+              lambda: "iVBORw0KGgo" + base64.b64encode(rnd.randbytes(120)).decode(),
+              lambda: "_".join(some("aeiounrtsl", 6) for _ in range(4)), lambda: some("aeiounrtsl", rnd.randint(16, 20))]
+    return secrets, others
+
+
+def test_planted_formats(spark):
+    """Labelled values teach the formats; unlabelled ones of these formats are found, other tokens are not."""
+    secrets, others = planted_tokens(random.Random(9))
+    rows = [f"it said token={make()} here" for make in secrets for _ in range(60)]
+    rows += [f"see {make()} there" for make in others for _ in range(100)]
+    hidden = [[f"we use {make()} now" for _ in range(20)] for make in secrets]
+    plain = [f"look at {make()} now" for make in others for _ in range(60)]
+    texts = rows + sum(hidden, []) + plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    automata = secret_formats.fit(docs)
+    assert 20 < len(automata["assign"].alive) < automata["assign"].tree / 20
+    found = {r.doc_id: [s for s in r.spans if s.kind == "format"] for r in secret_formats.scan(docs, automata).collect()}
+    first, last = len(rows), len(rows) + 100
+    hit = [bool(found[k]) for k in range(first, last)]
+    false = sum(bool(found[k]) for k in range(last, len(texts))) + sum(bool(found[k]) for k in range(300, first))
+    recall, precision = sum(hit) / 100, sum(hit) / max(1, sum(hit) + false)
+    print([sum(hit[k:k + 20]) for k in range(0, 100, 20)], "recall", recall, "precision", precision, len(automata["assign"].alive))
+    # secrets of letters only look like words of an unknown language; most of the misses are theirs
+    assert sum(hit[:80]) >= 0.95 * 80 and recall >= 0.8 and precision >= 0.95
+    assert all(texts[k][s.start:s.end] == texts[k].split()[2] for k in range(first, last) for s in found[k])
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul>{menu}</ul></nav>"
         "<div class='ad'>Buy &amp; save</div><article><h1>Head {k}</h1>{body}<form><input value=x>Send</form>"
         "<section class='comments'><p>first!</p></section></article><aside>See also</aside>"

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import delete_folder, scratch_folder, written
 
 
 def follow(links: DataFrame) -> DataFrame:
@@ -14,23 +14,22 @@ def follow(links: DataFrame) -> DataFrame:
     allowed, as finished nodes leave the joins. A node that reaches no end lies on a cycle or leads
     to one: `last` and `steps` are NULL. Rounds are written, so a lost executor repeats one at most.
     """
-    ends = links.where("next IS NULL").select("node", F.col("node").alias("last"), F.lit(0).cast("long").alias("steps"))
-    far = cut_lineage(links.where("next IS NOT NULL").select("node", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps")))
-    done = [cut_lineage(ends)]
-    n = whole = far.count()
-    reach = 1
-    while n and reach <= 2 * whole:
-        reached = far.join(done[-1].select(F.col("node").alias("at"), "last", F.col("steps").alias("more")), "at").select(
-            "node", "last", (F.col("steps") + F.col("more")).alias("steps"))
-        reached = cut_lineage(reached)
-        ahead = far.select(F.col("node").alias("at"), F.col("at").alias("then"), F.col("steps").alias("more"))
-        far = cut_lineage(far.join(reached.select("node"), "node", "left_anti").join(ahead, "at").select(
-            "node", F.col("then").alias("at"), (F.col("steps") + F.col("more")).alias("steps")))
-        done.append(cut_lineage(done[-1].union(reached)))
-        n, reach = far.count(), reach * 2
-    # what is left after pointers reach beyond all nodes can't reach an end
+    spark, root = links.sparkSession, scratch_folder(links.sparkSession, "chains")
+    far = written(links.select("node", F.coalesce("next", "node").alias("at"), F.col("next").isNotNull().cast("long").alias("steps"),
+                               F.col("next").isNull().alias("ended")), f"{root}/0", "ended")
+    done, far, k = far.where("ended"), far.where("NOT ended"), 0
+    while True:
+        ahead = done.union(far).select(F.col("node").alias("at"), F.col("at").alias("then"), F.col("steps").alias("more"), "ended")
+        jumped = written(far.drop("ended").join(ahead.hint("merge"), "at").select(
+            "node", F.col("then").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), "ended"), f"{root}/{k + 1}", "ended")
+        reached = jumped.where("ended")
+        # a way to an end passes all shorter distances: once none is reached, what is left can't reach any
+        if reached.isEmpty():
+            break
+        delete_folder(spark, f"{root}/{k}/ended=false")
+        done, far, k = done.union(reached), jumped.where("NOT ended"), k + 1
     lost = far.select("node", F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("steps"))
-    return done[-1].union(lost)
+    return done.select("node", F.col("at").alias("last"), "steps").union(lost)
 
 
 def list_positions(edges: DataFrame, source="source_id", dest="dest_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch_folder(spark, name):
+    """A new folder below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rsplit('/', 1)[0]}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str, *by) -> DataFrame:
+    """The rows, written as Parquet (in a folder for each value of `by`) and read again.
+
+    Their size is then the files' size. A checkpoint keeps the estimate of the plan it cuts off: joins multiply
+    estimates, so a loop of joins of its own results squares them every round, until the number alone fills the driver.
+    """
+    schema = df.schema
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def delete_folder(spark, path):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark):
     """Put this package on the executors' Python path, once per Spark context.
 

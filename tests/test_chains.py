@@ -19,6 +19,13 @@ def test_follow_chains_cycles_and_trees(spark):
     assert chains.follow(spark.createDataFrame([], "node long, next long")).count() == 0
 
 
+def test_following_keeps_estimates_of_the_size_of_the_rows(spark):
+    links = spark.createDataFrame([(k, k + 1 if k < 299 else None) for k in range(300)], "node long, next long")
+    found = chains.follow(links)
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1e12
+    assert {(r.node, r.last, r.steps) for r in found.collect()} == {(k, 299, 299 - k) for k in range(300)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 1001])
 def test_permutation(spark, n):
     for seed in (1, 2):

@@ -5,6 +5,7 @@ compute_time, procs); ``seq`` is the order of the readings, and where one readin
 configuration is needed the last one counts.
 """
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -90,12 +91,21 @@ def speedups(runs: DataFrame, baseline=BASELINE) -> DataFrame:
         (F.col("base_time") / F.col("real_time")).alias("speedup"))
 
 
+def ieee_ratio(above: Column, below: Column) -> Column:
+    """Quotient of doubles as IEEE 754 has it: infinite or NaN over zero, where Spark's is NULL or an error."""
+    # texts tell -0.0 from 0.0, which compare as equal
+    negative = (above < 0) != F.startswith(below.cast("string"), F.lit("-"))
+    over_zero = F.when((above == 0) | F.isnan(above), F.lit(math.nan)).otherwise(
+        F.when(negative, F.lit(-math.inf)).otherwise(F.lit(math.inf)))
+    return F.when(below != 0, F.try_divide(above, below)).when(above.isNotNull() & below.isNotNull(), over_zero)
+
+
 def speedups_by_size(runs: DataFrame, baseline=BASELINE) -> DataFrame:
-    """Speedup with readings matched on pattern and size only (inner merge)."""
+    """Speedup with readings matched on pattern and size only (inner merge); infinite or NaN for a time of zero."""
     last = runs.groupBy("dist", "size", "impl").agg(F.max_by("real_time", "seq").alias("real_time"))
     base = last.where(F.col("impl") == baseline).select("dist", "size", F.col("real_time").alias("base_time"))
     return last.where(F.col("impl") != baseline).join(base, ["dist", "size"]).select(
-        "dist", "size", "impl", F.try_divide("base_time", "real_time").alias("speedup"))
+        "dist", "size", "impl", ieee_ratio(F.col("base_time"), F.col("real_time")).alias("speedup"))
 
 
 def comm_and_compute(runs: DataFrame) -> DataFrame:

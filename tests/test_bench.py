@@ -64,6 +64,14 @@ def test_tables(runs):
     assert (both["Random"].naive_comm, both["Random"].optimised_comm, both["Sorted"].naive_comm) == (1.0, 0.5, 0.0)
 
 
+def test_speedups_by_size_over_a_time_of_zero(spark):
+    rows = [(1, 2.0, 0.0, "inf"), (2, 0.0, 0.0, "nan"), (3, -2.0, 0.0, "-inf"), (4, 2.0, -0.0, "-inf"), (5, None, 0.0, "None"),
+            (6, 3.0, 2.0, "1.5"), (7, -2.0, -0.0, "inf"), (8, 0.0, 2.0, "0.0")]
+    times = [(2 * k, "CpuSnp", k, base) for k, base, _, _ in rows] + [(2 * k + 1, "CudaSnp", k, own) for k, _, own, _ in rows]
+    runs = spark.createDataFrame(times, "seq long, impl string, size long, real_time double").selectExpr("*", "'Random' as dist")
+    assert {r["size"]: str(r.speedup) for r in bench.speedups_by_size(runs).collect()} == {k: shown for k, _, _, shown in rows}
+
+
 def test_statistics(runs):
     stats = {r.impl: r for r in bench.speedup_statistics(runs).collect()}
     assert set(stats) == {"NaiveCudaMpiSnp", "CudaMpiSnp"}

@@ -1,4 +1,4 @@
-"""Matrix products over other semirings, in dense blocks, and paths by repeated squaring.
+"""Matrix products over other semirings, cell by cell or in dense blocks, and paths by repeated squaring.
 
 `min_plus`: sums are minima, products are sums: costs of cheapest ways; an absent cell is no way.
 `or_and`: whether there is a way at all; an absent cell is none.
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import salted_join
 from ..session import cut_lineage, shuffle_partitions
 from .matrix import _blocks
 
@@ -85,17 +86,41 @@ def multiply(a: DataFrame, b: DataFrame, kind: str, size: int = BLOCK) -> DataFr
     return partial.groupBy("i", "j").agg(total("v").alias("v"))
 
 
-def within_hops(edges: DataFrame, hops: int, kind: str, size: int = BLOCK) -> DataFrame:
-    """(i, j, v) over ways of at most `hops` edges, none included; about 2 * log2(hops) products, each written."""
+def present(cells: DataFrame, kind: str) -> DataFrame:
+    """Repeated cells added, absent ones left out."""
+    found = cells.where("v < double('inf')") if kind == "min_plus" else cells.where("v > 0").withColumn("v", F.lit(1.0))
+    return found.groupBy("i", "j").agg(SEMIRINGS[kind][4]("v").alias("v"))
+
+
+def multiply_cells(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+    """The same product of cells as `present` gives them, joined on the middle: for sparse networks, where
+    a block would hold a few cells only. Middles with many cells are salted."""
+    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
+    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+    way = F.col("x") + F.col("y") if kind == "min_plus" else F.least("x", "y")
+    return salted_join(left, right, "k", ["i"]).groupBy("i", "j").agg(SEMIRINGS[kind][4](way).alias("v"))
+
+
+def within_hops(edges: DataFrame, hops: int, kind: str, size: int | None = None) -> DataFrame:
+    """(i, j, v) over ways of at most `hops` edges, none included; about 2 * log2(hops) products, each written.
+
+    Products join cells; with a `size` they are made of dense blocks, which suits networks whose cells are mostly filled.
+    """
+    def times(a, b):
+        return cut_lineage(multiply(a, b, kind, size) if size else multiply_cells(a, b, kind))
+
     neutral = F.lit(SEMIRINGS[kind][1])
     nodes = edges.select("i").union(edges.select(F.col("j").alias("i"))).distinct()
     loops = nodes.select("i", F.col("i").alias("j"), neutral.alias("v"))
-    power = cut_lineage(edges.select("i", "j", F.col("v").cast("double").alias("v")).unionByName(loops))
-    found = loops
+    if not hops:
+        return loops
+    steps = edges.select("i", "j", F.col("v").cast("double").alias("v"))
+    power = cut_lineage(present(steps.unionByName(loops), kind))
+    found = None
     while hops:
         if hops & 1:
-            found = cut_lineage(multiply(found, power, kind, size))
+            found = power if found is None else times(found, power)
         hops >>= 1
         if hops:
-            power = cut_lineage(multiply(power, power, kind, size))
+            power = times(power, power)
     return found

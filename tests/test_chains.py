@@ -22,7 +22,7 @@ def test_follow_chains_cycles_and_trees(spark):
 def test_following_keeps_estimates_of_the_size_of_the_rows(spark):
     links = spark.createDataFrame([(k, k + 1 if k < 299 else None) for k in range(300)], "node long, next long")
     found = chains.follow(links)
-    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1e12
+    assert float(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1e12
     assert {(r.node, r.last, r.steps) for r in found.collect()} == {(k, 299, 299 - k) for k in range(300)}
 
 
@@ -74,6 +74,29 @@ def test_interval_join(spark):
     assert intervals.interval_join(left, "at", right.limit(0), "low", "high").count() == 0
 
 
+def test_interval_totals(spark):
+    rnd = random.Random(5)
+    points = [(k, rnd.choice([500, rnd.randrange(-2000, 2000)])) for k in range(300)] + [(300, None)]
+    windows = [(k, low, low + rnd.choice([-5, 0, 1, 3, 100, 5000])) for k in range(200) for low in [rnd.randrange(-2000, 2000)]]
+    windows += [(200, None, 5), (201, 5, None), (202, -10 ** 12, 10 ** 12), (203, 7, 7), (3, -50, 900)]
+    left = spark.createDataFrame(points, "p long, at long")
+    right = spark.createDataFrame(windows, "w long, low long, high long")
+    totals = {"n": ("count", "p"), "first": ("min", "p"), "last": ("max", "at"), "sum": ("sum", "p")}
+    found = intervals.interval_totals(left, "at", right, "low", "high", ["w"], totals)
+    want = {}
+    for p, at in points:
+        for w, low, high in windows:
+            if None not in (at, low, high) and low <= at <= high:
+                want.setdefault(w, []).append((p, at))
+    assert {r.w: (r.n, r.first, r.last, r["sum"]) for r in found.collect()} == {
+        w: (len(x), min(p for p, _ in x), max(at for _, at in x), sum(p for p, _ in x)) for w, x in want.items()}
+    assert intervals.interval_totals(left, "at", right.limit(0), "low", "high", ["w"], totals).count() == 0
+    # many points and windows alike: their pairs are never formed
+    crowd = spark.range(20000).select(F.col("id").alias("p"), (F.col("id") % 50).alias("at"))
+    wide = spark.range(20000).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("low"), F.lit(49).cast("long").alias("high"))
+    assert intervals.interval_totals(crowd, "at", wide, "low", "high", ["w"], totals).where("n = 20000").count() == 20000
+
+
 def test_product_check(spark):
     rnd = random.Random(4)
     a, b = ([(i, j, float(rnd.randint(-3, 3))) for i in range(12) for j in range(12) if rnd.random() < .5] for _ in range(2))
@@ -126,3 +149,17 @@ def test_ways_within_hops(spark, hops):
     got = {(r.i, r.j): r.v for r in semiring.within_hops(df, hops, "min_plus", size=16).collect()}
     assert got == best
     assert {(r.i, r.j) for r in semiring.within_hops(df, hops, "or_and", size=16).collect()} == set(best)
+
+
+def test_ways_in_a_sparse_network(spark):
+    from spikeframe.operators import semiring
+
+    # nodes far apart: every edge lies in a block of its own, and a hub joins all
+    edges = [(k * 1000, k * 1000 + 1, 2.0) for k in range(3000)] + [(k * 1000 + 1, -5, 1.0) for k in range(3000)]
+    df = spark.createDataFrame(edges + [(0, 1, 7.0), (-5, -9, 0.0)], "i long, j long, v double")
+    costs = {(r.i, r.j): r.v for r in semiring.within_hops(df, 3, "min_plus").collect()}
+    assert len(costs) == 6002 + 6001 + 6000 + 3000
+    assert costs[7000, -9] == 3.0 and costs[0, -5] == 3.0 and costs[1, 1] == 0.0 and (-5, 0) not in costs
+    assert "mapInArrow" not in semiring.within_hops(df, 2, "or_and")._jdf.queryExecution().toString()
+    # a cell of zero is no way over (or, and)
+    assert {(r.i, r.j) for r in semiring.within_hops(df, 3, "or_and").collect()} == {c for c in costs if c[0] == c[1] or c[1] != -9}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.chains import list_positions
-from ..operators.intervals import interval_join
+from ..operators.intervals import interval_totals
 from ..sources.tables import chain, table
 
 # Rules (threshold, consumed, produced) in order of priority.
@@ -69,8 +69,8 @@ def net_events_in_windows(spark, folder):
     start = (F.col("o_orderkey") * 7919) % 2592000
     windows = table(spark, folder, "orders").select(
         "o_orderkey", start.alias("opens"), (start + F.floor(F.col("o_totalprice") / 40)).alias("closes"))
-    return interval_join(points, "second", windows, "opens", "closes").groupBy("o_orderkey").agg(
-        F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("second").alias("last_second"))
+    return interval_totals(points, "second", windows, "opens", "closes", ["o_orderkey"], {
+        "events": ("count", "second"), "first_event": ("min", "event_id"), "last_second": ("max", "second")})
 
 
 QUERIES = {f.__name__: f for f in (

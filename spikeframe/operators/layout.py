@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import block_rank, block_size, block_start
 from ..functions.scans import running_total, slot_numbers
 from ..functions.skew import salted_join
+from ..session import spread
 
 
 def row_blocks(spark, n, parts) -> DataFrame:
@@ -99,24 +100,30 @@ def storage_sizes(neurons: DataFrame, rules: DataFrame, synapses: DataFrame) ->
         (q * (z + 3) + 4 * m + 1).alias("compressed_elements"))
 
 
-def transition_matrix(rules: DataFrame, synapses: DataFrame) -> DataFrame:
+def transition_matrix(rules: DataFrame, synapses: DataFrame, size: int = 0) -> DataFrame:
     """Coordinates (nid, rule_idx, dest, v): -consumed on the rule's own neuron and
-    +produced*weight on the neurons it reaches; contributions to one cell add up."""
-    own = rules.select("nid", "rule_idx", F.col("nid").alias("dest"), (-F.col("consumed")).cast("bigint").alias("v"))
-    edges = synapses.groupBy(F.col("source_id").alias("nid"), F.col("dest_id").alias("dest")).agg(
-        F.sum("weight").alias("weight"))
-    producing = rules.where("produced > 0").select("nid", "rule_idx", "produced")
-    sent = salted_join(edges, producing, "nid", ["dest"],
-                       synapses.select(F.col("source_id").alias("nid"))).select(
-        "nid", "rule_idx", "dest", (F.col("produced") * F.col("weight")).alias("v"))
-    return own.unionAll(sent).groupBy("nid", "rule_idx", "dest").agg(F.sum("v").alias("v"))
-
-
-def algebraic_step(state: DataFrame, fired: DataFrame, rules: DataFrame, synapses: DataFrame) -> DataFrame:
+    +produced*weight on the neurons it reaches; contributions to one cell add up.
+
+    A loop of weight 0 stands for the own cell, so that cells are complete when synapses are added up and
+    the far more numerous cells need no grouping. ``size``: about the number of synapses, see Network.
+    """
+    own = rules.groupBy("nid", "rule_idx").agg(
+        F.sum("consumed").alias("consumed"), F.sum(F.greatest("produced", F.lit(0))).alias("produced"))
+    sources = synapses.select(F.col("source_id").alias("nid"))
+    ends = synapses.select(F.col("source_id").alias("nid"), F.col("dest_id").alias("dest"), F.col("weight").cast("bigint").alias("weight"))
+    loops = rules.select("nid", F.col("nid").alias("dest"), F.lit(0).cast("bigint").alias("weight"))
+    edges = spread(ends.unionAll(loops), size, "nid", "dest").groupBy("nid", "dest").agg(F.sum("weight").alias("weight"))
+    used = F.when(F.col("nid") == F.col("dest"), F.col("consumed")).otherwise(0)
+    return salted_join(edges, own, "nid", ["dest"], sources, size).where("dest = nid OR produced > 0").select(
+        "nid", "rule_idx", "dest", (F.col("produced") * F.col("weight") - used).cast("bigint").alias("v"))
+
+
+def algebraic_step(state: DataFrame, fired: DataFrame, rules: DataFrame, synapses: DataFrame,
+                   size: int = 0) -> DataFrame:
     """C' = C + S * M for systems without delays: ``state(nid, spikes)`` and spiking vector
     ``fired(nid, rule_idx)``. S picks one row of M per firing neuron, so only those rows
     are formed and the product is their sum per column."""
     chosen = rules.join(fired.where("rule_idx >= 0"), ["nid", "rule_idx"], "left_semi")
-    moved = transition_matrix(chosen, synapses).select(F.col("dest").alias("nid"), F.col("v").alias("spikes"))
+    moved = transition_matrix(chosen, synapses, size).select(F.col("dest").alias("nid"), F.col("v").alias("spikes"))
     return (state.select("nid", "spikes").unionAll(moved)
             .groupBy("nid").agg(F.sum("spikes").cast("bigint").alias("spikes")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import int_div
-from ..session import cut_lineage, shuffle_partitions
+from ..session import cut_lineage, partitions_for, spread
 
 PAGE_SIZE = 4096
 SMALL_NETWORK = 100_000
@@ -22,12 +22,14 @@ class Network:
     """Neurons, prioritised rules and weighted synapses.
 
     ``scope`` names leading key columns when the tables hold many independent
-    systems, e.g. ``("system_id",)``; synapses never leave their scope.
+    systems, e.g. ``("system_id",)``; synapses never leave their scope. ``size`` is about the number
+    of synapses where it is known: it makes more partitions of large networks, never other results.
     """
     neurons: DataFrame
     rules: DataFrame
     synapses: DataFrame
     scope: tuple = ()
+    size: int = 0
 
     @property
     def keys(self):
@@ -105,7 +107,8 @@ class CompiledNetwork:
 def combined_synapses(network: Network) -> DataFrame:
     """Parallel synapses folded into one row: production is never negative, so the sum
     of the positive weights and the sum of all weights carry everything a tick needs."""
-    return (network.synapses.groupBy(*network.scope, "source_id", "dest_id")
+    ends = [*network.scope, "source_id", "dest_id"]
+    return (spread(network.synapses, network.size, *ends).groupBy(*ends)
             .agg(F.sum(F.greatest("weight", F.lit(0))).cast("bigint").alias("gain"),
                  F.sum("weight").cast("bigint").alias("net")))
 
@@ -133,7 +136,8 @@ def _out_lists(network, edges, page_size, paged, parts=None):
 def _rule_lists(network, page_size, paged):
     rule = F.struct("rule_idx", "threshold", "consumed", "produced", "delay")
     page = [int_div("rule_idx", page_size).cast("int").alias("page")] if paged else []
-    return (network.rules.groupBy(*network.keys, *page)
+    rules = network.rules if paged else spread(network.rules, network.size, *network.keys)
+    return (rules.groupBy(*network.keys, *page)
             .agg(F.array_sort(F.collect_list(rule)).alias("rules")))
 
 
@@ -157,9 +161,10 @@ def _measure(network, edges):
 
 
 def compile_network(network: Network, page_size=PAGE_SIZE) -> CompiledNetwork:
-    keys, parts = network.keys, shuffle_partitions(network.neurons.sparkSession)
+    keys = network.keys
     edges = cut_lineage(combined_synapses(network))
     size = _measure(network, edges)
+    parts = partitions_for(network.neurons.sparkSession, size.synapses)
     paged_rules = size.rules > page_size
     paged_outs = paged_rules or size.out > page_size
     small = size.neurons + size.synapses <= SMALL_NETWORK

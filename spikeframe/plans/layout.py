@@ -76,7 +76,7 @@ def layout_storage_sizes(spark, folder):
 
 def layout_transition_matrix(spark, folder):
     network, _ = _trade(spark, folder)
-    return layout.transition_matrix(network.rules, network.synapses)
+    return layout.transition_matrix(network.rules, network.synapses, network.size)
 
 
 def snp_algebraic_step(spark, folder):
@@ -84,7 +84,7 @@ def snp_algebraic_step(spark, folder):
     network = tables.without_delays(tables.trade_network(spark, folder))
     net = compile_network(network)
     state = net.initial_state()
-    return layout.algebraic_step(state, spiking_vector(state, net), network.rules, network.synapses)
+    return layout.algebraic_step(state, spiking_vector(state, net), network.rules, network.synapses, network.size)
 
 
 def snp_many_visits(spark, folder):

@@ -31,6 +31,21 @@ def shuffle_partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one task where a step's rows are known before; more rows make more tasks.
+ROWS_PER_TASK = 1 << 20
+
+
+def partitions_for(spark, rows):
+    """The session's shuffle partitions, or more where so many rows would fill them."""
+    return max(shuffle_partitions(spark), -(-rows // ROWS_PER_TASK))
+
+
+def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
+    """Dealt by `keys` to `partitions_for` about so many rows; unchanged where the session's partitions do."""
+    parts = partitions_for(df.sparkSession, rows)
+    return df.repartition(parts, *keys) if parts > shuffle_partitions(df.sparkSession) else df
+
+
 def ensure_checkpoint_dir(spark):
     """Use the shared folder the cluster names; only local runs get one of their own."""
     context = spark.sparkContext

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scans import previous_value
 from ..operators.network import Network
+from ..session import spread
 
 
 def table(spark: SparkSession, folder, name) -> DataFrame:
@@ -35,10 +36,12 @@ def trade_network(spark, folder, inhibit_returns=False) -> Network:
     part = table(spark, folder, "part").select(
         (F.col("p_partkey") * 2 + 1).alias("nid"), (F.col("p_size") % 3).alias("initial_spikes"),
         (F.col("p_size") > 25).alias("is_output"), F.col("p_size"))
-    shipped = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
+    shipped = table(spark, folder, "lineitem").select(
+        (F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p"), "l_returnflag")
     weight = (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) if inhibit_returns
               else F.lit(1))
-    pairs = (shipped.groupBy((F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p"))
+    n = shipped.count()  # read from the files' footers
+    pairs = (spread(shipped, n, "s", "p").groupBy("s", "p")
              .agg(F.sum(weight).cast("int").alias("w")))
     ends = F.array(F.struct(F.col("s").alias("source_id"), F.col("p").alias("dest_id"),
                             F.col("w").alias("weight")),
@@ -46,7 +49,7 @@ def trade_network(spark, folder, inhibit_returns=False) -> Network:
                             F.lit(1).alias("weight")))
     rules = (_rules(supplier, (4, 3, 2, "wait"), (1, 1, 1, 0))
              .unionAll(_rules(part, ("p_size % 5 + 3", "p_size % 5 + 2", 1, "p_size % 2"), (2, 2, 1, 0))))
-    return Network(_neurons(supplier).unionAll(_neurons(part)), rules, pairs.select(F.inline(ends)))
+    return Network(_neurons(supplier).unionAll(_neurons(part)), rules, pairs.select(F.inline(ends)), size=2 * n)
 
 
 def market_network(spark, folder) -> Network:
@@ -89,7 +92,7 @@ def order_chain_network(spark, folder) -> Network:
 
 def without_delays(network: Network) -> Network:
     return Network(network.neurons, network.rules.withColumn("delay", F.lit(0)),
-                   network.synapses, network.scope)
+                   network.synapses, network.scope, network.size)
 
 
 # Event types in the order of their neuron number.

@@ -52,3 +52,23 @@ def test_executor_side_state_is_recoverable(spark):
     folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
     assert any(name.startswith("rdd-") for name in os.listdir(folder))
     assert sorted(r.x for r in kept.collect()) == list(range(0, 20, 2))
+
+
+def test_large_networks_get_more_tasks(spark, monkeypatch):
+    from spikeframe import session
+    from spikeframe.operators.network import compile_network
+    from spikeframe.sources import tables
+
+    def run():
+        network = tables.trade_network(spark, "/root/testdata/sf0.001")
+        net = compile_network(network)
+        cells = layout.transition_matrix(network.rules, network.synapses, network.size)
+        parts = net.static.rdd.getNumPartitions(), cells.rdd.getNumPartitions()
+        found = sorted(map(tuple, cells.collect())), sorted(map(str, net.static.select("nid", F.size("outs")).collect()))
+        net.release()
+        return parts, found
+
+    _, want = run()
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 1000)
+    parts, got = run()
+    assert got == want and min(parts) >= 10

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import MIX_FIRST, MIX_PRIME, MIX_SECOND
 from ..operators import bench, confidence, quantiles
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from ..sources import names
 from ..sources.result_source import scan_results
 from ..sources.results import result_document
@@ -52,12 +52,13 @@ def bench_streamed_configurations(spark, folder):
     results = event_results(spark, folder).join(
         table(spark, folder, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq")
     own = F.expr(f"least({BATCHES - 1}, seq * {BATCHES} div n + if(seq % 20 = 7, 2, 0))")
-    path, size = _folder(spark, "readings"), results.agg(F.max("seq") + 1).first()[0]
-    for k in range(BATCHES):  # one arrival after the other: files are taken in order of time
-        results.withColumn("n", F.lit(size)).where(own == k).drop("n").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    changes = readings.latest_readings(stream, "ts", f"{DELAY_DAYS} days")
-    readings.process_available(changes, f"{path}/state", f"{path}/out")
+    path, size = _folder(spark, "readings"), table(spark, folder, "events").agg(F.max("event_id") + 1).first()[0]
+    dealt = written(results.withColumn("n", F.lit(size)).withColumn("arrival", own.cast("int")).drop("n"), f"{path}/dealt", "arrival")
+    for k in range(BATCHES):  # one arrival after the other, each read as one batch whatever its files
+        dealt.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(results.schema).parquet(f"{path}/in")
+        changes = readings.latest_readings(stream, "ts", f"{DELAY_DAYS} days")
+        readings.process_available(changes, f"{path}/state", f"{path}/out")
     return readings.current(spark, f"{path}/out").drop("seq")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MIX_PRIME, mix
+from ..session import shuffle_partitions
 from .bench import CONFIG, speedups
 
 REPLICATES = 200
@@ -40,6 +41,8 @@ def speedup_bounds(runs: DataFrame, replicates: int = REPLICATES, tail: int = 25
     """
     rows = speedups(runs).select(
         "impl", F.round(F.col("speedup") * 10 ** digits).cast("long").alias("s"), configuration_number(*CONFIG).alias("number"))
+    # rows are few and short, so their partitions would be merged into one or two before each is repeated
+    rows = rows.repartition(shuffle_partitions(runs.sparkSession))
     each = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     # replicate 0 is the plain sample
     weight = F.when(F.col("replicate") == 0, F.lit(1).cast("long")).otherwise(poisson_weight(F.col("number"), F.col("replicate")))

@@ -136,3 +136,24 @@ def test_bounds_are_plausible_and_stable(spark):
     weights = spark.range(20000).select(confidence.poisson_weight(F.col("id") * 7 + 13, F.lit(1)).alias("w")).groupBy("w").count()
     share = {r.w: r["count"] / 20000 for r in weights.collect()}
     assert abs(share[0] - 0.368) < 0.02 and abs(share[1] - 0.368) < 0.02 and abs(share[2] - 0.184) < 0.02
+
+
+def test_replicates_are_made_in_many_tasks(spark):
+    rows = [(k, f"{impl}/Random/{k}00/100/x", 1.0 + k, 1.0) for k in range(1, 30) for impl in ("CpuSnp", "CudaSnp")]
+    df = spark.createDataFrame(rows, "seq long, name string, real_time double, cpu_time double")
+    plan = confidence.speedup_bounds(bench.runs_from(df))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_configurations_share_a_bucket(spark, tmp_path):
+    rows = [(k, f"CpuSnp/Random/{k % 7}00/100/x", float(k), 1.0, k) for k in range(100)]
+    df = spark.createDataFrame(rows, "seq long, name string, real_time double, cpu_time double, t long").select(
+        "seq", "name", "real_time", "cpu_time", F.timestamp_seconds("t").alias("ts"))
+    for part in (df.where("seq >= 60"), df.where("seq < 60 and seq % 7 < 3")):
+        part.write.mode("append").parquet(f"{tmp_path}/in")  # several files are one batch
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        readings.process_available(readings.latest_readings(stream, "ts", "300 days", 1), f"{tmp_path}/state", f"{tmp_path}/out")
+    got = {r["size"]: (r.readings, r.seq, r.real_time) for r in readings.current(spark, f"{tmp_path}/out").collect()}
+    arrived = [k for k in range(100) if k >= 60 or k % 7 < 3]
+    assert got == {100 * m: (len(own), max(own), float(max(own))) for m in range(7) for own in [[k for k in arrived if k % 7 == m]]}
+    assert spark.read.parquet(f"{tmp_path}/out").where("batch = 1").select("size").distinct().count() == 3

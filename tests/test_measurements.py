@@ -146,7 +146,7 @@ def test_replicates_are_made_in_many_tasks(spark):
 
 
 def test_configurations_share_a_bucket(spark, tmp_path):
-    rows = [(k, f"CpuSnp/Random/{k % 7}00/100/x", float(k), 1.0, k) for k in range(100)]
+    rows = [(k, f"CpuSnp/Random/{k % 7}00/100/x", float(k), 1.0, k + 1) for k in range(100)]
     df = spark.createDataFrame(rows, "seq long, name string, real_time double, cpu_time double, t long").select(
         "seq", "name", "real_time", "cpu_time", F.timestamp_seconds("t").alias("ts"))
     for part in (df.where("seq >= 60"), df.where("seq < 60 and seq % 7 < 3")):

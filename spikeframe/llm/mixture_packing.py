@@ -8,10 +8,12 @@ to window and from partition to partition without any state, and every window ho
 proportions to within one quantum of each source. Shares default to the sources' sizes, with which
 all queues end together; only the last sequence is padded.
 
-Steps: tokens are made once and written; lengths are summed along each queue block by block;
-quanta are cut, ordered by range partitions and summed likewise; pieces go back to their document's
-ids. Rows of a block are bounded by the range partitioning, so a hot source is spread over many
-blocks. No step gathers a queue, and nothing but rows of blocks is broadcast.
+Steps: tokens are made once and written, each document with the tokens its queue has before it in
+its task; totals of tasks and queues give the places in the queues, so documents never move. The
+tasks that read the tokens cut the quanta and check-sum them; from then on only quanta are kept,
+ordered by range partitions and summed block by block. A window's end cuts no full quantum (where the
+quantum divides the size), so only the queues' last, shorter quanta carry their ids for it. No step
+gathers a queue; nothing but rows of blocks, or of blocks and queues, meets the rows by broadcast.
 
 Defined results: a null text is empty and has the end id alone; a null source is a queue of its
 own; repeated rows (and null ids) are documents of their own; an empty table gives no pieces.
@@ -85,100 +87,104 @@ def _encoder(path: str) -> WordIds:
 
 
 def token_table(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataFrame:
-    """doc_id, queue, doc_tokens, ids (little-endian, `width` bytes each), end id included."""
+    """doc_id, queue, doc_tokens, within, width, ids (little-endian, `width` bytes each), end id included.
+
+    `within` counts the tokens that the queue has before the document in its partition.
+    """
     def kernel(batches):
         own = _encoder(path or tokenizer_file("word_bpe_49k.json"))
         end = np.array([end_id], own.kind).tobytes()
+        seen: dict[str, int] = {}
         for batch in batches:
             ids = [own.encode(t) + end for t in batch.column("text").to_pylist()]
+            lengths, within = [len(i) // own.kind.itemsize for i in ids], []
+            for queue, n in zip(batch.column("queue").to_pylist(), lengths):
+                within.append(seen.get(queue, 0))
+                seen[queue] = within[-1] + n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"),
-                 pa.array([len(i) // own.kind.itemsize for i in ids], pa.int64()),
+                [batch.column("doc_id"), batch.column("queue"), pa.array(lengths, pa.int64()), pa.array(within, pa.int64()),
                  pa.array([own.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
-                names=["doc_id", "queue", "doc_tokens", "width", "ids"])
+                names=["doc_id", "queue", "doc_tokens", "within", "width", "ids"])
 
     queue = F.concat(F.lit("s"), F.col("source").cast("string")) if "source" in docs.columns else F.lit(None)
     source = docs.select("doc_id", F.coalesce(queue, F.lit("")).alias("queue"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(
-        kernel, f"doc_id {kind}, queue string, doc_tokens long, width int, ids binary")
+        kernel, f"doc_id {kind}, queue string, doc_tokens long, within long, width int, ids binary")
 
 
-def _service_order(lengths: DataFrame, scratch: Scratch, quantum: int,
-                   shares: dict[str, float] | None) -> DataFrame:
-    """Quanta of all queues cut at document borders: uid, start, length, and `at` in service order."""
-    blocks = scratch.write(
-        lengths.repartitionByRange("queue", "uid").withColumn("block", F.spark_partition_id()), "lengths")
-    sums = blocks.groupBy("block", "queue").agg(F.sum("doc_tokens").alias("n"))
+def _quanta(tokens: DataFrame, scratch: Scratch, quantum: int, whole: bool) -> DataFrame:
+    """Quanta of all queues cut at document borders: uid, doc_id, doc_tokens, queue, c, start, length, ids_crc32, total.
+
+    Short quanta, and all where not `whole`, keep their ids (four bytes each) in `ids`.
+    """
+    sums = tokens.groupBy("block", "queue").agg(F.sum("doc_tokens").alias("n"))
     by_queue = Window.partitionBy("queue")
-    sums = sums.select(
+    # written, so that the join knows their true size and leaves the tokens where they are
+    sums = scratch.write(sums.select(
         "block", "queue",
         (F.sum("n").over(by_queue.orderBy("block")) - F.col("n")).alias("before"),
-        F.sum("n").over(by_queue).alias("total"))
-    here = Window.partitionBy("block", "queue").orderBy("uid")
-    placed = blocks.join(sums, ["block", "queue"]).withColumn(
-        "from", F.col("before") + F.sum("doc_tokens").over(here) - F.col("doc_tokens"))
-    share = F.col("total").cast("double")
-    for name, weight in (shares or {}).items():
-        share = F.when(F.col("queue") == f"s{name}", F.lit(float(weight))).otherwise(share)
-    first = F.floor(F.col("from") / quantum)
-    last = F.floor((F.col("from") + F.col("doc_tokens") - 1) / quantum)
-    cut = placed.withColumn("c", F.explode(F.sequence(first, last)))
-    start = F.greatest(F.col("c") * quantum - F.col("from"), F.lit(0))
-    stop = F.least((F.col("c") + 1) * quantum - F.col("from"), F.col("doc_tokens"))
-    return cut.select(
-        "uid", "queue", "c", start.cast("long").alias("start"), (stop - start).cast("long").alias("length"),
-        ((F.col("c") + 1) * quantum > F.col("total")).alias("short"), ((F.col("c") + 0.5) / share).alias("due"))
+        F.sum("n").over(by_queue).alias("total")), "sums")
+    placed = tokens.join(sums, ["block", "queue"]).select(
+        "uid", "doc_id", "doc_tokens", "queue", "total", (F.col("before") + F.col("within")).alias("from"), "width", "ids")
+
+    def kernel(batches):
+        for batch in batches:
+            n, total, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_tokens", "total", "from"))
+            count = (first + n - 1) // quantum - first // quantum + 1
+            owner = np.repeat(np.arange(len(n)), count)
+            ends = np.cumsum(count)
+            c = (first // quantum)[owner] + np.arange(len(owner)) - (ends - count)[owner]
+            start = np.maximum(c * quantum - first[owner], 0)
+            stop = np.minimum((c + 1) * quantum - first[owner], n[owner])
+            carried = (c + 1) * quantum > total[owner] if whole else np.ones(len(c), bool)
+            sums, kept, k = np.zeros(len(c), np.int64), [None] * len(c), 0
+            for d, (raw, width) in enumerate(zip(batch.column("ids"), batch.column("width").to_pylist())):
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4")
+                for k in range(ends[d] - count[d], ends[d]):
+                    piece = ids[start[k]:stop[k]]
+                    sums[k] = zlib.crc32(piece)
+                    if carried[k]:
+                        kept[k] = piece.tobytes()
+            own = [batch.column(x).take(pa.array(owner)) for x in ("uid", "doc_id", "doc_tokens", "queue", "total")]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(c), pa.array(start), pa.array(stop - start), pa.array(sums), pa.array(kept, pa.binary())],
+                names=["uid", "doc_id", "doc_tokens", "queue", "total", "c", "start", "length", "ids_crc32", "ids"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return placed.mapInArrow(kernel, f"uid long, doc_id {kind}, doc_tokens long, queue string, total long, c long, "
+                                     "start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = 2048, quantum: int = 128, end_id: int = 1,
          shares: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue."""
     scratch = Scratch(docs.sparkSession, "packing")
-    tokens = scratch.write(
-        token_table(docs, path, end_id).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    order = ["short", "due", "queue", "c", "uid"]
-    quanta = _service_order(tokens.select("uid", "queue", "doc_tokens"), scratch, quantum, shares)
+    tokens = scratch.write(token_table(docs, path, end_id).withColumn("uid", F.monotonically_increasing_id()).withColumn(
+        "block", F.spark_partition_id()), "tokens")
+    quanta = scratch.write(_quanta(tokens, scratch, quantum, size % quantum == 0), "quanta")
+    scratch.delete("tokens")
+    share = F.col("total").cast("double")
+    for name, weight in (shares or {}).items():
+        share = F.when(F.col("queue") == f"s{name}", F.lit(float(weight))).otherwise(share)
     # the queues' last, shorter quanta follow all full ones, so that windows stay whole
+    quanta = quanta.withColumn("short", (F.col("c") + 1) * quantum > F.col("total")).withColumn(
+        "due", (F.col("c") + 0.5) / share).drop("total")
+    order = ["short", "due", "queue", "c", "uid"]
     blocks = scratch.write(
-        quanta.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "quanta")
+        quanta.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "blocks")
+    scratch.delete("quanta")
     sums = blocks.groupBy("block").agg(F.sum("length").alias("n"))
     sums = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
     here = Window.partitionBy("block").orderBy(*order)
-    placed = blocks.join(F.broadcast(sums), "block").select(
-        "uid", "start", "length", (F.col("before") + F.sum("length").over(here) - F.col("length")).alias("at"))
+    placed = blocks.join(F.broadcast(sums), "block").withColumn(
+        "at", F.col("before") + F.sum("length").over(here) - F.col("length"))
     window = placed.withColumn("sequence_id", F.explode(F.sequence(
         F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("length") - 1) / size))))
     skip = F.greatest(F.col("sequence_id") * size - F.col("at"), F.lit(0))
     stop = F.least((F.col("sequence_id") + 1) * size - F.col("at"), F.col("length"))
-    pieces = window.select("uid", F.struct(
-        (F.col("start") + skip).cast("long").alias("start"), (stop - skip).cast("long").alias("length"), "sequence_id",
-        (F.col("at") + skip - F.col("sequence_id") * size).cast("long").alias("offset")).alias("piece"))
-    by_document = pieces.groupBy("uid").agg(F.collect_list("piece").alias("pieces"))
-    return _with_ids(tokens.join(by_document, "uid").select(
-        "doc_id", "queue", "doc_tokens", "width", "ids", F.array_sort("pieces").alias("pieces")))
-
-
-def _with_ids(rows: DataFrame) -> DataFrame:
-    """Cut each document's ids into its pieces and check-sum them."""
-    def kernel(batches):
-        for batch in batches:
-            lists = batch.column("pieces")
-            flat, ends = lists.flatten(), np.cumsum([0] + [len(x) for x in lists])
-            start, length = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "length"))
-            owner = np.repeat(np.arange(len(lists)), np.diff(ends))
-            sums = np.zeros(len(flat), np.int64)
-            for d, (raw, width) in enumerate(zip(batch.column("ids"), batch.column("width").to_pylist())):
-                ids = np.frombuffer(raw.as_buffer(), f"<u{width}").astype("<u4")
-                for k in range(ends[d], ends[d + 1]):
-                    sums[k] = zlib.crc32(ids[start[k]:start[k] + length[k]])
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), flat.field("start"), flat.field("length"), pa.array(sums),
-                 batch.column("doc_tokens").take(take), flat.field("sequence_id"), flat.field("offset"),
-                 batch.column("queue").take(take)],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(kernel, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-                                   "sequence_id long, offset long, queue string")
+    part = F.substring("ids", (4 * skip + 1).cast("int"), (4 * (stop - skip)).cast("int"))
+    return window.select(
+        "doc_id", (F.col("start") + skip).cast("long").alias("start"), (stop - skip).cast("long").alias("length"),
+        F.when(F.col("ids").isNull(), F.col("ids_crc32")).otherwise(F.crc32(part)).alias("ids_crc32"), "doc_tokens",
+        "sequence_id", (F.col("at") + skip - F.col("sequence_id") * size).cast("long").alias("offset"), "queue")

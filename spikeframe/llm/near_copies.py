@@ -8,9 +8,12 @@ smaller id: in order of ids a document stays unless such a document has stayed b
    two of them differ by about 48 bits (deviation 6.4), those of unrelated texts by 160 (9). `FAR` links
    the first and, at 6e-23 a pair, never the second: links are verified by all bits before anything is closed
    over them, so components stay families of similar texts at any number of documents.
-2. Tables: each deals all fingerprints to buckets by some drawn bits, so many that `bucket` share a value.
-   As many tables are made as find a pair that differs in a sixth of its bits with probability `FOUND`.
-   A crowded bucket is dealt again by other bits inside its task. A bucket gives stars, never its pairs.
+2. Shards: the bits, permuted, are cut into runs; each run deals all fingerprints to shards by its value, so
+   many that `bucket` share one. Fingerprints that differ in fewer bits than there are runs agree in one of them
+   (pigeonhole), so they meet for certain; as many runs are made, from further permutations where one has
+   too few, as find a pair that differs in a sixth of its bits with probability `FOUND`. A crowded shard is
+   dealt again by runs of its own inside its task. Each shard's task holds its BK-tree over all 320 bits, searched
+   within `FAR` for all members at once. A shard gives stars, never its pairs.
 3. Components of the links are worked off in rounds: the first documents of each by id, at most `ROWS` and
    `HASHES`, are decided in order by exact similarity; those that stay are sent to salted parts of what is
    left of their component, and what is similar goes. Rounds double their rows until a bound holds, so a
@@ -33,7 +36,7 @@ from .common import Scratch
 from .components import components
 
 WIDTH, SEEDS = 5, 5
-#: Most differing bits of a link; the probability that the tables find a pair with a sixth of its bits differing.
+#: Most differing bits of a link; the probability that the runs find a pair with a sixth of its bits differing.
 FAR, FOUND = 72, 0.98
 #: Documents of a component decided in the first round and in any round, and their shingles.
 FIRST, ROWS, HASHES = 64, 8192, 1 << 21
@@ -96,49 +99,118 @@ def _prints(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id").alias("node"), "text").mapInArrow(kernel, "node long, fps array<long>")
 
 
-def tables(n: int, bucket: int) -> np.ndarray:
-    """Masks (tables x seeds) of the bits by which n fingerprints are dealt to buckets of about `bucket`."""
+def tables(n: int, bucket: int, level: int = 0) -> np.ndarray:
+    """Masks (runs x seeds) of the bits by which n fingerprints are dealt to shards of about `bucket`."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / bucket)))
     count = 1 if not bits else math.ceil(math.log(1 - FOUND) / math.log(1 - (5 / 6) ** bits))
-    draw = np.random.default_rng((bits, 20240503))
-    masks = np.zeros((count, SEEDS), np.uint64)
+    draw = np.random.default_rng((bits, level, 20240503))
+    masks, free = np.zeros((count, SEEDS), np.uint64), np.zeros(0, np.int64)
     for row in masks:
-        for at in draw.choice(64 * SEEDS, bits, replace=False):
+        if len(free) < bits:
+            free = draw.permutation(64 * SEEDS)
+        for at in free[:bits]:
             row[at // 64] |= np.uint64(1) << np.uint64(at % 64)
+        free = free[bits:]
     return masks
 
 
+def _away(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (seeds x n) and one of them."""
+    return np.bitwise_count(prints ^ one[:, None]).sum(axis=0, dtype=np.int16)
+
+
+class Tree:
+    """BK-tree over fingerprints (seeds x n): a node's children are keyed by their distance to it.
+
+    Nodes are numbered in preorder, so that a subtree is a run of numbers; `places` are theirs in the input.
+    What equals a node is no node but linked to it (`equal`).
+    """
+
+    def __init__(self, prints: np.ndarray):
+        places, members = [], [np.arange(prints.shape[1])]
+        self.children, self.equal = [], []
+        while members:  # all go down together: those at one distance from a node form its child's subtree
+            own = members.pop()
+            node, own = own[0], own[1:]
+            if len(own):
+                away = _away(prints[:, own], prints[:, node])
+                if not away.all():
+                    self.equal.append((own[away == 0], np.full(np.count_nonzero(away == 0), node)))
+                    own, away = own[away > 0], away[away > 0]
+            places.append(node)
+            children = []
+            if len(own):
+                by = np.argsort(away, kind="stable")
+                own, away = own[by], away[by]
+                cuts = [0, *(np.flatnonzero(away[1:] != away[:-1]) + 1).tolist(), len(own)]
+                children = [int(away[c]) for c in cuts[:-1]]
+                members += [own[a:b] for a, b in zip(cuts[-2::-1], cuts[:0:-1])]
+            self.children.append(children)
+        self.places = np.array(places)
+        self.prints = np.ascontiguousarray(prints[:, self.places])
+        self.ends = [0] * len(places)
+        for at in range(len(places) - 1, -1, -1):
+            end = at + 1
+            for _ in self.children[at]:
+                end = self.ends[end]
+            self.ends[at] = end
+
+    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(member, head) in the input's places of the components within the radius; every later node meets the earlier ones.
+
+        A subtree of one component isn't searched for that component's own members.
+        """
+        label = np.arange(len(self.places))
+        merged = False
+        todo = [(0, None, label[1:], None)]
+        while todo:
+            node, edge, active, away = todo.pop()
+            if edge is not None:
+                later = int(np.searchsorted(active, node, "right"))
+                active = active[later:][np.abs(away[later:] - edge) <= radius]
+            if merged and len(active):
+                own = label[node:self.ends[node]]
+                if (own == own[0]).all():
+                    active = active[label[active] != own[0]]
+            if not len(active):
+                continue
+            away = _away(self.prints[:, active], self.prints[:, node])
+            near = active[away <= radius]
+            if len(near):
+                same = np.unique(np.append(label[near], label[node]))
+                if len(same) > 1:
+                    to = np.arange(len(label))
+                    to[same] = same[0]
+                    label, merged = to[label], True
+            child = node + 1
+            for edge in self.children[node]:
+                todo.append((child, edge, active, away))
+                child = self.ends[child]
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        found = [(self.places[moved], self.places[label[moved]]), *self.equal]
+        return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
+
+
 def stars(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, head) places of the fingerprints (seeds x n) that links connect; each meets those without a component."""
-    members, heads = [], []
-    place = np.arange(prints.shape[1])
-    while len(place) > 1:
-        head, todo = place[0], [prints[:, 0]]
-        place, prints = place[1:], prints[:, 1:]
-        while todo and len(place):
-            near = np.bitwise_count(prints ^ todo.pop()[:, None]).sum(axis=0, dtype=np.uint16) <= FAR
-            if near.any():
-                members.append(place[near])
-                heads.append(np.full(len(members[-1]), head))
-                todo += list(prints[:, near].T)
-                place, prints = place[~near], prints[:, ~near]
-    none = np.zeros(0, np.int64)
-    return np.concatenate(members or [none]), np.concatenate(heads or [none])
-
-
-def bucket_links(prints: np.ndarray, crowd: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside a bucket, as `stars` gives them; a crowded one is dealt again by tables of its own."""
+    """(member, head) places of the fingerprints (seeds x n) that links connect, by a BK-tree over them."""
+    if prints.shape[1] < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return Tree(prints).links(FAR)
+
+
+def bucket_links(prints: np.ndarray, crowd: int = 4096, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside a bucket, as `stars` gives them; a crowded one is dealt again by runs of its own."""
     n = prints.shape[1]
     if n <= crowd:
         return stars(prints)
     found = []
-    for mask in tables(n, crowd // 8):
+    for mask in tables(n, crowd // 8, level):
         values = prints & mask[:, None]
         order = np.lexsort(values)
         new = (values[:, order[1:]] != values[:, order[:-1]]).any(axis=0)
         for part in np.split(order, np.flatnonzero(new) + 1):
             if len(part) > 1:  # what hardly shrinks is one family
-                links = stars(prints[:, part]) if 2 * len(part) > n else bucket_links(prints[:, part], crowd)
+                links = stars(prints[:, part]) if 2 * len(part) > n else bucket_links(prints[:, part], crowd, level + 1)
                 found.append((part[links[0]], part[links[1]]))
     return np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found])
 
@@ -255,7 +327,7 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 
 def _first(left: DataFrame, rows: int) -> DataFrame:
-    """doc_id, root, inside: the first documents of each component, found in salted parts before they meet."""
+    """doc_id, root, inside: the first documents of each (large) component, found in salted parts before they meet."""
     part = Window.partitionBy("root", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id")
     whole = Window.partitionBy("root").orderBy("doc_id")
     some = left.select("root", "doc_id", F.size("hashes").alias("n")).withColumn(
@@ -270,7 +342,13 @@ def rounds(sets: DataFrame, scratch: Scratch, first: int = FIRST) -> DataFrame:
     """doc_id of the documents similar to one of their component that stays before them; sets: root, doc_id, hashes."""
     left, gone, rows, k = sets, [], first, 0
     while True:
-        marked = scratch.write(left.join(_first(left, rows), ["root", "doc_id"], "left"), f"marked{k}")
+        sizes = left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("hashes")).alias("total"))
+        large = scratch.write(sizes.where((F.col("n") > rows) | (F.col("total") > HASHES)).select(
+            "root", F.lit(True).alias("large")), f"large{k}")
+        # written, so that joins know their true size: the sets move only where what is chosen is much
+        some = scratch.write(_first(left.join(large, "root", "left_semi"), rows), f"first{k}")
+        marked = scratch.write(left.join(large, "root", "left").join(some, ["root", "doc_id"], "left").withColumn(
+            "inside", F.coalesce("inside", F.when(F.col("large").isNull(), F.lit(True)))).drop("large"), f"marked{k}")
         block = marked.where("inside").select("root", F.lit(0).alias("salt"), F.lit(None).cast("boolean").alias("held"),
                                               "doc_id", "hashes")
         block = scratch.write(_judged(block), f"block{k}")

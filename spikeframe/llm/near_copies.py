@@ -386,6 +386,22 @@ def _one_each(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return rows.join(repeated, "doc_id", "left_anti").select(*columns).union(many.select("__row.*"))
 
 
+def _may_be_linked(docs: DataFrame, roots: DataFrame, scratch: Scratch, most: int = 1 << 26) -> DataFrame:
+    """The rows whose `node` may be in `roots`: all that are, and about one in 16 others (more above `most` bits).
+
+    A bitmap of the nodes is sent to the rows, at most 8 MB, so that the join behind it needn't move all texts.
+    """
+    slots = min(most, max(1 << 15, 1 << (16 * roots.count()).bit_length()))
+    slot = F.pmod(F.col("node"), F.lit(slots))
+    marks = scratch.write(roots.groupBy(F.bitmap_bucket_number(slot).alias("mark")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")), "marks")
+    place = F.bitmap_bit_position(slot)
+    own = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = own.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int"))
+    return docs.withColumn("mark", F.bitmap_bucket_number(slot)).join(F.broadcast(marks), "mark").where(
+        bit != 0).drop("mark", "bits")
+
+
 def near_copies(docs: DataFrame, scratch: Scratch, repeated: DataFrame, bucket: int = 512) -> DataFrame:
     """doc_id of the documents that go."""
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
@@ -398,16 +414,18 @@ def near_copies(docs: DataFrame, scratch: Scratch, repeated: DataFrame, bucket:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["root", "doc_id", "hashes"])
 
-    own = named.withColumn("node", F.xxhash64("doc_id")).join(roots, "node").select("root", "doc_id", "text")
+    some = _may_be_linked(named.withColumn("node", F.xxhash64("doc_id")), roots, scratch)
+    own = some.join(roots, "node").select("root", "doc_id", "text")
     sets = _one_each(own, repeated).mapInArrow(kernel, f"root long, doc_id {kind}, hashes array<long>")
     return rounds(scratch.write(sets.where("size(hashes) > 0"), "sets"), scratch)
 
 
 def keep_distinct(docs: DataFrame, bucket: int = 512) -> DataFrame:
     """The documents without near copies, with all their columns."""
-    scratch = Scratch(docs.sparkSession, "near-copies")
+    scratch, work = (Scratch(docs.sparkSession, name) for name in ("near-copies", "near-copies-work"))
     repeated = _repeated(docs, scratch)
-    gone = scratch.write(near_copies(docs, scratch, repeated, bucket), "gone")
+    gone = scratch.write(near_copies(docs, work, repeated, bucket), "gone")
+    work.delete()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = _one_each(docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*columns), repeated)
     free = docs.where("doc_id IS NULL").select("text", F.struct(*columns).alias("__row")).groupBy("text").agg(

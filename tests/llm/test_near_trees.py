@@ -1,8 +1,11 @@
 """The near-copy stage's pigeonhole runs and BK-trees against brute force."""
 
-import numpy as np
+import os
 
+import numpy as np
+from pyspark.sql import functions as F
 from spikeframe.llm import near_copies
+from spikeframe.llm.common import Scratch
 
 
 def components(n, pairs):
@@ -46,3 +49,23 @@ def test_trees_link_what_brute_force_links():
         u, v = near_copies.Tree(prints).links(near_copies.FAR)
         assert components(300, list(zip(u.tolist(), v.tolist()))) == want and 1 < len(set(want)) < 300
         assert len(u) == 300 - len(set(want))  # stars, not pairs
+
+
+def test_texts_of_unlinked_documents_stay_where_they_are(spark, documents):
+    """Nearly all documents without a link are left out before texts are joined; none with a link is."""
+    scratch = Scratch(spark, "marks")
+    rows = spark.range(200000).select(F.xxhash64("id").alias("node"), "id")
+    roots = scratch.write(rows.where("id % 100 = 3").select("node", F.col("node").alias("root")), "roots")
+    got = near_copies._may_be_linked(rows, roots, scratch)
+    assert got.columns == ["node", "id"]
+    assert got.join(roots, "node").count() == 2000 and got.count() < 0.1 * 200000
+    few = near_copies._may_be_linked(rows, roots, scratch, most=1 << 12)  # a bitmap too small stays right
+    assert few.join(roots, "node").count() == 2000
+    none = near_copies._may_be_linked(rows, roots.limit(0), scratch)
+    assert none.count() == 0
+
+
+def test_work_is_removed(spark, documents):
+    kept = near_copies.keep_distinct(documents.select("doc_id", "text"))
+    folder = os.path.dirname(os.path.dirname([f for f in kept.inputFiles() if "near-copies" in f][0])).removeprefix("file:")
+    assert sorted(os.listdir("/" + folder.lstrip("/"))) == ["gone", "repeated"]

@@ -280,24 +280,33 @@ def approx_equal(a: DataFrame, b: DataFrame, tolerance=1e-5) -> DataFrame:
     return found.select("*", ((F.col("unmatched") == 0) & (F.col("max_diff") <= tolerance)).alias("is_equal"))
 
 
-def product_holds(a: DataFrame, b: DataFrame, c: DataFrame, vectors=8, tolerance=1e-6) -> DataFrame:
+def _signed_sums(cells: DataFrame, by, vectors) -> DataFrame:
+    """Cells times the sign vectors from the right: one row of sums x0, x1, ... for each value of `by`."""
+    def sign(k):
+        return F.when(mix(F.col("j") * vectors + k, seed=k + 1) % 2 == 0, 1).otherwise(-1)
+
+    return cells.groupBy(by).agg(*[F.sum(F.col("v") * sign(k)).alias(f"x{k}") for k in range(vectors)])
+
+
+def signed_product(a: DataFrame, b: DataFrame, vectors=8) -> DataFrame:
+    """a times b times the sign vectors of `product_holds`, without the product: i, x0, x1, ..."""
+    inner = _signed_sums(b, F.col("i").alias("j"), vectors)
+    return salted_join(a, inner, "j", ["i"]).groupBy("i").agg(
+        *[F.sum(F.col("v") * F.col(f"x{k}")).alias(f"x{k}") for k in range(vectors)])
+
+
+def product_holds(a: DataFrame, b: DataFrame, c: DataFrame, vectors=8, tolerance=1e-6, through=None) -> DataFrame:
     """vector, wrong_rows: Freivalds' check of a times b against c by random sign vectors.
 
     Multiplying by a vector from the right takes one grouped pass over each matrix, so the check
     costs as much as reading the three, whatever the product costs. An equal product never has wrong
     rows; a product with a wrong cell passes one vector with probability one half at most, and all of
-    them with probability 2^-vectors. Signs are drawn by a hash of column and vector number.
+    them with probability 2^-vectors. Signs are drawn by a hash of column and vector number. ``through``
+    may be `signed_product` of a and b, made once for the checks of several products.
     """
-    def times(cells, by, each):
-        return cells.groupBy(by).agg(*[F.sum(F.col("v") * each(k)).alias(f"x{k}") for k in range(vectors)])
-
-    def sign(k):
-        return F.when(mix(F.col("j") * vectors + k, seed=k + 1) % 2 == 0, 1).otherwise(-1)
-
-    inner = times(b, F.col("i").alias("j"), sign)
-    through = salted_join(a, inner, "j", ["i"]).groupBy("i").agg(
-        *[F.sum(F.col("v") * F.col(f"x{k}")).alias(f"x{k}") for k in range(vectors)])
-    direct = times(c, "i", sign)
+    if through is None:
+        through = signed_product(a, b, vectors)
+    direct = _signed_sums(c, "i", vectors)
     both = through.select("i", *[F.col(f"x{k}") for k in range(vectors)]).unionByName(
         direct.select("i", *[(-F.col(f"x{k}")).alias(f"x{k}") for k in range(vectors)])).groupBy("i").agg(
         *[F.sum(f"x{k}").alias(f"x{k}") for k in range(vectors)])

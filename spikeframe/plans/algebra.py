@@ -6,6 +6,7 @@ Embeddings are scaled to whole numbers, so sums do not depend on their order.
 from pyspark.sql import functions as F
 
 from ..operators import matrix, semiring
+from ..session import scratch_folder, written
 from ..sources.tables import table
 
 WIDTH, LABELS = 64, 10
@@ -112,12 +113,15 @@ def mat_corner(spark, folder):
 
 def mat_product_check(spark, folder):
     """Random sign vectors accept the supplier product and find one changed cell of it."""
-    left = _shipments(spark, folder, "l_quantity > 25")
-    right = matrix.transpose(_shipments(spark, folder, "l_quantity <= 25"))
-    product = matrix.multiply_join(left, right)
+    place = scratch_folder(spark, "product-check")
+    left = written(_shipments(spark, folder, "l_quantity > 25"), f"{place}/left")
+    right = written(matrix.transpose(_shipments(spark, folder, "l_quantity <= 25")), f"{place}/right")
+    # made once: it is searched for its first cell and read by both checks
+    product = written(matrix.multiply_join(left, right), f"{place}/product")
+    through = written(matrix.signed_product(left, right, 16), f"{place}/through")
     first = product.agg(F.min(F.struct("i", "j")).alias("cell")).scalar()
     changed = product.withColumn("v", F.when(F.struct("i", "j") == first, F.col("v") + 1).otherwise(F.col("v")))
-    true, false = (matrix.product_holds(left, right, c, vectors=16) for c in (product, changed))
+    true, false = (matrix.product_holds(left, right, c, 16, through=through) for c in (product, changed))
     return true.agg(F.sum("wrong_rows").alias("wrong_rows"), F.count(F.lit(1)).alias("vectors")).select(
         F.lit("product").alias("checked"), "vectors", (F.col("wrong_rows") == 0).alias("accepted")).union(false.agg(
             F.count(F.lit(1)).alias("vectors"), F.sum("wrong_rows").alias("wrong_rows")).select(

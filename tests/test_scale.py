@@ -1,10 +1,16 @@
 """Plans and results on rows where one key holds a third of everything."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from spikeframe import session
 from spikeframe.operators import bench, layout
+from spikeframe.plans import algebra
+
+SF_SMALL = "/root/testdata/sf0.001"
 
 
 def test_hot_source_slots_and_matrix(spark):
@@ -73,3 +79,21 @@ def test_large_networks_get_more_tasks(spark, monkeypatch):
     parts, got = run()
     assert got == want
     assert parts[1] >= 10  # a small network's own lists may stay together, its cells are spread
+
+
+def test_product_check_makes_the_product_once(spark):
+    """Both checks read the written product; the tables aren't read again for it."""
+    if not os.path.isdir(SF_SMALL):
+        pytest.skip("test tables absent")
+    checked = algebra.mat_product_check(spark, SF_SMALL)
+    assert not [f for f in checked.inputFiles() if "lineitem" in f]
+    assert [tuple(r) for r in checked.collect()] == [("product", 16, True), ("changed", 16, False)]
+
+
+def test_large_groupings_keep_their_number_of_tasks(spark, monkeypatch):
+    """More rows than one task's are dealt out before they are grouped, whatever the session's partitions."""
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    few = session.spread(spark.range(300), 300, "id").groupBy("id").count()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    assert session.spread(few, 100, "id") is few

@@ -41,9 +41,12 @@ def partitions_for(spark, rows):
 
 
 def spread(df: DataFrame, rows: int, *keys) -> DataFrame:
-    """Dealt by `keys` to `partitions_for` about so many rows; unchanged where the session's partitions do."""
-    parts = partitions_for(df.sparkSession, rows)
-    return df.repartition(parts, *keys) if parts > shuffle_partitions(df.sparkSession) else df
+    """Dealt by `keys` to `partitions_for` about so many rows; unchanged where one task may hold them all.
+
+    The number is given, so adaptive execution merges none of them, and a grouping by the keys holds no more
+    than a task's rows: without it, it would start inside the tasks of the files, whose rows follow the files' size.
+    """
+    return df.repartition(partitions_for(df.sparkSession, rows), *keys) if rows > ROWS_PER_TASK else df
 
 
 def ensure_checkpoint_dir(spark):

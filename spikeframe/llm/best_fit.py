@@ -41,11 +41,10 @@ def piece_table(docs: DataFrame, path: str | None = None, size: int = 2048, end_
     """doc_id, piece, start, length, ids_crc32: a document is cut only where it is longer than `size`."""
     def kernel(batches):
         own = _encoder(path or tokenizer_file("word_bpe_49k.json"))
-        end = np.array([end_id], own.kind).tobytes()
-        for batch in batches:
+        for rows, all_ids, ends in (run for batch in batches for run in own.runs(batch, end_id)):
             owner, start, length, sums = [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                ids = np.frombuffer(own.encode(text.as_py()) + end, own.kind).astype("<u4")
+            for k, ids in enumerate(np.split(all_ids, ends[:-1])):
+                ids = ids.astype("<u4")
                 for at in range(0, len(ids), size):
                     part = ids[at:at + size]
                     owner.append(k)
@@ -54,7 +53,7 @@ def piece_table(docs: DataFrame, path: str | None = None, size: int = 2048, end_
                     sums.append(zlib.crc32(part))
             starts = np.array(start, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(starts // size, pa.int32()),
+                [rows.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(starts // size, pa.int32()),
                  pa.array(starts), pa.array(length, pa.int64()), pa.array(sums, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

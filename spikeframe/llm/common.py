@@ -98,15 +98,31 @@ class Recent:
             found[at] = self.one(words[at], make)
         return found
 
+    def many(self, words: list[str], make: Callable[[list[str]], list]) -> list:
+        """Results of distinct words; those that aren't kept are made in one call."""
+        found = list(map(self.young.get, words))
+        missing = [k for k, value in enumerate(found) if value is None]
+        for k in missing:
+            found[k] = self.old.get(words[k])
+        new = [k for k in missing if found[k] is None]
+        for k, value in zip(new, make([words[k] for k in new])):
+            found[k] = value
+        for k in missing:
+            self._keep(words[k], found[k])
+        return found
+
     def one(self, word: str, make: Callable[[str], object]):
         value = self.young.get(word)
         if value is None:
             value = self.old.get(word)
             if value is None:
                 value = make(word)
-            if len(word) <= self.longest:
-                if len(self.young) >= self.size:
-                    self.old = self.young
-                    self.young = {}
-                self.young[word] = value
+            self._keep(word, value)
         return value
+
+    def _keep(self, word: str, value: object) -> None:
+        if len(word) <= self.longest:
+            if len(self.young) >= self.size:
+                self.old = self.young
+                self.young = {}
+            self.young[word] = value

@@ -23,16 +23,20 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Recent, Scratch, tokenizer_file
 
 KEPT_WORDS = 250_000
+#: Bytes of text whose words are looked up at once, in one pass of Arrow and numpy over all of them.
+RUN_BYTES = 8 << 20
+#: Unknown parts of words that go through the vocabulary's merges in one line.
+PARTS = 64
 
 
 #: Below this character the vocabulary's own steps (NFC, lower case, split, bytes) are done here,
@@ -41,40 +45,104 @@ LATIN_END = 0x250
 
 
 class WordIds:
-    """Ids of a text, word by word: no token of the vocabulary holds a space or a line end."""
+    """Ids of texts by their distinct words, and of these by their distinct parts: no token holds a space or a line end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words = Recent(KEPT_WORDS)
-        # Fixed value: the vocabulary's split pattern.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # the merges never join two parts, and a part's last id is the one that carries the end of the word
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.parts, self.odd = Recent(KEPT_WORDS), Recent(KEPT_WORDS // 10)
+        # Fixed value: the vocabulary's split pattern; a space stands before each word.
+        self.split = regex.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in shown]
         letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.bytes = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(LATIN_END)}
-        self.plain = frozenset(chr(c) for c in range(33, LATIN_END) if chr(c).isprintable() and (
+        self.bytes = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(33, LATIN_END)}
+        self.plain = frozenset(chr(c) for c in range(32, LATIN_END) if chr(c).isprintable() and (
             len(chr(c).lower()) == 1 and ord(chr(c).lower()) < LATIN_END))
 
-    def _make(self, word: str) -> bytes:
-        if "<|" in word or not self.plain.issuperset(word):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        pieces = self.split(word.lower())
-        if len(pieces) > 1:  # a word with punctuation: its parts are mostly known
-            return b"".join([self.words.one(piece, self._make) for piece in pieces])
-        return array(self.kind.char, [t.id for piece in pieces for t in self.model.tokenize(
-            piece.translate(self.bytes))]).tobytes()
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        return b"".join(self.words.all(text.replace("\n", " ").split(" "), self._make))
+    def _made(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts as the split pattern finds them, by the vocabulary's merges alone."""
+        made = []
+        for k in range(0, len(parts), PARTS):
+            line = " ".join(parts[k:k + PARTS]).translate(self.bytes)
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+            ends = (self.kind.itemsize * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            ids = ids.tobytes()
+            made += [ids[first:end] for first, end in zip([0, *ends], ends)]
+        return made
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number by word, of words cut by the split pattern."""
+        found = pa.array(self.split(f" {' '.join(words)}".lower()), pa.large_string()).dictionary_encode()
+        made = [b"", *self.parts.many(found.dictionary.to_pylist()[1:], self._made)]  # the first is the space
+        part, at = np.frombuffer(b"".join(made), self.kind), found.indices.to_numpy()
+        size = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+        return _laid(part, size, at), np.add.reduceat(size[at], np.flatnonzero(at == 0))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word begin in them and how many they are."""
+        line = " ".join(words)
+        plain = self.plain.issuperset(line) and "<|" not in line
+        letters, mixed, odd = [], [], []
+        for k, word in enumerate(words):
+            if not plain and ("<|" in word or not self.plain.issuperset(word)):
+                odd.append(k)
+            else:
+                (letters if word.isalpha() else mixed).append(k)
+        ids, sizes = [], np.zeros(len(words), np.int64)
+        for own, made in ((letters, self.parts.many([words[k].lower() for k in letters], self._made)),
+                          (odd, self.odd.all([words[k] for k in odd], self._whole))):
+            ids.append(np.frombuffer(b"".join(made), self.kind))
+            sizes[own] = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+        if mixed:
+            cut, sizes[mixed] = self._cut([words[k] for k in mixed])
+            ids.append(cut)
+        order = np.array(letters + odd + mixed)
+        firsts = np.zeros(len(words), np.int64)
+        firsts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(ids), firsts, sizes
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each followed by `end_id`, and the number of ids up to each text's end."""
+        texts = pc.fill_null(texts, "")
+        lower = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        texts = pc.if_else(lower, pc.ascii_lower(texts), texts)
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found, last = words.values.dictionary_encode(), words.offsets.to_numpy()[1:]
+        ids, firsts, sizes = self._words(found.dictionary.to_pylist())
+        at = np.insert(found.indices.to_numpy(), last, len(sizes))
+        ids, firsts, sizes = np.append(ids, self.kind.type(end_id)), np.append(firsts, len(ids)), np.append(sizes, 1)
+        return _laid(ids, sizes, at, firsts), np.cumsum(sizes[at])[last + np.arange(len(last))]
+
+    def runs(self, batch: pa.RecordBatch, end_id: int):
+        """Rows of the batch, RUN_BYTES of `text` at a time, with what `encode` makes of them."""
+        run = np.cumsum(pc.binary_length(pc.fill_null(batch.column("text"), "")).to_numpy().astype(np.int64)) // RUN_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1), len(run)] if len(run) else []
+        for first, stop in zip(cuts, cuts[1:]):
+            rows = batch.slice(first, stop - first)
+            yield rows, *self.encode(rows.column("text"), end_id)
+
+
+def _laid(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, firsts: np.ndarray | None = None) -> np.ndarray:
+    """The ids of the runs `at`, one after the other; run k is `sizes[k]` ids from `firsts[k]` (else where run k - 1 ends)."""
+    firsts = np.cumsum(sizes) - sizes if firsts is None else firsts
+    size = sizes[at].astype(np.int32)  # a run's ids are fewer than Arrow's offsets reach
+    ends = np.cumsum(size, dtype=np.int32)
+    place = np.repeat(firsts[at].astype(np.int32) - (ends - size), size)
+    place += np.arange(ends[-1], dtype=np.int32)
+    return ids[place]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -93,17 +161,17 @@ def token_table(docs: DataFrame, path: str | None = None, end_id: int = 1) -> Da
     """
     def kernel(batches):
         own = _encoder(path or tokenizer_file("word_bpe_49k.json"))
-        end = np.array([end_id], own.kind).tobytes()
         seen: dict[str, int] = {}
-        for batch in batches:
-            ids = [own.encode(t) + end for t in batch.column("text").to_pylist()]
-            lengths, within = [len(i) // own.kind.itemsize for i in ids], []
-            for queue, n in zip(batch.column("queue").to_pylist(), lengths):
+        for rows, ids, ends in (run for batch in batches for run in own.runs(batch, end_id)):
+            lengths, within = np.diff(ends, prepend=0), []
+            for queue, n in zip(rows.column("queue").to_pylist(), lengths.tolist()):
                 within.append(seen.get(queue, 0))
                 seen[queue] = within[-1] + n
+            places = np.append(0, ends * own.kind.itemsize).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), pa.array(lengths, pa.int64()), pa.array(within, pa.int64()),
-                 pa.array([own.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())],
+                [rows.column("doc_id"), rows.column("queue"), pa.array(lengths, pa.int64()), pa.array(within, pa.int64()),
+                 pa.array([own.kind.itemsize] * len(ends), pa.int32()),
+                 pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(ids)])],
                 names=["doc_id", "queue", "doc_tokens", "within", "width", "ids"])
 
     queue = F.concat(F.lit("s"), F.col("source").cast("string")) if "source" in docs.columns else F.lit(None)

@@ -97,6 +97,24 @@ def test_interval_totals(spark):
     assert intervals.interval_totals(crowd, "at", wide, "low", "high", ["w"], totals).where("n = 20000").count() == 20000
 
 
+def test_interval_totals_send_no_bins_or_pieces_through_the_driver(spark, tmp_path):
+    """Files are small, what is made of them is not: neither side may be taken for small by its files' size."""
+    spark.range(3000).selectExpr("id p", "id * 7 % 5000 at").write.parquet(str(tmp_path / "points"))
+    spark.range(3000).selectExpr("id w", "id * 11 % 5000 low", "id * 11 % 5000 + id % 60 high").write.parquet(str(tmp_path / "even"))
+    # windows that all begin and end alike, so that their bins are split
+    spark.range(3000).selectExpr("id w", "64L low", "127 + id % 2 high").write.parquet(str(tmp_path / "crowd"))
+    points = [k * 7 % 5000 for k in range(3000)]
+    for name, want in (("even", lambda w: (w * 11 % 5000, w * 11 % 5000 + w % 60)), ("crowd", lambda w: (64, 127 + w % 2))):
+        found = intervals.interval_totals(spark.read.parquet(str(tmp_path / "points")), "at",
+                                          spark.read.parquet(str(tmp_path / name)), "low", "high", ["w"], {"n": ("count", "p")})
+        inside = {w: sum(low <= at <= high for at in points) for w in range(3000) for low, high in [want(w)]}
+        assert {r.w: r.n for r in found.collect()} == {w: n for w, n in inside.items() if n}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")
+        # as planned and as run, bins and pieces are merged; only the few keys that are split may be broadcast
+        assert len(plan) == 2 and all("SortMergeJoin [_level" in p for p in plan)
+        assert all(("BroadcastHashJoin" in p) == ("_salt" in p) == (name == "crowd") for p in plan)
+
+
 def test_product_check(spark):
     rnd = random.Random(4)
     a, b = ([(i, j, float(rnd.randint(-3, 3))) for i in range(12) for j in range(12) if rnd.random() < .5] for _ in range(2))

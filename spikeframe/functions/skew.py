@@ -29,7 +29,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys, salt_by, key_sizes=None
     total = seen.get["total"] or 0
     hot_rows = [(*[r[k] for k in keys], min(parts, r["_n"] * parts // total + 1)) for r in top if r["_n"] * parts > total]
     if not hot_rows:
-        return spread(left, rows, *keys).join(right.hint("merge") if merged else right, keys)
+        if merged:  # dealt out as well: a grouping by the keys would keep its own few parts, for both sides
+            right = spread(right, rows, *keys).hint("merge")
+        return spread(left, rows, *keys).join(right, keys)
     schema = T.StructType([counts.schema[k] for k in keys] + [T.StructField("_splits", T.LongType())])
     hot = F.broadcast(spark.createDataFrame(hot_rows, schema))
     splits = F.coalesce("_splits", F.lit(1))

@@ -43,7 +43,9 @@ def interval_totals(points: DataFrame, at: str, intervals: DataFrame, low: str,
     at most. Rows thus grow with points plus intervals times the logarithm of the longest, not with the pairs.
     """
     kept = intervals.where(F.col(low) <= F.col(high))
-    longest = kept.agg(F.max(F.col(high).cast("long") - F.col(low) + 1)).first()[0] or 1
+    length = F.col(high).cast("long") - F.col(low) + 1
+    # at its two ends together an interval has about one bin of each length
+    longest, about = kept.agg(F.coalesce(F.max(length), F.lit(1)), F.coalesce(F.sum(F.log2(length) + 1), F.lit(0)).cast("long")).first()
     levels = F.explode(F.sequence(F.lit(0), F.lit(longest.bit_length() - 1)))
     own = points.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("long").alias("_bin")).agg(
         *[TOTALS[kind][0](F.col(c)).alias(name) for name, (kind, c) in totals.items()])
@@ -59,4 +61,4 @@ def interval_totals(points: DataFrame, at: str, intervals: DataFrame, low: str,
         F.when(F.col("_first").bitwiseAND(1) == 1, F.col("_first")),
         F.when(F.col("_stop").bitwiseAND(1) == 1, F.col("_stop") - 1))).alias("_bin")).where("_bin IS NOT NULL")
     # either side has many rows for one of its table's, which estimates of its size leave out
-    return salted_join(pieces, bins, ["_level", "_bin"], by, merged=True).groupBy(*by).agg(*merged)
+    return salted_join(pieces, bins, ["_level", "_bin"], by, rows=about, merged=True).groupBy(*by).agg(*merged)

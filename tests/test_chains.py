@@ -1,10 +1,12 @@
 """Pointer jumping, keyed permutations, sequential swaps, interval joins, product checks, the name function."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from spikeframe import session
 from spikeframe.operators import chains, intervals, matrix
 from spikeframe.sources import generate, names
 
@@ -115,6 +117,22 @@ def test_interval_totals_send_no_bins_or_pieces_through_the_driver(spark, tmp_pa
         assert all(("BroadcastHashJoin" in p) == ("_salt" in p) == (name == "crowd") for p in plan)
 
 
+def test_interval_totals_deal_out_many_pieces(spark, monkeypatch):
+    """Where pieces are more than one task's rows, both sides of their join get more tasks than the session's."""
+    points = spark.range(2000).selectExpr("id p", "id * 7 % 5000 at")
+    windows = spark.range(500).selectExpr("id w", "id * 11 % 5000 low", "id * 11 % 5000 + id % 60 high")
+
+    def run():
+        return intervals.interval_totals(points, "at", windows, "low", "high", ["w"], {"n": ("count", "p"), "last": ("max", "at")})
+
+    want = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    found = run()
+    parts = re.findall(r"hashpartitioning\(_level#\d+, _bin#\w+, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert len(parts) == 2 and parts[0] == parts[1] and 20 <= int(parts[0]) <= 40  # 500 windows of about 6 pieces
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_product_check(spark):
     rnd = random.Random(4)
     a, b = ([(i, j, float(rnd.randint(-3, 3))) for i in range(12) for j in range(12) if rnd.random() < .5] for _ in range(2))
